@@ -1,0 +1,15 @@
+"""Joins against a side that is expected, but not known, to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast if counting shows it has at most ``max_rows``
+    rows.  A larger table comes back unmarked, and Spark then shuffles the join."""
+    found = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if found <= max_rows else df
