@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.plans import shaping  # noqa: F401
+from tidemark.plans import forecasts, shaping  # noqa: F401
 from tidemark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
