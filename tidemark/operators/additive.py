@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import in_time, keys, ratio, whole_series
+from tidemark.functions.columns import WHOLE, in_time, keys, ratio, whole_series
 from tidemark.functions.linalg import stacked
 from tidemark.functions.sizes import small_side
 from tidemark.operators.diagnostics import _groups, _schema
@@ -103,7 +103,7 @@ def scaled_rows(df: DataFrame, by, y: str = "y", holdout: int = 7,
     )
     chosen = F.array_contains(nth, F.col("pos") - 1)
     knots = F.collect_list(F.when(chosen, F.col("_t"))).over(
-        order.rowsBetween(-(2**31), 2**31 - 1)
+        order.rowsBetween(*WHOLE)
     )
     return rows.withColumn("_knots", knots).drop("_first", "_final", "_history")
 
@@ -140,16 +140,14 @@ def _partial_gram(by):
 
 
 def _solve(by, n_waves, n_flags, scales):
-    def run(key, parts: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         cells = sum(np.asarray(c, dtype="float64") for c in parts["cells"])
         width = int(round(len(cells) ** 0.5))
         beta = penalised_fit(cells.reshape(width, width), n_waves, n_flags, scales)
         status = "ok" if beta is not None else "singular"
         return pd.DataFrame([(*key, beta, status)], columns=[*by, "beta", "status"])
 
-    if by:
-        return run
-    return lambda parts: run((), parts)
+    return run
 
 
 def penalised_fit(gram: np.ndarray, n_waves: int, n_flags: int, scales: Mapping[str, float],

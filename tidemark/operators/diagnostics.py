@@ -157,7 +157,7 @@ def _partial_sums(by: list[str]):
 
 
 def _choose_and_fit(by: list[str], autolag: str | None):
-    def run(key, parts: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         top = int(parts["top"].iloc[0])
         width = top + 3
         total, used = np.zeros((width, width)), 0
@@ -167,9 +167,7 @@ def _choose_and_fit(by: list[str], autolag: str | None):
         fit = _fit_lags(total, heads, top, autolag)
         return pd.DataFrame([(*key, *fit)], columns=[*by, "stat", "used_lag", "n_obs", "status"])
 
-    if by:
-        return run
-    return lambda parts: run((), parts)
+    return run
 
 
 def _fit_lags(total: np.ndarray, heads: list[np.ndarray], top: int, autolag: str | None):

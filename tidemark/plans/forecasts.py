@@ -79,14 +79,14 @@ def _next_sql(order):
   SELECT series_id, ds, y FROM levels UNION ALL
   SELECT series_id, cast(max(ds) + interval 7 day AS date), NULL FROM levels GROUP BY series_id),
 {steps}
-SELECT series_id, ds, {r6_sql('yhat')} AS yhat, {r6_sql('exp(yhat)')} AS level
+SELECT series_id, ds, {r6_sql('yhat')} AS yhat, {r6_sql('exp(yhat)', 4)} AS level
 FROM {last} WHERE pos = n"""
 
 
 def _next(spark, sf_dir, order):
     rows = forecast_next(priority_index(spark, sf_dir), KEY, order=order, freq="W")
     rows = rows.select(KEY, "ds", "yhat", F.exp("yhat").alias("level"))
-    return rounded(rows, "yhat", "level")
+    return rounded(rounded(rows, "yhat"), "level", places=4)
 
 
 @query(_next_sql((1, 1, 0)))

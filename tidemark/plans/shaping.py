@@ -19,10 +19,12 @@ from tidemark.plans.inputs import (
     DAY_SQL,
     KEY,
     MONEY,
+    PRIORITY_INDEX_SQL,
     WEEKLY_SQL,
     mean_sql,
     order_values,
     panel,
+    priority_index,
     r6_sql,
     table,
 )
@@ -325,10 +327,10 @@ def log_transform(spark, sf_dir):
     return rounded(log(panel(spark, sf_dir)), "y")
 
 
-@query(f"WITH {WEEKLY_SQL} SELECT series_id, ds, {r6_sql('y')} AS y FROM weekly")
-def exp_of_log(spark, sf_dir):
-    """The back-transform undoes the log."""
-    return rounded(exp(log(panel(spark, sf_dir))), "y")
+@query(f"WITH {PRIORITY_INDEX_SQL} SELECT series_id, ds, {r6_sql('exp(y)', 4)} AS y FROM levels")
+def exp_transform(spark, sf_dir):
+    """The log index back on its level."""
+    return rounded(exp(priority_index(spark, sf_dir)), "y", places=4)
 
 
 @query(f"""WITH {WEEKLY_SQL}, diffs AS (
@@ -348,12 +350,12 @@ def diff_order2(spark, sf_dir):
     return rounded(difference(panel(spark, sf_dir), KEY, d=2), "w").select(KEY, "ds", "w")
 
 
-@query(f"""WITH {WEEKLY_SQL}, placed AS (
-    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS pos FROM weekly)
+@query(f"""WITH {PRIORITY_INDEX_SQL}, placed AS (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS pos FROM levels)
   SELECT series_id, ds, {r6_sql('CASE WHEN pos > 2 THEN y END')} AS level FROM placed""")
 def integrate_levels(spark, sf_dir):
     """Differencing twice and integrating gives the levels back."""
-    rows = integrate(difference(panel(spark, sf_dir), KEY, d=2), KEY, "w", 2)
+    rows = integrate(difference(priority_index(spark, sf_dir), KEY, d=2), KEY, "w", 2)
     return rounded(rows, "level").select(KEY, "ds", "level")
 
 
@@ -361,19 +363,19 @@ def _rolling_sql(fn, out):
     return f"""WITH {WEEKLY_SQL}, rolled AS (
       SELECT series_id, ds, {fn}(y) OVER f AS v, count(y) OVER f AS c FROM weekly
       WINDOW f AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))
-    SELECT series_id, ds, {r6_sql('CASE WHEN c = 52 THEN v END')} AS {out} FROM rolled"""
+    SELECT series_id, ds, {r6_sql('CASE WHEN c = 52 THEN v END', 5)} AS {out} FROM rolled"""
 
 
 @query(_rolling_sql("avg", "rolling_mean"))
 def rolling_mean_52(spark, sf_dir):
     rows = rolling(panel(spark, sf_dir), KEY, stats=["mean"]).drop("y")
-    return rounded(rows, "rolling_mean")
+    return rounded(rows, "rolling_mean", places=5)
 
 
 @query(_rolling_sql("stddev_samp", "rolling_std"))
 def rolling_std_52(spark, sf_dir):
     rows = rolling(panel(spark, sf_dir), KEY, stats=["std"]).drop("y")
-    return rounded(rows, "rolling_std")
+    return rounded(rows, "rolling_std", places=5)
 
 
 PARTS_SQL = f"""WITH {WEEKLY_SQL}, placed AS (
