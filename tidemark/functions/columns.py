@@ -25,8 +25,10 @@ def in_time(by: str | Iterable[str] | None, ds: str = "ds") -> WindowSpec:
     return Window.partitionBy(*keys(by)).orderBy(ds)
 
 
-def whole_series(by: str | Iterable[str] | None) -> WindowSpec:
-    return Window.partitionBy(*keys(by))
+def whole_series(by: str | Iterable[str] | None, ds: str = "ds") -> WindowSpec:
+    """All rows of the series, in time order: this shares the sort of ``in_time``,
+    and sums do not depend on the order in which rows arrive."""
+    return in_time(by, ds).rowsBetween(*WHOLE)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

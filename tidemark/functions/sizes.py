@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 10_000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if counting shows it has at most ``max_rows``
-    rows.  A larger table comes back unmarked, and Spark then shuffles the join."""
-    found = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if found <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` and whether it was found to be small.
+
+    At most ``max_rows + 1`` rows are fetched.  If that is all of them, they come
+    back as a local table marked for broadcast, so that ``df`` is not computed again.
+    A larger table comes back as it is, and Spark shuffles the join.
+    """
+    found = df.limit(max_rows + 1).collect()
+    if len(found) > max_rows:
+        return df, False
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)), True

@@ -44,6 +44,10 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
     rows keep their own dates, so gaps in the calendar do not shift the forecast.
     """
     by = keys(by)
+    if not by:
+        one = df.withColumn("_all", F.lit(0))
+        return additive_forecast(one, "_all", y, seasonalities, n_changepoints, holidays, scales,
+                                 holdout, ds).drop("_all")
     scales = {**SCALES, **(scales or {})}
     terms = SEASONALITIES if seasonalities is None else seasonalities
     rows = scaled_rows(drop_missing(df, y), by, y, holdout, n_changepoints, ds)
@@ -68,7 +72,7 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
         _solve(by, n_waves, n_flags, scales), _schema(rows, by, "beta array<double>, status string")
     )
     test = rows.where("is_test")
-    joined = test.join(fits, by, "left") if by else test.crossJoin(F.broadcast(fits))
+    joined = test.join(fits, by, "left")
     fit = F.aggregate(
         F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
     )
@@ -83,7 +87,7 @@ def scaled_rows(df: DataFrame, by, y: str = "y", holdout: int = 7,
     """Add what the model needs to know of each series' training part: ``_t``, the
     time scaled to 0..1, ``_scale``, the largest absolute value, and ``_knots``, the
     scaled times of the slope changes, spread evenly over the first 80 % of its rows."""
-    series, order = whole_series(by), in_time(by, ds)
+    series, order = whole_series(by, ds), in_time(by, ds)
     rows = split(df, by, last=holdout, ds=ds)
     train = ~F.col("is_test")
     rows = rows.withColumns({
@@ -111,14 +115,14 @@ def scaled_rows(df: DataFrame, by, y: str = "y", holdout: int = 7,
 def _with_flags(rows: DataFrame, holidays: DataFrame, ds: str):
     """Add the row's holiday terms; there is one per holiday and offset, so their
     number is that of a small calendar table, which is checked."""
-    days = holiday_days(holidays).distinct()
+    days, small = small_side(holiday_days(holidays).distinct())
     named = days.select("holiday", "offset").distinct().limit(MAX_HOLIDAY_TERMS + 1).collect()
     if len(named) > MAX_HOLIDAY_TERMS:
         raise ValueError(f"more than {MAX_HOLIDAY_TERMS} holiday terms")
     labels = sorted(f"{r.holiday}|{r.offset}" for r in named)
     label = F.concat_ws("|", "holiday", F.col("offset").cast("string"))
     per_day = days.groupBy(F.col("ds").alias("_day")).agg(F.collect_set(label).alias("_labels"))
-    joined = rows.join(small_side(per_day), F.col(ds) == F.col("_day"), "left")
+    joined = rows.join(F.broadcast(per_day) if small else per_day, F.col(ds) == F.col("_day"), "left")
     flags = F.array(*[
         F.coalesce(F.array_contains("_labels", n), F.lit(False)).cast("double") for n in labels
     ])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import in_time, keys, whole_series
+from tidemark.functions.columns import WHOLE, in_time, keys, whole_series
 
 
 def decompose(df: DataFrame, by, y: str = "y", period: int = 52, ds: str = "ds") -> DataFrame:
@@ -20,7 +20,7 @@ def decompose(df: DataFrame, by, y: str = "y", period: int = 52, ds: str = "ds")
     so in ``status``.  Every window is keyed by the series first, so the data is
     shuffled once.
     """
-    order, series = in_time(by, ds), whole_series(by)
+    order, series = in_time(by, ds), whole_series(by, ds)
     half = period // 2
     span = order.rowsBetween(-half, half)
     if period % 2:
@@ -46,7 +46,7 @@ def decompose(df: DataFrame, by, y: str = "y", period: int = 52, ds: str = "ds")
         "_phase": (F.col("_pos") - 1) % period,
         "trend": F.when((status == "ok") & full, total / period),
     })
-    cycle = Window.partitionBy(*keys(by), "_phase")
+    cycle = Window.partitionBy(*keys(by), "_phase").orderBy(ds).rowsBetween(*WHOLE)
     averaged = trended.withColumn("_mean", F.avg(F.col(y) - F.col("trend")).over(cycle))
     # Each position occurs exactly once in the first cycle.
     centre = F.avg(F.when(F.col("_pos") <= period, F.col("_mean"))).over(series)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import keys, number
+from tidemark.operators.evaluate import stack
 from tidemark.operators.resample import mean_of
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -54,20 +55,26 @@ def _value(df: DataFrame, c: str):
 
 
 def _basic(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    # Extremes of text cannot be kept in a hash aggregate, so text columns go apart.
+    text = [c for c in cols if _is_text(df, c)]
+    rest = [c for c in cols if c not in text]
+    return stack(*[_summary(df, some, by) for some in (rest, text) if some])
+
+
+def _summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     rows = []
     for c in cols:
-        v = _value(df, c)
-        text = F.col(c) if _is_text(df, c) else F.lit(None).cast("string")
+        v, text = _value(df, c), _is_text(df, c)
         rows.append(
             F.struct(
                 F.lit(c).alias("column"),
-                F.count(c if _is_text(df, c) else v).alias("count"),
+                F.count(c if text else v).alias("count"),
                 F.avg(v).alias("mean"),
                 F.stddev_samp(v).alias("std"),
                 F.min(v).alias("min"),
                 F.max(v).alias("max"),
-                F.min(text).alias("min_text"),
-                F.max(text).alias("max_text"),
+                (F.min(c) if text else F.lit(None).cast("string")).alias("min_text"),
+                (F.max(c) if text else F.lit(None).cast("string")).alias("max_text"),
             )
         )
     return df.groupBy(*by).agg(F.array(*rows).alias("_rows")).select(*by, F.inline("_rows"))

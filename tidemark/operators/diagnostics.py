@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import in_time, keys, whole_series
-from tidemark.functions.linalg import leading_residuals
+from tidemark.functions.linalg import leading_residuals, stacked
 from tidemark.operators.series import drop_missing
 
 # MacKinnon's published response surfaces for one variable and a constant.
@@ -77,7 +77,7 @@ def adf(df: DataFrame, by, y: str = "y", autolag: str | None = "aic", maxlag: in
     if autolag not in ("aic", None):
         raise ValueError("autolag is 'aic' or None")
     by = keys(by)
-    order, series = in_time(by, ds), whole_series(by)
+    order, series = in_time(by, ds), whole_series(by, ds)
     cap = LAG_CAP if maxlag is None else maxlag
     rows = drop_missing(df, y).withColumns({
         "_n": F.count(F.lit(1)).over(series),
@@ -141,16 +141,18 @@ def _partial_sums(by: list[str]):
                 if top < 0:
                     continue
                 rows = rows[rows["_dy"].notna()]
-                length = rows["_lags"].map(len).to_numpy()
-                design = [
-                    np.concatenate(([1.0, level], past, [dy]))
-                    for level, past, dy in zip(rows["_level"], rows["_lags"], rows["_dy"])
+                whole = rows["_lags"].map(len).to_numpy() >= top
+                full = rows[whole]
+                if len(full):
+                    a = np.column_stack([
+                        np.ones(len(full)), full["_level"], stacked(full["_lags"]), full["_dy"]
+                    ])
+                    out.append((*key, top, "sums", (a.T @ a).ravel()))
+                few = rows[~whole]
+                out += [
+                    (*key, top, "row", np.concatenate(([1.0, level], past, [dy])))
+                    for level, past, dy in zip(few["_level"], few["_lags"], few["_dy"])
                 ]
-                full = [x for x, n in zip(design, length) if n >= top]
-                if full:
-                    full = np.vstack(full)
-                    out.append((*key, top, "sums", (full.T @ full).ravel()))
-                out += [(*key, top, "row", x) for x, n in zip(design, length) if n < top]
             yield pd.DataFrame(out, columns=[*by, "top", "kind", "cells"])
 
     return run

@@ -46,7 +46,7 @@ def holiday_days(holidays: DataFrame) -> DataFrame:
 def holiday_flags(df: DataFrame, holidays: DataFrame, ds: str = "ds") -> DataFrame:
     """Rows of ``df`` that fall on a holiday or in its window, a row per holiday
     and offset (other rows once, with NULLs)."""
-    days = small_side(holiday_days(holidays).distinct())
+    days, _ = small_side(holiday_days(holidays).distinct())
     same = F.to_date(F.col(f"a.{ds}")) == F.col("h.ds")
     return df.alias("a").join(days.alias("h"), same, "left").select("a.*", "h.holiday", "h.offset")
 

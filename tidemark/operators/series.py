@@ -99,7 +99,7 @@ def split(df: DataFrame, by, frac: float | None = None, last: int | None = None,
         raise ValueError("give exactly one of frac and last")
     placed = df.withColumns({
         "pos": F.row_number().over(in_time(by, ds)),
-        "n": F.count(F.lit(1)).over(whole_series(by)),
+        "n": F.count(F.lit(1)).over(whole_series(by, ds)),
     })
     if frac is not None:
         train = F.floor(F.col("n") * F.lit(float(frac)))

@@ -128,15 +128,15 @@ def align_actual_forecast(spark, sf_dir):
     return rounded(align(index, found, [KEY, "ds"]), "y", "yhat")
 
 
-@query(f"""WITH {WEEKLY_SQL}, rolled AS (
+@query(f"""WITH {PRIORITY_INDEX_SQL}, rolled AS (
     SELECT series_id, ds, y, count(y) OVER f = 52 AS whole, avg(y) OVER f AS m,
-      stddev_samp(y) OVER f AS s FROM weekly
+      stddev_samp(y) OVER f AS s FROM levels
     WINDOW f AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))
-  SELECT series_id, ds, 'level' AS panel, {r6_sql('y', 5)} AS value FROM rolled UNION ALL
-  SELECT series_id, ds, 'mean', {r6_sql('CASE WHEN whole THEN m END', 5)} FROM rolled UNION ALL
-  SELECT series_id, ds, 'std', {r6_sql('CASE WHEN whole THEN s END', 5)} FROM rolled""")
+  SELECT series_id, ds, 'level' AS panel, {r6_sql('y')} AS value FROM rolled UNION ALL
+  SELECT series_id, ds, 'mean', {r6_sql('CASE WHEN whole THEN m END')} FROM rolled UNION ALL
+  SELECT series_id, ds, 'std', {r6_sql('CASE WHEN whole THEN s END')} FROM rolled""")
 def plot_rolling(spark, sf_dir):
     """Level, rolling mean and rolling deviation as one long frame for a chart."""
-    rows = rolling(panel(spark, sf_dir), KEY)
+    rows = rolling(priority_index(spark, sf_dir), KEY)
     panels = {"level": "y", "mean": "rolling_mean", "std": "rolling_std"}
-    return rounded(plot_frame(rows, KEY, panels), "value", places=5)
+    return rounded(plot_frame(rows, KEY, panels), "value")

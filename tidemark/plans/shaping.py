@@ -156,11 +156,11 @@ def nested_first_element(spark, sf_dir):
     return rows.select("c_custkey", *NESTED_FIELDS)
 
 
-@query(f"""WITH {WEEKLY_SQL} SELECT series_id, ds, {r6_sql('y')} AS y FROM weekly""")
+@query(f"WITH {WEEKLY_SQL} SELECT series_id, ds, y FROM weekly")
 def sink_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "weekly-csv")
     write_csv(panel(spark, sf_dir), path)
-    return rounded(read_csv(spark, path, "series_id string, ds date, y double"), "y")
+    return read_csv(spark, path, "series_id string, ds date, y double")
 
 
 LAST_DAY = date(2001, 8, 1)
@@ -240,9 +240,9 @@ def tail_of_table(spark, sf_dir):
 
 @query("""WITH weekly AS (SELECT c_nationkey AS series_id, {w} AS ds, {m} AS y
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
-  SELECT series_id, ds, {r} AS y FROM weekly""".format(
+  SELECT series_id, ds, y FROM weekly""".format(
     w="cast(cast(o_orderdate as date) + ((7 - isodow(o_orderdate)) % 7) * interval 1 day as date)",
-    m="cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)", r=r6_sql("y")))
+    m="cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)"))
 def drop_missing_weeks(spark, sf_dir):
     """Weekly means per nation, gaps filled with NULL and dropped again."""
     joined = table(spark, sf_dir, "orders").join(
@@ -250,13 +250,13 @@ def drop_missing_weeks(spark, sf_dir):
     ).withColumnRenamed("c_nationkey", KEY)
     weeks = resample(to_series(joined, KEY, "o_orderdate", "o_totalprice", MONEY), KEY, freq="W",
                      gaps="keep")
-    return rounded(drop_missing(weeks), "y")
+    return drop_missing(weeks)
 
 
-@query(f"""SELECT {DAY_SQL} AS ds, {r6_sql(mean_sql('o_totalprice'))} AS mean_y
+@query(f"""SELECT {DAY_SQL} AS ds, {mean_sql('o_totalprice')} AS mean_y
   FROM orders GROUP BY 1""")
 def group_mean_daily(spark, sf_dir):
-    return rounded(group_mean(order_values(spark, sf_dir), "ds"), "mean_y")
+    return group_mean(order_values(spark, sf_dir), "ds")
 
 
 DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -294,32 +294,32 @@ def describe_quartiles_by_key(spark, sf_dir):
     )
 
 
-@query(f"WITH {DAILY_SQL} SELECT series_id, ds, {r6_sql('y')} AS y FROM daily")
+@query(f"WITH {DAILY_SQL} SELECT series_id, ds, y FROM daily")
 def resample_daily(spark, sf_dir):
-    return rounded(panel(spark, sf_dir, "D"), "y")
+    return panel(spark, sf_dir, "D")
 
 
 def _gaps_sql(cte: str, name: str, step: str) -> str:
     return f"""WITH {cte}, span AS (
       SELECT series_id, unnest(generate_series(min(ds), max(ds), interval {step})) AS at
       FROM {name} GROUP BY series_id)
-    SELECT s.series_id, cast(s.at AS date) AS ds, {r6_sql('y')} AS y
+    SELECT s.series_id, cast(s.at AS date) AS ds, y
     FROM span s LEFT JOIN {name} v ON v.series_id = s.series_id AND v.ds = cast(s.at AS date)"""
 
 
 @query(_gaps_sql(DAILY_SQL, "daily", "1 day"))
 def resample_daily_gaps(spark, sf_dir):
-    return rounded(panel(spark, sf_dir, "D", gaps="keep"), "y")
+    return panel(spark, sf_dir, "D", gaps="keep")
 
 
-@query(f"WITH {WEEKLY_SQL} SELECT series_id, ds, {r6_sql('y')} AS y FROM weekly")
+@query(f"WITH {WEEKLY_SQL} SELECT series_id, ds, y FROM weekly")
 def resample_weekly(spark, sf_dir):
-    return rounded(panel(spark, sf_dir), "y")
+    return panel(spark, sf_dir)
 
 
 @query(_gaps_sql(WEEKLY_SQL, "weekly", "7 days"))
 def resample_weekly_gaps(spark, sf_dir):
-    return rounded(panel(spark, sf_dir, gaps="keep"), "y")
+    return panel(spark, sf_dir, gaps="keep")
 
 
 @query(f"WITH {WEEKLY_SQL} SELECT series_id, ds, {r6_sql('ln(y)')} AS y FROM weekly")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import keys
-from tidemark.functions.sizes import BROADCAST_ROWS
+from tidemark.functions.sizes import small_side
 
 MAX_ITEMS = 100_000
 
@@ -20,7 +20,9 @@ def nest(df: DataFrame, by, struct_cols: Mapping[str, str] | Sequence[str], arra
     ``struct_cols`` names the fields (a mapping gives them new names).  A key with
     more than ``max_items`` rows is laid out over several rows, numbered by
     ``part``, so that no task has to hold it whole; all others have the one part
-    0.  ``max_items=None`` skips that check, for groups known to be small.
+    0.  The parts of a key are told apart by a hash of the row, so ``order`` should
+    be unique within a key.  ``max_items=None`` skips the count of rows per key, for
+    groups known to be small.
     """
     by = keys(by)
     fields = struct_cols if isinstance(struct_cols, Mapping) else {c: c for c in struct_cols}
@@ -39,17 +41,12 @@ def _parts(rows: DataFrame, by: list[str], max_items: int) -> DataFrame:
     large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(
         F.col("_size") > max_items
     )
-    found = large.limit(BROADCAST_ROWS + 1).count()
-    if not found:
-        return rows.withColumn("part", F.lit(0))
-    small = found <= BROADCAST_ROWS
+    large, small = small_side(large)
     spot = F.pmod(F.xxhash64("_item"), F.ceil(2 * F.col("_size") / max_items))
     same = F.lit(True)
     for c in by:
         same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}"))
-    joined = rows.alias("r").join(
-        (F.broadcast(large) if small else large).alias("l"), same, "left"
-    ).select("r.*", F.coalesce(spot, F.lit(0)).cast("int").alias("part"))
+    joined = rows.alias("r").join(large.alias("l"), same, "left").select("r.*", F.coalesce(spot, F.lit(0)).cast("int").alias("part"))
     return joined if small else joined.repartition(*by, "part")
 
 
