@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import ROWS_BEFORE, in_time, keys, number, ratio
+from tidemark.functions.columns import ROWS_BEFORE, in_time, keys, number
 from tidemark.functions.linalg import PIVOT_FLOOR, leading_predictions, square, stacked
 from tidemark.operators.resample import STEP_DAYS
 from tidemark.operators.series import drop_missing
@@ -36,11 +36,12 @@ from tidemark.operators.series import split as split_rows
 from tidemark.operators.transforms import forecast_base
 
 MIN_ROWS = 10
+COLUMN_SOLVE = 4  # up to this many regressors are solved by column arithmetic
 
 
 def burn_in(k: int) -> int:
     """Rows needed before a regression on ``k`` regressors is used."""
-    return max(MIN_ROWS, 3 * k)
+    return max(MIN_ROWS, 2 * k)
 
 
 def walk_forward(df: DataFrame, by, y: str = "y", order: tuple[int, int, int] = (1, 1, 0),
@@ -130,34 +131,58 @@ def _expanding_fit(rows: DataFrame, window, regressors: Sequence[Column], const:
     rows = rows.withColumns({"_t": F.when(usable, F.col("_w")),
                              **{f"_z{i}": F.when(usable, F.col(n)) for i, n in enumerate(names)}})
     ready = F.count("_t").over(before) >= burn_in(k + const)
-
-    def total(a, b):
-        return F.sum(F.col(a) * F.col(b)).over(before)
-
+    size = k + const
     if k == 0:
-        fit = F.avg("_t").over(before) if const else F.lit(0.0)
-        ready = ready if const else F.lit(True)
-        sums = {}
+        fit, sums = (F.avg("_t").over(before), {}) if const else (F.lit(0.0), {})
+        rows = rows.withColumn("_ready", ready if const else F.lit(True))
     elif k == 1 and const:
         sums = {"_slope": F.regr_slope("_t", "_z0").over(before),
                 "_level": F.regr_intercept("_t", "_z0").over(before)}
         fit = F.col("_level") + F.col("_slope") * F.col("_x0")
-    elif k == 1:
-        sums = {"_s0": total("_z0", "_z0"), "_s1": total("_z0", "_t")}
-        fit = ratio(F.col("_s1") * F.col("_x0"), F.col("_s0"))
-    elif k == 2 and not const:
-        sums = {"_a": total("_z0", "_z0"), "_b": total("_z0", "_z1"), "_c": total("_z1", "_z1"),
-                "_g": total("_z0", "_t"), "_h": total("_z1", "_t")}
-        det = F.expr("_a * _c - _b * _b")
-        top = F.expr("(_c * _g - _b * _h) * _x0 + (_a * _h - _b * _g) * _x1")
-        fit = F.when(det > PIVOT_FLOOR * F.expr("_a * _c"), ratio(top, det))
+        rows = rows.withColumns({"_ready": ready, **sums})
     else:
-        sums, fit = _batched_fit(k, const, before)
-    rows = rows.withColumns({"_ready": F.coalesce(ready, F.lit(False)), **sums})
+        sums = _products(k, const, before)
+        rows = rows.withColumns({"_ready": ready, **sums})
+        if size <= COLUMN_SOLVE:
+            rows, fit = _eliminate(rows, k, const)
+            sums = {**sums, **{f"_d{i}": None for i in range(size)}, "_share": None, "_sum": None,
+                    **{f"_v{i}": None for i in range(size)}}
+        else:
+            fit = _batched_fit(size, const)(
+                F.array(*sums), F.array(*[F.col(f"_x{i}") for i in range(k)])
+            )
     rows = rows.withColumn("_fit", F.when(F.col("_ready"), fit))
     return rows.drop(*names, *[f"_z{i}" for i in range(k)], "_t", *sums)
 
 
+def _eliminate(rows: DataFrame, k: int, const: bool) -> tuple[DataFrame, Column]:
+    """Solve the normal equations of every row with column arithmetic.
+
+    One regressor after another is eliminated from the sums of products and from
+    the point of prediction; its share of the prediction is then final.
+    """
+    size = k + const
+    at = ([F.lit(1.0)] if const else []) + [F.col(f"_x{i}") for i in range(k)]
+    rows = rows.withColumns({
+        **{f"_d{i}": F.col(f"_g{i}_{i}") for i in range(size)},
+        **{f"_v{i}": x for i, x in enumerate(at)},
+        "_sum": F.lit(0.0),
+    })
+    for s in range(size):
+        pivot = F.col(f"_g{s}_{s}")
+        usable = pivot > PIVOT_FLOOR * F.col(f"_d{s}")
+        rows = rows.withColumn("_share", F.when(usable, F.lit(1.0) / pivot))
+        step = {"_sum": F.col("_sum") + F.col(f"_v{s}") * F.col(f"_r{s}") * F.col("_share")}
+        for i in range(s + 1, size):
+            part = F.col(f"_g{s}_{i}") * F.col("_share")
+            step[f"_r{i}"] = F.col(f"_r{i}") - part * F.col(f"_r{s}")
+            step[f"_v{i}"] = F.col(f"_v{i}") - part * F.col(f"_v{s}")
+            for j in range(i, size):
+                step[f"_g{i}_{j}"] = F.col(f"_g{i}_{j}") - part * F.col(f"_g{s}_{j}")
+        rows = rows.withColumns(step)
+    return rows, F.col("_sum")
+
+
 def _products(k: int, const: bool, before) -> dict[str, Column]:
     """Running sums of all products of the regressors and of their products with
     the response; a constant regressor comes first."""
@@ -174,22 +199,19 @@ def _products(k: int, const: bool, before) -> dict[str, Column]:
     return sums
 
 
-def _batched_fit(k: int, const: bool, before):
-    sums = _products(k, const, before)
-    size = k + const
+def _batched_fit(size: int, const: bool):
+    """The same for more regressors: a vectorised function over batches of rows."""
 
     @F.pandas_udf(T.DoubleType())
     def fit(known: pd.Series, at: pd.Series) -> pd.Series:
         known, at = stacked(known), stacked(at)
-        if not len(known):
-            return pd.Series([], dtype="float64")
         if const:
             at = np.column_stack([np.ones(len(at)), at])
         edge = size * (size + 1) // 2
         got = leading_predictions(square(known[:, :edge], size), known[:, edge:], at)[-1]
         return pd.Series(got).where(np.isfinite(got), None).astype("Float64")
 
-    return sums, fit(F.array(*sums), F.array(*[F.col(f"_x{i}") for i in range(k)]))
+    return fit
 
 
 def grid_search(df: DataFrame, by, y: str = "y", p: Sequence[int] = range(5),
@@ -253,9 +275,9 @@ def grid_search(df: DataFrame, by, y: str = "y", p: Sequence[int] = range(5),
     fitted = fitted.withColumns({
         "p": F.col("order.p"), "q": F.col("order.q"), "fit": number(F.col("fit")),
     })
-    enough = F.col("_seen") >= burn_in(k + const)
-    error = F.when(enough | (F.col("p") + F.col("q") + int(const) == 0),
-                   F.col("_y") - F.col("_base") - F.col("fit"))
+    terms = F.col("p") + F.col("q") + int(const)
+    enough = F.col("_seen") >= F.greatest(F.lit(MIN_ROWS), 2 * terms)
+    error = F.when(enough | (terms == 0), F.col("_y") - F.col("_base") - F.col("fit"))
     scored = fitted.groupBy(*series_keys, "p", "d", "q").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.count(error).alias("_held"),

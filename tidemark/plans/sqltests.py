@@ -147,10 +147,9 @@ def grid_steps(levels: str, ps, ds, qs) -> str:
         for s in range(len(pick)):
             more, last = elimination_step(last, tag, s, len(pick))
             parts.append(more)
-        ready = f"c >= {burn_in(k)}"
         cells = ", ".join(
             f"{{'p': {p}, 'err': " + (
-                f"CASE WHEN {ready} THEN y - base - p{p + q}_{tag} END" if p + q else "y - base")
+                f"CASE WHEN c >= {burn_in(p + q)} THEN y - base - p{p + q}_{tag} END" if p + q else "y - base")
             + "}" for p in ps)
         errors.append(f"SELECT series_id, d, {q} AS q, unnest([{cells}]) AS cell FROM {last}")
     parts.append("grid AS (SELECT series_id, cell.p AS p, d, q, count(*) AS n, "
