@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tidemark.plans.catalog import QUERIES
+from tidemark.session import configure
 
 HEADLINES = [
     "resample_daily",
@@ -38,13 +39,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        configure(SparkSession.builder).master(f"local[{cpus}]")
         .appName("tidemark-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -32,6 +32,7 @@ from tidemark.operators.series import (
     to_series,
 )
 from tidemark.operators.transforms import difference, exp, integrate, log, rolling
+from tidemark.session import configure
 from tidemark.sources.nested import first_element, nest
 from tidemark.sources.readers import literal, parse_json_records, read_csv, read_json, read_lines
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
@@ -42,6 +43,7 @@ __all__ = [
     "align",
     "best_order",
     "compare",
+    "configure",
     "critical_values",
     "date_range",
     "decompose",

@@ -10,29 +10,29 @@ PIVOT_FLOOR = 1e-12
 def leading_predictions(gram: np.ndarray, rhs: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
     """Least-squares predictions of every nested model, for a batch of rows.
 
-    ``gram`` is (rows, k, k), ``rhs`` and ``x`` are (rows, k).  Item ``j`` of the
+    ``gram`` is (k, k, rows), ``rhs`` and ``x`` are (k, rows).  Item ``j`` of the
     result is the prediction at ``x`` with the first ``j + 1`` regressors.  One
     forward elimination serves all of them: after eliminating a regressor, its
     share of the prediction is final.  A row whose regressors are collinear gets
     NaN from there on.
     """
     gram, rhs, x = gram.copy(), rhs.copy(), x.copy()
-    k = gram.shape[1]
-    scale = np.einsum("nii->ni", gram).copy()
-    total = np.zeros(len(gram))
+    k = len(gram)
+    scale = [gram[i, i].copy() for i in range(k)]
+    total = np.zeros(gram.shape[2])
     out = []
     with np.errstate(all="ignore"):
         for i in range(k):
-            pivot = gram[:, i, i]
-            usable = np.isfinite(pivot) & (pivot > PIVOT_FLOOR * scale[:, i])
+            pivot = gram[i, i]
+            usable = np.isfinite(pivot) & (pivot > PIVOT_FLOOR * scale[i])
             share = np.where(usable, 1.0 / pivot, np.nan)
-            total = total + x[:, i] * rhs[:, i] * share
+            total = total + x[i] * rhs[i] * share
             out.append(total)
-            row = gram[:, i, i + 1 :].copy()
-            ratio = row * share[:, None]
-            gram[:, i + 1 :, i + 1 :] -= ratio[:, :, None] * row[:, None, :]
-            rhs[:, i + 1 :] -= ratio * rhs[:, i, None]
-            x[:, i + 1 :] -= ratio * x[:, i, None]
+            for a in range(i + 1, k):
+                part = gram[i, a] * share
+                gram[a, a:] -= part * gram[i, a:]
+                rhs[a] -= part * rhs[i]
+                x[a] -= part * x[i]
     return out
 
 
@@ -53,11 +53,11 @@ def leading_residuals(gram: np.ndarray) -> np.ndarray:
 
 
 def square(flat: np.ndarray, k: int) -> np.ndarray:
-    """Rebuild symmetric (rows, k, k) matrices from flat upper triangles."""
-    full = np.empty((len(flat), k, k))
+    """Symmetric (k, k, rows) matrices from their upper triangles, (cells, rows)."""
+    full = np.empty((k, k, flat.shape[1]))
     up = np.triu_indices(k)
-    full[:, up[0], up[1]] = flat
-    full[:, up[1], up[0]] = flat
+    full[up] = flat
+    full[up[1], up[0]] = flat
     return full
 
 

@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.batches import by_series, keyed_schema
 from tidemark.functions.columns import WHOLE, in_time, keys, ratio, whole_series
 from tidemark.functions.linalg import stacked
 from tidemark.functions.sizes import small_side
-from tidemark.operators.diagnostics import _groups, _schema
 from tidemark.operators.features import fourier_terms, hinges, holiday_days
 from tidemark.operators.series import drop_missing, split
 
@@ -66,10 +66,10 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
 
     train = rows.where(~F.col("is_test") & F.col("_y").isNotNull())
     sums = train.select(*by, "_y", "_x").mapInPandas(
-        _partial_gram(by), _schema(rows, by, "cells array<double>")
+        _partial_gram(by), keyed_schema(rows, by, "cells array<double>")
     )
     fits = sums.groupBy(*by).applyInPandas(
-        _solve(by, n_waves, n_flags, scales), _schema(rows, by, "beta array<double>, status string")
+        _solve(by, n_waves, n_flags, scales), keyed_schema(rows, by, "beta array<double>, status string")
     )
     test = rows.where("is_test")
     joined = test.join(fits, by, "left")
@@ -135,7 +135,7 @@ def _partial_gram(by):
     def run(batches):
         for pdf in batches:
             out = []
-            for key, rows in _groups(pdf, by):
+            for key, rows in by_series(pdf, by):
                 a = np.column_stack([stacked(rows["_x"]), rows["_y"].to_numpy()])
                 out.append((*key, (a.T @ a).ravel()))
             yield pd.DataFrame(out, columns=[*by, "cells"])

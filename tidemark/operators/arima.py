@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import ROWS_BEFORE, in_time, keys, number
+from tidemark.functions.batches import keyed_schema
+from tidemark.functions.columns import ROWS_BEFORE, in_time, keys
 from tidemark.functions.linalg import PIVOT_FLOOR, leading_predictions, square, stacked
 from tidemark.operators.resample import STEP_DAYS
 from tidemark.operators.series import drop_missing
@@ -204,11 +205,11 @@ def _batched_fit(size: int, const: bool):
 
     @F.pandas_udf(T.DoubleType())
     def fit(known: pd.Series, at: pd.Series) -> pd.Series:
-        known, at = stacked(known), stacked(at)
+        known, at = stacked(known).T.copy(), stacked(at).T.copy()
         if const:
-            at = np.column_stack([np.ones(len(at)), at])
+            at = np.vstack([np.ones(at.shape[1]), at])
         edge = size * (size + 1) // 2
-        got = leading_predictions(square(known[:, :edge], size), known[:, edge:], at)[-1]
+        got = leading_predictions(square(known[:edge], size), known[edge:], at)[-1]
         return pd.Series(got).where(np.isfinite(got), None).astype("Float64")
 
     return fit
@@ -257,68 +258,81 @@ def grid_search(df: DataFrame, by, y: str = "y", p: Sequence[int] = range(5),
                              **{f"_z{i}": F.when(usable, F.col(f"_x{i}")) for i in range(k)}})
     sums = _products(k, const, before)
     rows = rows.withColumns({"_seen": F.count("_t").over(before), **sums}).where("is_test")
+    none = F.array().cast("array<double>")
     rows = rows.select(
-        *series_keys, "d", "_y", "_base", "_seen",
-        (F.array(*sums) if sums else F.array().cast("array<double>")).alias("_sums"),
-        (F.array(*[F.col(f"_x{i}") for i in range(k)]) if k else F.array().cast("array<double>"))
-        .alias("_at"),
+        *series_keys, "d", (F.col("_y") - F.col("_base")).alias("_actual"), "_seen",
+        (F.array(*sums) if sums else none).alias("_sums"),
+        (F.array(*[F.col(f"_x{i}") for i in range(k)]) if k else none).alias("_at"),
     )
-    named = F.array(*[
+    group = [*series_keys, "d"]
+    parts = rows.mapInPandas(
+        _batch_errors(group, ps, qs, most_p, most_q, const),
+        keyed_schema(rows, group, "_rows bigint, _held array<bigint>, _squares array<double>"),
+    )
+    orders = F.array(*[
         F.struct(F.lit(a).cast("int").alias("p"), F.lit(b).cast("int").alias("q"))
         for b in qs for a in ps
     ])
-    fits = _order_fits(ps, qs, most_p, most_q, const)
-    fitted = rows.withColumn("_fits", fits(F.col("_sums"), F.col("_at"))).select(
-        *series_keys, "d", "_y", "_base", "_seen",
-        F.inline(F.arrays_zip(named.alias("order"), F.col("_fits").alias("fit"))),
-    )
-    fitted = fitted.withColumns({
-        "p": F.col("order.p"), "q": F.col("order.q"), "fit": number(F.col("fit")),
-    })
-    terms = F.col("p") + F.col("q") + int(const)
-    enough = F.col("_seen") >= F.greatest(F.lit(MIN_ROWS), 2 * terms)
-    error = F.when(enough | (terms == 0), F.col("_y") - F.col("_base") - F.col("fit"))
-    scored = fitted.groupBy(*series_keys, "p", "d", "q").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(error).alias("_held"),
-        F.sqrt(F.avg(error * error)).alias("_rmse"),
+    cells = parts.select(*group, "_rows", F.posexplode(F.arrays_zip("_held", "_squares")))
+    totals = cells.groupBy(*group, "pos").agg(
+        F.sum("_rows").alias("n"), F.sum("col._held").alias("held"),
+        F.sum("col._squares").alias("squares"),
     )
-    whole = F.col("_held") == F.col("_rows")
-    return scored.select(
-        *series_keys, "p", "d", "q",
-        F.col("_rows").alias("n"),
-        F.when(whole, F.col("_rmse")).alias("rmse"),
+    whole = F.col("held") == F.col("n")
+    order = orders[F.col("pos")]
+    return totals.select(
+        *series_keys, order["p"].alias("p"), "d", order["q"].alias("q"), "n",
+        F.when(whole, F.sqrt(F.col("squares") / F.col("n"))).alias("rmse"),
         F.when(whole, "ok").otherwise("failed").alias("status"),
     )
 
 
-def _order_fits(ps, qs, most_p, most_q, const):
-    """A vectorised function giving the predictions of every order at a row, for
-    each ``q`` in turn those of every ``p``; NaN where the regressors are collinear.
+def _batch_errors(group, ps, qs, most_p, most_q, const):
+    """Per batch of rows and group: the number of forecasts of every order and
+    their sum of squared errors, for each ``q`` in turn those of every ``p``.
 
-    Regressors are eliminated innovations first, so one elimination per ``q``
-    serves every ``p``.
+    A forecast is missing where the rows before are too few or the regressors
+    collinear.  Regressors are eliminated innovations first, so one elimination
+    per ``q`` serves every ``p``.
     """
     size = const + most_p + most_q
+    edge = size * (size + 1) // 2
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def fits(known: pd.Series, at: pd.Series) -> pd.Series:
-        n = len(known)
-        known, at = stacked(known), stacked(at)
+    def predictions(rows: pd.DataFrame) -> np.ndarray:
+        known, at = stacked(rows["_sums"]).T.copy(), stacked(rows["_at"]).T.copy()
+        seen = rows["_seen"].to_numpy()
         if const:
-            at = np.column_stack([np.ones(n), at])
-        edge = size * (size + 1) // 2
-        gram, rhs = square(known[:, :edge], size), known[:, edge:]
+            at = np.vstack([np.ones(len(rows)), at])
+        gram, rhs = square(known[:edge], size), known[edge:]
         columns = []
         for q in qs:
             pick = [*range(const + q), *range(const + most_q, size)]
-            steps = leading_predictions(gram[:, pick][:, :, pick], rhs[:, pick], at[:, pick])
+            steps = leading_predictions(gram[np.ix_(pick, pick)], rhs[pick], at[pick])
             for p in ps:
-                used = const + p + q
-                columns.append(steps[used - 1] if used else np.zeros(n))
-        return pd.Series(list(np.column_stack(columns)))
+                terms = const + p + q
+                if terms:
+                    columns.append(np.where(seen >= burn_in(terms), steps[terms - 1], np.nan))
+                else:
+                    columns.append(np.zeros(len(rows)))
+        return np.column_stack(columns)
+
+    def run(batches):
+        for rows in batches:
+            if rows.empty:
+                continue
+            error = rows["_actual"].to_numpy(dtype="float64")[:, None] - predictions(rows)
+            there = np.isfinite(error)
+            code = rows.groupby(group, dropna=False, sort=False).ngroup().to_numpy()
+            first = np.unique(code, return_index=True)[1]
+            held = np.zeros((len(first), error.shape[1]), dtype="int64")
+            squares = np.zeros(held.shape)
+            np.add.at(held, code, there)
+            np.add.at(squares, code, np.where(there, error * error, 0.0))
+            yield rows[group].iloc[first].assign(
+                _rows=np.bincount(code), _held=list(held), _squares=list(squares)
+            )
 
-    return fits
+    return run
 
 
 def best_order(scores: DataFrame, by) -> DataFrame:

@@ -49,7 +49,8 @@ def _is_text(df: DataFrame, c: str) -> bool:
 
 def _value(df: DataFrame, c: str):
     if _is_text(df, c):
-        read = F.col(c).try_cast("double")
+        # A failed cast is slow, so text that cannot start a number is not tried.
+        read = F.when(F.col(c).rlike(r"^\s*[-+.0-9Ii]"), F.col(c).try_cast("double"))
         return F.when(~F.isnan(read), read)
     return number(F.col(c))
 
@@ -62,9 +63,10 @@ def _basic(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 
 
 def _summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    values = df.select(*by, *cols, *[_value(df, c).alias(f"_value_{c}") for c in cols])
     rows = []
     for c in cols:
-        v, text = _value(df, c), _is_text(df, c)
+        v, text = F.col(f"_value_{c}"), _is_text(df, c)
         rows.append(
             F.struct(
                 F.lit(c).alias("column"),
@@ -77,7 +79,7 @@ def _summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
                 (F.max(c) if text else F.lit(None).cast("string")).alias("max_text"),
             )
         )
-    return df.groupBy(*by).agg(F.array(*rows).alias("_rows")).select(*by, F.inline("_rows"))
+    return values.groupBy(*by).agg(F.array(*rows).alias("_rows")).select(*by, F.inline("_rows"))
 
 
 def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

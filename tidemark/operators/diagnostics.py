@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.batches import by_series, keyed_schema
 from tidemark.functions.columns import in_time, keys, whole_series
 from tidemark.functions.linalg import leading_residuals, stacked
 from tidemark.operators.series import drop_missing
@@ -99,8 +100,8 @@ def adf(df: DataFrame, by, y: str = "y", autolag: str | None = "aic", maxlag: in
         F.slice("_lags", F.lit(1), F.greatest("_top", F.lit(0))).alias("_lags"),
     )
     # One line per series survives even if no row can be used.
-    sums = rows.mapInPandas(_partial_sums(by), _schema(rows, by, _PARTIAL))
-    fits = sums.groupBy(*by).applyInPandas(_choose_and_fit(by, autolag), _schema(rows, by, _FIT))
+    sums = rows.mapInPandas(_partial_sums(by), keyed_schema(rows, by, _PARTIAL))
+    fits = sums.groupBy(*by).applyInPandas(_choose_and_fit(by, autolag), keyed_schema(rows, by, _FIT))
     stat = F.col("stat")
     report = fits.withColumns({"p_value": p_value("stat"), **critical_values("n_obs")})
     return report.select(
@@ -113,18 +114,6 @@ _PARTIAL = "top int, kind string, cells array<double>"
 _FIT = "stat double, used_lag int, n_obs bigint, status string"
 
 
-def _schema(df: DataFrame, by: list[str], tail: str) -> T.StructType:
-    named = T.StructType([df.schema[c] for c in by])
-    return T.StructType(named.fields + T.StructType.fromDDL(tail).fields)
-
-
-def _groups(pdf: pd.DataFrame, by: list[str]):
-    if not by:
-        yield (), pdf
-    else:
-        yield from pdf.groupby(by, dropna=False, sort=False)
-
-
 def _partial_sums(by: list[str]):
     """Per batch and series: the sum of products over the rows that have every
     lag, and, for the few rows at the start that have not, the rows themselves.
@@ -135,7 +124,7 @@ def _partial_sums(by: list[str]):
     def run(batches):
         for pdf in batches:
             out = []
-            for key, rows in _groups(pdf, by):
+            for key, rows in by_series(pdf, by):
                 top = int(rows["_top"].iloc[0])
                 out.append((*key, top, "seen", []))
                 if top < 0:
