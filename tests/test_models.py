@@ -29,6 +29,14 @@ def test_walk_forward_equals_refits(walks, panel, order, const):
         assert set(zip(mine.p, mine.d, mine.q, mine.const)) == {(*order, const)}
 
 
+def test_several_orders_in_one_pass(panel):
+    orders = [(0, 1, 1), (3, 1, 0), (2, 1, 1)]
+    both = tm.walk_forward(panel, "series_id", order=orders)
+    alone = tm.stack(*[tm.walk_forward(panel, "series_id", order=o) for o in orders])
+    assert both.columns == alone.columns
+    assert both.exceptAll(alone).count() == 0 and both.count() == alone.count()
+
+
 def test_forecasts_do_not_look_ahead(walks, panel):
     cut = sorted(walks[walks.series_id == "a"].ds)[100]
     moved = panel.withColumn(

@@ -45,23 +45,30 @@ def burn_in(k: int) -> int:
     return max(MIN_ROWS, 2 * k)
 
 
-def walk_forward(df: DataFrame, by, y: str = "y", order: tuple[int, int, int] = (1, 1, 0),
-                 const: bool = True, split: float = 0.7, ds: str = "ds",
-                 long_lags: int | None = None) -> DataFrame:
+def walk_forward(df: DataFrame, by, y: str = "y", order=(1, 1, 0), const: bool = True,
+                 split: float = 0.7, ds: str = "ds", long_lags: int | None = None) -> DataFrame:
     """One-step forecasts of the test part of every series.
 
     At each test row the model is fitted to all actual values before it.
-    Returns the key columns, ``ds``, ``y``, ``yhat``, ``p``, ``d``, ``q``,
-    ``const`` and ``status``: ``ok``, ``short`` (too little history) or
+    ``order`` is one ``(p, d, q)`` or a list of them, which share the same pass
+    over the data.  Returns the key columns, ``ds``, ``y``, ``yhat``, ``p``, ``d``,
+    ``q``, ``const`` and ``status``: ``ok``, ``short`` (too little history) or
     ``singular`` (collinear regressors), ``yhat`` being NULL in the last two.
 
     ``long_lags`` is the number of lags in the first stage, ``max(p, q)`` unless given.
     """
+    orders = [order] if isinstance(order[0], int) else list(order)
     rows = split_rows(drop_missing(df, y), by, frac=split, ds=ds)
-    fitted = _forecast(rows, by, y, order, const, ds, long_lags)
-    return fitted.where("is_test").select(
-        *keys(by), ds, y, "yhat", *_order_columns(order, const), "status"
-    )
+    cells = []
+    for i, one in enumerate(orders):
+        rows = _forecast(rows, by, y, one, const, ds, long_lags)
+        rows = rows.withColumnsRenamed({"yhat": f"_yhat{i}", "status": f"_status{i}"})
+        cells.append([F.col(f"_yhat{i}").alias("yhat"), *_order_columns(one, const),
+                      F.col(f"_status{i}").alias("status")])
+    tested = rows.where("is_test")
+    if len(cells) == 1:
+        return tested.select(*keys(by), ds, y, *cells[0])
+    return tested.select(*keys(by), ds, y, F.inline(F.array(*[F.struct(*c) for c in cells])))
 
 
 def forecast_next(df: DataFrame, by, y: str = "y", order: tuple[int, int, int] = (1, 1, 0),
@@ -110,7 +117,7 @@ def _forecast(df, by, y, order, const, ds, long_lags) -> DataFrame:
         "status": F.when(F.col("_fit").isNotNull() & F.col("_base").isNotNull(), "ok")
         .when(F.col("_ready"), "singular")
         .otherwise("short"),
-    })
+    }).drop("_base", "_w", "_e", "_fit", "_ready")
 
 
 def _with_innovations(rows, window, m, const) -> DataFrame:
@@ -123,14 +130,9 @@ def _expanding_fit(rows: DataFrame, window, regressors: Sequence[Column], const:
     """Add ``_fit``: the prediction of ``_w`` from the regressors, fitted to the
     rows before.  ``_ready`` tells whether there were enough of them."""
     k = len(regressors)
+    kept = [c for c in rows.columns if c not in ("_ready", "_fit")]
     before = window.rowsBetween(*ROWS_BEFORE)
-    names = [f"_x{i}" for i in range(k)]
-    rows = rows.withColumns(dict(zip(names, regressors)))
-    usable = F.col("_w").isNotNull()
-    for n in names:
-        usable = usable & F.col(n).isNotNull()
-    rows = rows.withColumns({"_t": F.when(usable, F.col("_w")),
-                             **{f"_z{i}": F.when(usable, F.col(n)) for i, n in enumerate(names)}})
+    rows = _complete_cases(rows, regressors)
     ready = F.count("_t").over(before) >= burn_in(k + const)
     size = k + const
     if k == 0:
@@ -146,58 +148,58 @@ def _expanding_fit(rows: DataFrame, window, regressors: Sequence[Column], const:
         rows = rows.withColumns({"_ready": ready, **sums})
         if size <= COLUMN_SOLVE:
             rows, fit = _eliminate(rows, k, const)
-            sums = {**sums, **{f"_d{i}": None for i in range(size)}, "_share": None, "_sum": None,
-                    **{f"_v{i}": None for i in range(size)}}
         else:
             fit = _batched_fit(size, const)(
                 F.array(*sums), F.array(*[F.col(f"_x{i}") for i in range(k)])
             )
-    rows = rows.withColumn("_fit", F.when(F.col("_ready"), fit))
-    return rows.drop(*names, *[f"_z{i}" for i in range(k)], "_t", *sums)
+    return rows.select(*kept, "_ready", F.when(F.col("_ready"), fit).alias("_fit"))
+
+
+def _complete_cases(rows: DataFrame, regressors: Sequence[Column]) -> DataFrame:
+    """Add the regressors ``_x<i>`` and, on rows where they and ``_w`` are all known,
+    the copies ``_z<i>`` and ``_t`` that enter the sums."""
+    names = [f"_x{i}" for i in range(len(regressors))]
+    rows = rows.withColumns(dict(zip(names, regressors)))
+    usable = " AND ".join(f"{c} IS NOT NULL" for c in ["_w", *names])
+    return rows.selectExpr(
+        "*", f"IF({usable}, _w, NULL) AS _t",
+        *[f"IF({usable}, {n}, NULL) AS _z{i}" for i, n in enumerate(names)],
+    )
 
 
 def _eliminate(rows: DataFrame, k: int, const: bool) -> tuple[DataFrame, Column]:
     """Solve the normal equations of every row with column arithmetic.
 
     One regressor after another is eliminated from the sums of products and from
-    the point of prediction; its share of the prediction is then final.
+    the point of prediction; its share of the prediction is then final.  Later
+    expressions refer to earlier ones by name (step, then place).
     """
     size = k + const
-    at = ([F.lit(1.0)] if const else []) + [F.col(f"_x{i}") for i in range(k)]
-    rows = rows.withColumns({
-        **{f"_d{i}": F.col(f"_g{i}_{i}") for i in range(size)},
-        **{f"_v{i}": x for i, x in enumerate(at)},
-        "_sum": F.lit(0.0),
-    })
+    point = (["1.0D"] if const else []) + [f"_x{i}" for i in range(k)]
+    steps = [f"{x} AS _v0_{i}" for i, x in enumerate(point)]
     for s in range(size):
-        pivot = F.col(f"_g{s}_{s}")
-        usable = pivot > PIVOT_FLOOR * F.col(f"_d{s}")
-        rows = rows.withColumn("_share", F.when(usable, F.lit(1.0) / pivot))
-        step = {"_sum": F.col("_sum") + F.col(f"_v{s}") * F.col(f"_r{s}") * F.col("_share")}
+        pivot = f"_g{s}_{s}_{s}"
+        steps.append(f"CASE WHEN {pivot} > {PIVOT_FLOOR}D * _g0_{s}_{s} THEN 1.0D / {pivot} END "
+                     f"AS _share{s}")
         for i in range(s + 1, size):
-            part = F.col(f"_g{s}_{i}") * F.col("_share")
-            step[f"_r{i}"] = F.col(f"_r{i}") - part * F.col(f"_r{s}")
-            step[f"_v{i}"] = F.col(f"_v{i}") - part * F.col(f"_v{s}")
-            for j in range(i, size):
-                step[f"_g{i}_{j}"] = F.col(f"_g{i}_{j}") - part * F.col(f"_g{s}_{j}")
-        rows = rows.withColumns(step)
-    return rows, F.col("_sum")
+            part = f"_g{s}_{s}_{i} * _share{s}"
+            steps.append(f"_r{s}_{i} - {part} * _r{s}_{s} AS _r{s + 1}_{i}")
+            steps.append(f"_v{s}_{i} - {part} * _v{s}_{s} AS _v{s + 1}_{i}")
+            steps += [f"_g{s}_{i}_{j} - {part} * _g{s}_{s}_{j} AS _g{s + 1}_{i}_{j}"
+                      for j in range(i, size)]
+    total = " + ".join(f"_v{s}_{s} * _r{s}_{s} * _share{s}" for s in range(size))
+    solved = rows.selectExpr("*", *steps)
+    return solved, F.expr(total)
 
 
 def _products(k: int, const: bool, before) -> dict[str, Column]:
     """Running sums of all products of the regressors and of their products with
     the response; a constant regressor comes first."""
-    cols = ([F.when(F.col("_t").isNotNull(), F.lit(1.0))] if const else []) + [
-        F.col(f"_z{i}") for i in range(k)
-    ]
+    cols = (["IF(_t IS NULL, NULL, 1.0D)"] if const else []) + [f"_z{i}" for i in range(k)]
     size = len(cols)
-    sums = {}
-    for i in range(size):
-        for j in range(i, size):
-            sums[f"_g{i}_{j}"] = F.sum(cols[i] * cols[j]).over(before)
-    for i in range(size):
-        sums[f"_r{i}"] = F.sum(cols[i] * F.col("_t")).over(before)
-    return sums
+    pairs = {f"_g0_{i}_{j}": f"{cols[i]} * {cols[j]}" for i in range(size) for j in range(i, size)}
+    pairs |= {f"_r0_{i}": f"{cols[i]} * _t" for i in range(size)}
+    return {name: F.expr(f"sum({text})").over(before) for name, text in pairs.items()}
 
 
 def _batched_fit(size: int, const: bool):
@@ -250,12 +252,7 @@ def grid_search(df: DataFrame, by, y: str = "y", p: Sequence[int] = range(5),
     k = most_p + most_q
     lags = [F.lag("_e", i).over(window) for i in range(1, most_q + 1)]
     lags += [F.lag("_w", i).over(window) for i in range(1, most_p + 1)]
-    rows = rows.withColumns({f"_x{i}": x for i, x in enumerate(lags)})
-    usable = F.col("_w").isNotNull()
-    for i in range(k):
-        usable = usable & F.col(f"_x{i}").isNotNull()
-    rows = rows.withColumns({"_t": F.when(usable, F.col("_w")),
-                             **{f"_z{i}": F.when(usable, F.col(f"_x{i}")) for i in range(k)}})
+    rows = _complete_cases(rows, lags)
     sums = _products(k, const, before)
     rows = rows.withColumns({"_seen": F.count("_t").over(before), **sums}).where("is_test")
     none = F.array().cast("array<double>")

@@ -100,8 +100,7 @@ FROM ({' UNION ALL '.join(rows)}) GROUP BY series_id, p, d, q"""
 
 @query(_compare_sql())
 def model_comparison(spark, sf_dir):
-    index = priority_index(spark, sf_dir)
-    found = stack(*[walk_forward(index, KEY, order=order) for order in COMPARED])
+    found = walk_forward(priority_index(spark, sf_dir), KEY, order=COMPARED)
     return rounded(rounded(compare(found, KEY), "rmse_log", places=8), "r2_log", "r2_level")
 
 
