@@ -29,7 +29,7 @@ def test_grid_is_one_pass(spark):
     text = plan(QUERIES["grid_search_rmse"](spark, SF_DIR))
     assert text.count("Scan parquet") == 1
     assert text.count("Exchange hashpartitioning") == 3
-    assert text.count("ArrowEvalPython") == 1
+    assert text.count("MapInPandas") == 1 and "EvalPython" not in text
 
 
 @pytest.mark.parametrize("name", ["head_per_series", "tail_per_series", "slice_from_end"])
