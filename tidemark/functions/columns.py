@@ -45,6 +45,13 @@ def number(column: Column, dtype: str = "double") -> Column:
     return cast
 
 
+def units(column: Column, places: int) -> Column:
+    """A value with ``places`` decimals as a whole number of its smallest unit.
+    Sums of these are exact whatever the order of the rows, and raise an error
+    should they pass the range of a long."""
+    return F.rint(column * F.lit(10.0**places)).cast("bigint")
+
+
 def parse_date(column: Column, fmt: str = "yyyy-MM-dd") -> Column:
     """Text to date; text that does not parse becomes NULL."""
     return F.to_date(F.try_to_timestamp(column, F.lit(fmt)))

@@ -16,9 +16,10 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 BUCKETS_PER_OCTAVE = 1024
 
 
-def group_mean(df: DataFrame, by, y: str = "y", out: str = "mean_y") -> DataFrame:
-    """Mean of ``y`` per group; decimals are summed exactly."""
-    return df.groupBy(*keys(by)).agg(mean_of(df, y).alias(out))
+def group_mean(df: DataFrame, by, y: str = "y", out: str = "mean_y",
+               places: int | None = None) -> DataFrame:
+    """Mean of ``y`` per group; ``places`` as in ``resample``."""
+    return df.groupBy(*keys(by)).agg(mean_of(df, y, places).alias(out))
 
 
 def describe(df: DataFrame, cols: Iterable[str] | None = None, by=None, quartiles: bool = False,

@@ -6,24 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import day_of, in_time, keys, ratio, week_end
+from tidemark.functions.columns import day_of, in_time, keys, ratio, units, week_end
 
 STEP_DAYS = {"D": 1, "W": 7}
 
 
-def mean_of(df: DataFrame, y: str) -> Column:
-    """Mean as a double; decimals are summed exactly first."""
-    if isinstance(df.schema[y].dataType, T.DecimalType):
-        return ratio(F.sum(y).cast("double"), F.count(y).cast("double"))
-    return F.avg(y)
+def mean_of(df: DataFrame, y: str, places: int | None = None) -> Column:
+    """Mean as a double.  Decimals, and values with a known number of ``places``,
+    are summed exactly first; the latter in longs, which is much the faster."""
+    if places is not None:
+        total = F.sum(units(F.col(y), places)).cast("double") / F.lit(10.0**places)
+    elif isinstance(df.schema[y].dataType, T.DecimalType):
+        total = F.sum(y).cast("double")
+    else:
+        return F.avg(y)
+    return ratio(total, F.count(y).cast("double"))
 
 
 def resample(df: DataFrame, by, ds: str = "ds", y: str = "y", freq: str = "D",
-             gaps: str = "drop") -> DataFrame:
+             gaps: str = "drop", places: int | None = None) -> DataFrame:
     """Mean of ``y`` per day (``D``) or per week ending on Sunday (``W``).
 
     ``gaps='drop'`` leaves out empty buckets; ``gaps='keep'`` returns every
     bucket between the first and the last of the series, empty ones with NULL.
+    ``places`` is the number of decimals of the values, if they have one: sums are
+    then exact and do not depend on the order in which tasks deliver their rows.
 
     The sums are combined on the map side, so what is shuffled per key is at
     most one row per bucket and task, however many rows the key has.  The result
@@ -34,7 +41,7 @@ def resample(df: DataFrame, by, ds: str = "ds", y: str = "y", freq: str = "D",
         raise ValueError("freq is D or W, gaps is drop or keep")
     day = day_of(df, ds)
     bucket = day if freq == "D" else week_end(day)
-    means = df.groupBy(*keys(by), bucket.alias("ds")).agg(mean_of(df, y).alias("y"))
+    means = df.groupBy(*keys(by), bucket.alias("ds")).agg(mean_of(df, y, places).alias("y"))
     if gaps == "drop":
         return means.where(F.col("y").isNotNull())
     return fill_calendar(means, by, freq=freq)

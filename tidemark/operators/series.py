@@ -21,8 +21,7 @@ def to_series(
 ) -> DataFrame:
     """Project a table to key columns, a date ``ds`` and a value ``y``.
 
-    ``dtype='decimal(18,2)'`` keeps money exact: sums then do not depend on the
-    order in which tasks deliver their rows.
+    ``dtype`` is the type of ``y``: ``double``, ``float``, or a decimal.
     """
     return df.select(*keys(by), day_of(df, ds).alias("ds"), number(F.col(y), dtype).alias("y"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import units
 from tidemark.operators.additive import CHANGEPOINT_RANGE, N_CHANGEPOINTS, additive_forecast, scaled_rows
 from tidemark.operators.evaluate import score, stack
 from tidemark.operators.features import fourier, future_frame, hinges, holiday_flags
-from tidemark.plans.inputs import DAILY_SQL, DAY_SQL, KEY, WEEKLY_SQL, panel, r6_sql, table
+from tidemark.plans.inputs import CENTS, DAILY_SQL, DAY_SQL, KEY, WEEKLY_SQL, panel, r6_sql, table
 from tidemark.plans.registry import query, rounded
 
 
@@ -25,7 +26,7 @@ def peak_days(spark, sf_dir, name: str, measure) -> DataFrame:
 
 
 def holidays(spark, sf_dir) -> DataFrame:
-    cents = F.col("o_totalprice").cast("decimal(18,2)")
+    cents = units(F.col("o_totalprice"), CENTS)
     return stack(peak_days(spark, sf_dir, "most_orders", F.count(F.lit(1))),
                  peak_days(spark, sf_dir, "highest_value", F.sum(cents)))
 
@@ -91,7 +92,7 @@ def hinge_features(spark, sf_dir):
 @query(f"""WITH {DAILY_SQL}
   SELECT series_id, ds, false AS is_future FROM daily UNION ALL
   SELECT series_id, cast(last + i * interval 1 day AS date), true FROM (
-    SELECT series_id, max(ds) AS last FROM daily GROUP BY 1), generate_series(1, 7) t(i)""")
+    SELECT series_id, max(ds) AS last FROM daily GROUP BY 1), generate_series(1, 7) t(i)""", name="future_frame")
 def future_dates(spark, sf_dir):
     return future_frame(panel(spark, sf_dir, "D"), KEY, 7)
 

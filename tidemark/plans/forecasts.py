@@ -89,12 +89,12 @@ def _next(spark, sf_dir, order):
     return rounded(rounded(rows, "yhat"), "level", places=4)
 
 
-@query(_next_sql((1, 1, 0)))
+@query(_next_sql((1, 1, 0)), name="forecast_next")
 def forecast_next_week(spark, sf_dir):
     """The week after the last one, on the log and on the level."""
     return _next(spark, sf_dir, (1, 1, 0))
 
 
-@query(_next_sql((2, 1, 1)))
+@query(_next_sql((2, 1, 1)), name="forecast_next_211")
 def forecast_next_week_211(spark, sf_dir):
     return _next(spark, sf_dir, (2, 1, 1))

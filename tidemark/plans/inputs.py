@@ -10,7 +10,7 @@ from tidemark.operators.resample import resample
 from tidemark.operators.series import to_series
 
 KEY = "series_id"
-MONEY = "decimal(18,2)"
+CENTS = 2  # decimals of all amounts of money
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,20 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals as dated values of their priority; money kept exact."""
+    """Order totals as dated values of their priority."""
     orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", KEY)
-    return to_series(orders, KEY, "o_orderdate", "o_totalprice", MONEY)
+    return to_series(orders, KEY, "o_orderdate", "o_totalprice")
 
 
 def panel(spark: SparkSession, sf_dir: str, freq: str = "W", gaps: str = "drop") -> DataFrame:
     """Mean order total per priority and week (or day)."""
-    return resample(order_values(spark, sf_dir), KEY, freq=freq, gaps=gaps)
+    return resample(order_values(spark, sf_dir), KEY, freq=freq, gaps=gaps, places=CENTS)
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean line price per supplier and week: as many series as suppliers."""
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", KEY)
-    return resample(to_series(lines, KEY, "l_shipdate", "l_extendedprice", MONEY), KEY, freq="W")
+    prices = to_series(lines, KEY, "l_shipdate", "l_extendedprice")
+    return resample(prices, KEY, freq="W", places=CENTS)
 
 
 def log_index(rows: DataFrame) -> DataFrame:

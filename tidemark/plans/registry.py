@@ -13,18 +13,19 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function name."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name`` or its function name."""
 
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)
 
-        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
-        QUERIES[fn.__name__] = run
+        key = name or fn.__name__
+        run.__name__, run.__doc__ = key, fn.__doc__
+        QUERIES[key] = run
         if sql is not None:
-            ORACLE[fn.__name__] = sql
+            ORACLE[key] = sql
         return run
 
     return add

@@ -71,7 +71,7 @@ def score_suppliers(spark, sf_dir):
 
 
 @query(f"""{_walk_sql((1, 1, 0))} SELECT series_id, ds, {r6_sql('exp(yhat)', 4)} AS predicted,
-  {r6_sql('exp(y)', 4)} AS expected FROM tested""")
+  {r6_sql('exp(y)', 4)} AS expected FROM tested""", name="predicted_vs_expected")
 def predicted_vs_expected_levels(spark, sf_dir):
     """The flagship: weekly values, logs, one-step forecasts, both levels side by side."""
     shown = predicted_vs_expected(_walk(spark, sf_dir), KEY)
@@ -133,7 +133,7 @@ def align_actual_forecast(spark, sf_dir):
     WINDOW f AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))
   SELECT series_id, ds, 'level' AS panel, {r6_sql('y')} AS value FROM rolled UNION ALL
   SELECT series_id, ds, 'mean', {r6_sql('CASE WHEN whole THEN m END')} FROM rolled UNION ALL
-  SELECT series_id, ds, 'std', {r6_sql('CASE WHEN whole THEN s END')} FROM rolled""")
+  SELECT series_id, ds, 'std', {r6_sql('CASE WHEN whole THEN s END')} FROM rolled""", name="plot_frame")
 def plot_rolling(spark, sf_dir):
     """Level, rolling mean and rolling deviation as one long frame for a chart."""
     rows = rolling(priority_index(spark, sf_dir), KEY)

@@ -15,10 +15,10 @@ from tidemark.operators.resample import resample
 from tidemark.operators.series import date_range, drop_missing, head, slice_end, tail, to_series
 from tidemark.operators.transforms import difference, exp, integrate, log, rolling
 from tidemark.plans.inputs import (
+    CENTS,
     DAILY_SQL,
     DAY_SQL,
     KEY,
-    MONEY,
     PRIORITY_INDEX_SQL,
     WEEKLY_SQL,
     mean_sql,
@@ -248,15 +248,15 @@ def drop_missing_weeks(spark, sf_dir):
     joined = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     ).withColumnRenamed("c_nationkey", KEY)
-    weeks = resample(to_series(joined, KEY, "o_orderdate", "o_totalprice", MONEY), KEY, freq="W",
-                     gaps="keep")
+    weeks = resample(to_series(joined, KEY, "o_orderdate", "o_totalprice"), KEY, freq="W",
+                     gaps="keep", places=CENTS)
     return drop_missing(weeks)
 
 
 @query(f"""SELECT {DAY_SQL} AS ds, {mean_sql('o_totalprice')} AS mean_y
   FROM orders GROUP BY 1""")
 def group_mean_daily(spark, sf_dir):
-    return group_mean(order_values(spark, sf_dir), "ds")
+    return group_mean(order_values(spark, sf_dir), "ds", places=CENTS)
 
 
 DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

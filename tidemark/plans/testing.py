@@ -79,7 +79,7 @@ ranges AS (SELECT k, min(m) AS ml, max(m) AS mh, min(s) AS sl, max(s) AS sh
   SELECT split_part(k, '/', 1) AS series_id, split_part(k, '/', 2) AS stage, r.* EXCLUDE (k),
     {r6_sql('ml')} AS rolling_mean_low, {r6_sql('mh')} AS rolling_mean_high,
     {r6_sql('sl')} AS rolling_std_low, {r6_sql('sh')} AS rolling_std_high
-  FROM reports r JOIN ranges USING (k)""")
+  FROM reports r JOIN ranges USING (k)""", name="stationarity_report")
 def stationarity_of_stages(spark, sf_dir):
     """The report on the index, its log and its log difference."""
     found = _report(stationarity_report(exp(priority_index(spark, sf_dir)), KEY))
@@ -113,7 +113,7 @@ def grid_search_closed(spark, sf_dir):
     return rounded(_grid(priority_index(spark, sf_dir), CLOSED_GRID), "rmse").drop("status")
 
 
-@query(f"{GRID_SQL} {BEST_SQL}")
+@query(f"{GRID_SQL} {BEST_SQL}", name="best_order")
 def best_order_per_series(spark, sf_dir):
     found = best_order(_grid(priority_index(spark, sf_dir)), KEY)
     return rounded(found, "rmse").drop("status")
