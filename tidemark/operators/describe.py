@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import keys, number
+from tidemark.functions.sizes import small_side
 from tidemark.operators.evaluate import stack
 from tidemark.operators.resample import mean_of
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-BUCKETS_PER_OCTAVE = 1024
+BUCKETS_PER_OCTAVE = (2**10, 2**22)
 
 
 def group_mean(df: DataFrame, by, y: str = "y", out: str = "mean_y",
@@ -96,58 +97,64 @@ def _approximate(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 def _exact(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """Exact quartiles without bringing a group together in one place.
 
-    Pass one counts values in fixed logarithmic buckets; the running counts tell
-    which buckets hold the wanted ranks.  Pass two looks only at the distinct
-    values of those few buckets.
+    Values are counted in fixed logarithmic buckets; the running counts tell which
+    buckets hold the wanted ranks, and only rows in those are looked at again,
+    first in finer buckets and then value by value.
     """
     group = [*by, "column"]
-    size = F.floor(F.log2(F.abs("value")) * BUCKETS_PER_OCTAVE).cast("long")
-    # Keep the order of the values: negative ones mirrored below zero.
-    offset = F.lit(BUCKETS_PER_OCTAVE * 2048)
-    bucket = (
-        F.when(F.col("value") > 0, size + offset)
-        .when(F.col("value") < 0, -(size + offset))
-        .otherwise(F.lit(0).cast("long"))
-    )
-    values = _long(df, cols, by).withColumn("_bucket", bucket)
-
-    order = Window.partitionBy(*group).orderBy("_bucket")
-    hist = values.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_held"))
-    hist = hist.withColumns({
-        "_before": F.sum("_held").over(order) - F.col("_held"),
-        "_all": F.sum("_held").over(Window.partitionBy(*group)),
-    })
-    wanted = {}
-    for name, p in QUARTILES.items():
-        place = (F.col("_all") - 1) * F.lit(p)
-        wanted[f"_lo_{name}"] = F.floor(place)
-        wanted[f"_hi_{name}"] = F.ceil(place)
-    end = F.col("_before") + F.col("_held")
-    hit = F.lit(False)
-    for rank in wanted.values():
-        hit = hit | ((rank >= F.col("_before")) & (rank < end))
-    targets = hist.where(hit).select(*group, "_bucket", "_before", "_all")
-    if not by:
-        targets = F.broadcast(targets)  # at most six rows per described column
+    rows = _long(df, cols, by).withColumn("_offset", F.lit(0).cast("long"))
+    place = {name: (F.col("_all") - 1) * F.lit(p) for name, p in QUARTILES.items()}
+    ranks = {f"_{side}_{name}": f(h) for name, h in place.items()
+             for side, f in (("lo", F.floor), ("hi", F.ceil))}
+
+    for level, per_octave in enumerate(BUCKETS_PER_OCTAVE):
+        rows = rows.withColumn("_bucket", _bucket(per_octave))
+        # All rows with one offset lie in one bucket of the level before.
+        place_in = [*group, "_offset"] + (["_all"] if level else [])
+        hist = rows.groupBy(*place_in, "_bucket").agg(F.count(F.lit(1)).alias("_held"))
+        inside = Window.partitionBy(*group, "_offset")
+        if not level:
+            hist = hist.withColumn("_all", F.sum("_held").over(inside))
+        upto = F.sum("_held").over(inside.orderBy("_bucket"))
+        hist = hist.withColumn("_before", F.col("_offset") + upto - F.col("_held"))
+        hit = F.lit(False)
+        for rank in ranks.values():
+            hit = hit | _within(rank, F.col("_before"), F.col("_held"))
+        # At most six per group and column.
+        targets, _ = small_side(
+            hist.where(hit).select(*group, "_offset", "_bucket", "_before", "_all")
+        )
+        same = F.lit(True)
+        for c in [*group, "_offset", "_bucket"]:
+            same = same & F.col(f"v.{c}").eqNullSafe(F.col(f"t.{c}"))
+        rows = rows.alias("v").join(targets.alias("t"), same).select(
+            *[f"v.{c}" for c in group], "v.value", F.col("t._before").alias("_offset"), "t._all"
+        )
 
-    same = F.lit(True)
-    for c in [*group, "_bucket"]:
-        same = same & F.col(f"v.{c}").eqNullSafe(F.col(f"t.{c}"))
-    picked = values.alias("v").join(targets.alias("t"), same).select("v.*", "t._before", "t._all")
-    distinct = picked.groupBy(*group, "_bucket", "_before", "_all", "value").agg(
-        F.count(F.lit(1)).alias("_copies")
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy("value")
-    start = F.col("_before") + F.sum("_copies").over(inside) - F.col("_copies")
-    spots = distinct.withColumn("_start", start)
-    stop = F.col("_start") + F.col("_copies")
+    copies = rows.groupBy(*group, "_offset", "_all", "value").agg(F.count(F.lit(1)).alias("_held"))
+    upto = F.sum("_held").over(Window.partitionBy(*group, "_offset").orderBy("value"))
+    spots = copies.withColumn("_before", F.col("_offset") + upto - F.col("_held"))
     found = spots.groupBy(*group, "_all").agg(*[
-        F.max(F.when((rank >= F.col("_start")) & (rank < stop), F.col("value"))).alias(name)
-        for name, rank in wanted.items()
+        F.max(F.when(_within(rank, F.col("_before"), F.col("_held")), F.col("value"))).alias(name)
+        for name, rank in ranks.items()
     ])
     out = []
-    for name, p in QUARTILES.items():
-        place = (F.col("_all") - 1) * F.lit(p)
+    for name, h in place.items():
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (place - F.floor(place)) * (high - low)).alias(name))
+        out.append((low + (h - F.floor(h)) * (high - low)).alias(name))
     return found.select(*group, *out)
+
+
+def _within(rank, start, count):
+    return (rank >= start) & (rank < start + count)
+
+
+def _bucket(per_octave: int):
+    """A bucket number that rises with the value: a share of an octave of its size,
+    mirrored for negative values."""
+    size = F.floor(F.log2(F.abs("value")) * per_octave).cast("long") + F.lit(per_octave * 2048)
+    return (
+        F.when(F.col("value") > 0, size)
+        .when(F.col("value") < 0, -size)
+        .otherwise(F.lit(0).cast("long"))
+    )
