@@ -58,3 +58,14 @@ def test_only_needed_columns_are_read(spark):
 def test_no_cross_joins(spark, name):
     text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_a_bucketed_panel_is_not_shuffled_again(spark, panel, tmp_path):
+    panel.write.option("path", str(tmp_path / "t")).bucketBy(4, "series_id").sortBy(
+        "series_id", "ds").saveAsTable("bucketed_panel")
+    stored = spark.table("bucketed_panel")
+    fit = tm.walk_forward(stored, "series_id", order=(2, 1, 1))
+    assert "Exchange" not in plan(tm.score(fit, "series_id"))
+    assert fit.select("yhat").exceptAll(
+        tm.walk_forward(panel, "series_id", order=(2, 1, 1)).select("yhat")).count() == 0
+    spark.sql("DROP TABLE bucketed_panel")

@@ -31,6 +31,7 @@ N_CHANGEPOINTS = 23
 CHANGEPOINT_RANGE = 0.8
 SCALES = {"seasonality": 0.1, "changepoint": 0.95, "holiday": 10.0, "trend": 5.0}
 MAX_HOLIDAY_TERMS = 2_000
+ROUNDS = 30  # renewals of the weights and the error variance
 
 
 def additive_forecast(df: DataFrame, by, y: str = "y",
@@ -155,7 +156,7 @@ def _solve(by, n_waves, n_flags, scales):
 
 
 def penalised_fit(gram: np.ndarray, n_waves: int, n_flags: int, scales: Mapping[str, float],
-                  rounds: int = 30) -> np.ndarray | None:
+                  rounds: int = ROUNDS) -> np.ndarray | None:
     """Coefficients from the augmented Gram matrix of one series.
 
     The Laplace prior enters as a ridge weight that is renewed from the last

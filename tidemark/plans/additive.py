@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import units
-from tidemark.operators.additive import CHANGEPOINT_RANGE, N_CHANGEPOINTS, additive_forecast, scaled_rows
+from tidemark.operators.additive import (
+    CHANGEPOINT_RANGE,
+    N_CHANGEPOINTS,
+    ROUNDS,
+    additive_forecast,
+    scaled_rows,
+)
 from tidemark.operators.evaluate import score, stack
 from tidemark.operators.features import fourier, future_frame, hinges, holiday_flags
 from tidemark.plans.inputs import CENTS, DAILY_SQL, DAY_SQL, KEY, WEEKLY_SQL, panel, r6_sql, table
 from tidemark.plans.registry import query, rounded
+from tidemark.plans.sqladditive import additive_steps
 
 
 def peak_days(spark, sf_dir, name: str, measure) -> DataFrame:
@@ -48,9 +55,12 @@ def union_holidays(spark, sf_dir):
     return holidays(spark, sf_dir)
 
 
-@query(f"""WITH {DAILY_SQL}, {HOLIDAYS_SQL}, touched AS (
-    SELECT DISTINCT holiday, cast(o AS int) AS "offset", cast(ds + o * interval 1 day AS date) AS ds
-    FROM holidays, generate_series(-1, 1) t(o))
+TOUCHED_SQL = """touched AS (
+  SELECT DISTINCT holiday, cast(o AS int) AS "offset", cast(ds + o * interval 1 day AS date) AS ds
+  FROM holidays, generate_series(-1, 1) t(o))"""
+
+
+@query(f"""WITH {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}
   SELECT series_id, d.ds, holiday, "offset" FROM daily d LEFT JOIN touched h ON d.ds = h.ds""")
 def holiday_features(spark, sf_dir):
     days = panel(spark, sf_dir, "D").select(KEY, "ds")
@@ -97,6 +107,19 @@ def future_dates(spark, sf_dir):
     return future_frame(panel(spark, sf_dir, "D"), KEY, 7)
 
 
+LABELS = [f"{name}|{offset}" for name in ("highest_value", "most_orders") for offset in (-1, 0, 1)]
+SMALL_SQL = additive_steps("daily", 3, LABELS, 7, ROUNDS)
+
+
+@query(f"""WITH RECURSIVE {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}, {SMALL_SQL}
+  SELECT series_id, ds, y, {r6_sql('yhat', 3)} AS yhat FROM additive""")
+def forecast_additive_weekly(spark, sf_dir):
+    """The additive model with three slope changes, the week and the holidays."""
+    found = additive_forecast(panel(spark, sf_dir, "D"), KEY, seasonalities={"weekly": (7.0, 3)},
+                              n_changepoints=3, holidays=holidays(spark, sf_dir))
+    return rounded(found, "yhat", places=3).drop("status")
+
+
 def _additive(spark, sf_dir):
     return additive_forecast(panel(spark, sf_dir, "D"), KEY, holidays=holidays(spark, sf_dir))
 
