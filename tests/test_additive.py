@@ -122,3 +122,23 @@ def test_future_frame(df):
     rows = tm.future_frame(df, "series_id", 7).where("is_future").orderBy("ds").collect()
     last = df.agg(F.max("ds")).first()[0]
     assert [r.ds for r in rows] == [last + timedelta(days=i) for i in range(1, 8)]
+
+
+def test_future_rows_are_forecast(spark, df, holidays):
+    dates = tm.future_frame(df, "series_id", 7)
+    rows = tm.align(df, dates.drop("is_future"), ["series_id", "ds"])
+    ahead = tm.additive_forecast(rows, "series_id", holidays=holidays).orderBy("ds").toPandas()
+    last = df.agg(F.max("ds")).first()[0]
+    assert list(ahead.ds) == [last + timedelta(days=i) for i in range(1, 8)]
+    assert ahead.y.isna().all() and set(ahead.status) == {"ok"}
+    # The values that a model of the same history gives when the future is known.
+    known = rows.fillna(123.0, ["y"])
+    same = tm.additive_forecast(known, "series_id", holidays=holidays).orderBy("ds").toPandas()
+    np.testing.assert_allclose(ahead.yhat, same.yhat, rtol=1e-10)
+
+
+def test_a_series_without_history_says_so(spark):
+    short = spark.createDataFrame([("s", date(2020, 1, 1) + timedelta(days=i), 1.0)
+                                   for i in range(8)], "series_id string, ds date, y double")
+    got = tm.additive_forecast(short, "series_id").collect()
+    assert len(got) == 7 and {(r.yhat, r.status) for r in got} == {(None, "short")}

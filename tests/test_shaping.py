@@ -128,6 +128,10 @@ def test_describe_skips_nan_and_reads_text(spark):
     assert (rows["t"]["min_text"], rows["t"]["max_text"]) == ("3", "x")
 
 
+def test_describe_takes_numeric_and_text_columns(spark, panel):
+    assert {r["column"] for r in tm.describe(panel).collect()} == {"series_id", "y"}
+
+
 def test_approximate_quartiles_are_close(spark):
     df = spark.range(10_001).select(F.col("id").cast("double").alias("v"))
     row = tm.describe(df, ["v"], quartiles=True, approx=True).first()

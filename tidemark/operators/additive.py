@@ -22,7 +22,7 @@ from tidemark.functions.columns import WHOLE, in_time, keys, ratio, whole_series
 from tidemark.functions.linalg import stacked
 from tidemark.functions.sizes import small_side
 from tidemark.operators.features import fourier_terms, hinges, holiday_days
-from tidemark.operators.series import drop_missing, split
+from tidemark.operators.series import split
 
 # Period in days and number of Fourier pairs of each seasonality,
 # number of slope changes, share of the history they cover, prior scales.
@@ -43,6 +43,7 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
 
     Returns the key columns, ``ds``, ``y``, ``yhat`` and ``status``.  The held-out
     rows keep their own dates, so gaps in the calendar do not shift the forecast.
+    Their ``y`` may be NULL: the rows ``future_frame`` adds can be forecast too.
     """
     by = keys(by)
     if not by:
@@ -51,7 +52,7 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
                                  holdout, ds).drop("_all")
     scales = {**SCALES, **(scales or {})}
     terms = SEASONALITIES if seasonalities is None else seasonalities
-    rows = scaled_rows(drop_missing(df, y), by, y, holdout, n_changepoints, ds)
+    rows = scaled_rows(df, by, y, holdout, n_changepoints, ds)
     rows = hinges(rows, "_t", "_knots", out="_hinges")
     blocks = [F.array(F.lit(1.0), F.col("_t")), F.col("_hinges")]
     waves = [fourier_terms(ds, period, k) for period, k in terms.values()]
@@ -65,7 +66,7 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
         F.concat(*blocks).alias("_x"),
     )
 
-    train = rows.where(~F.col("is_test") & F.col("_y").isNotNull())
+    train = rows.where(~F.col("is_test") & F.col("_y").isNotNull() & F.col("_t").isNotNull())
     sums = train.select(*by, "_y", "_x").mapInPandas(
         _partial_gram(by), keyed_schema(rows, by, "cells array<double>")
     )
@@ -89,14 +90,15 @@ def scaled_rows(df: DataFrame, by, y: str = "y", holdout: int = 7,
     time scaled to 0..1, ``_scale``, the largest absolute value, and ``_knots``, the
     scaled times of the slope changes, spread evenly over the first 80 % of its rows."""
     series, order = whole_series(by, ds), in_time(by, ds)
-    rows = split(df, by, last=holdout, ds=ds)
+    rows = split(df, by, last=holdout, ds=ds).where(F.col("is_test") | F.col(y).isNotNull())
     train = ~F.col("is_test")
     rows = rows.withColumns({
+        "pos": F.row_number().over(order),
+        "n": F.count(F.lit(1)).over(series),
         "_first": F.min(F.when(train, F.col(ds))).over(series),
         "_final": F.max(F.when(train, F.col(ds))).over(series),
         "_scale": F.max(F.when(train, F.abs(y).cast("double"))).over(series),
-        "_history": F.floor((F.col("n") - holdout) * F.lit(CHANGEPOINT_RANGE)),
-    })
+    }).withColumn("_history", F.floor((F.col("n") - holdout) * F.lit(CHANGEPOINT_RANGE)))
     span = F.datediff("_final", "_first").cast("double")
     rows = rows.withColumn("_t", ratio(F.datediff(ds, "_first").cast("double"), span))
     # Row j * (history - 1) / n rounded half to even, j = 1..n, counted from zero.

@@ -25,7 +25,8 @@ def group_mean(df: DataFrame, by, y: str = "y", out: str = "mean_y",
 
 def describe(df: DataFrame, cols: Iterable[str] | None = None, by=None, quartiles: bool = False,
              approx: bool = False) -> DataFrame:
-    """Count, mean, sample deviation, minimum and maximum, a row per column.
+    """Count, mean, sample deviation, minimum and maximum, a row per column (of
+    all numeric and text columns unless named).
 
     Text columns are summarised too: ``min_text``/``max_text`` hold their extremes
     and the numeric statistics cover the values that read as numbers.
@@ -33,7 +34,11 @@ def describe(df: DataFrame, cols: Iterable[str] | None = None, by=None, quartile
     ``approx`` takes them from a bounded sketch instead.
     """
     by = keys(by)
-    cols = [c for c in df.columns if c not in by] if cols is None else keys(cols)
+    if cols is None:
+        kinds = (T.NumericType, T.StringType)
+        cols = [f.name for f in df.schema if f.name not in by and isinstance(f.dataType, kinds)]
+    else:
+        cols = keys(cols)
     basic = _basic(df, cols, by)
     if not quartiles:
         return basic

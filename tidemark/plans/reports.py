@@ -78,6 +78,16 @@ def predicted_vs_expected_levels(spark, sf_dir):
     return rounded(shown, "predicted", "expected", places=4)
 
 
+@query(f"""{_walk_sql((0, 1, 1))} SELECT series_id, ds, 'observed' AS panel,
+  {r6_sql('exp(y)', 4)} AS value FROM tested UNION ALL
+  SELECT series_id, ds, 'forecast', {r6_sql('exp(yhat)', 4)} FROM tested""")
+def plot_forecast(spark, sf_dir):
+    """Observed and forecast levels as one long frame for a chart."""
+    shown = predicted_vs_expected(_walk(spark, sf_dir, (0, 1, 1)), KEY)
+    frame = plot_frame(shown, KEY, {"observed": "expected", "forecast": "predicted"})
+    return rounded(frame, "value", places=4)
+
+
 COMPARED = [(0, 1, 1), (0, 2, 1), (1, 0, 0), (0, 1, 2), (3, 1, 0)]
 
 

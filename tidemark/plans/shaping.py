@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import parse_date
 from tidemark.operators.decompose import decompose
 from tidemark.operators.describe import describe, group_mean
-from tidemark.operators.evaluate import stack
+from tidemark.operators.evaluate import plot_frame, stack
 from tidemark.operators.ordering import rank_values, sort_values
 from tidemark.operators.resample import resample
 from tidemark.operators.series import date_range, drop_missing, head, slice_end, tail, to_series
@@ -378,7 +378,7 @@ def rolling_std_52(spark, sf_dir):
     return rounded(rows, "rolling_std", places=5)
 
 
-PARTS_SQL = f"""WITH {WEEKLY_SQL}, placed AS (
+PARTS_STEPS = f"""{WEEKLY_SQL}, placed AS (
     SELECT series_id, ds, ln(y) AS y, row_number() OVER o AS pos,
       count(*) OVER (PARTITION BY series_id) AS n
     FROM weekly WINDOW o AS (PARTITION BY series_id ORDER BY ds)), trends AS (
@@ -390,8 +390,8 @@ PARTS_SQL = f"""WITH {WEEKLY_SQL}, placed AS (
   centres AS (SELECT series_id, avg(m) AS c FROM means GROUP BY 1), parts AS (
     SELECT t.series_id, t.ds, t.y, t.trend, m.m - c.c AS seasonal FROM trends t
     JOIN means m ON m.series_id = t.series_id AND m.phase = (t.pos - 1) % 52
-    JOIN centres c ON c.series_id = t.series_id)
-  SELECT series_id, ds, """
+    JOIN centres c ON c.series_id = t.series_id)"""
+PARTS_SQL = f"WITH {PARTS_STEPS} SELECT series_id, ds, "
 
 
 def _parts(spark, sf_dir):
@@ -413,6 +413,18 @@ def decompose_resid(spark, sf_dir):
     return rounded(_parts(spark, sf_dir), "resid").select(KEY, "ds", "resid")
 
 
+@query(f"""WITH {PARTS_STEPS}, tails AS (
+    SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds DESC) AS spot FROM parts)
+  SELECT series_id, ds, panel, {r6_sql('value')} AS value FROM (
+    SELECT series_id, ds, spot, unnest(['original', 'trend', 'seasonal', 'residual']) AS panel,
+      unnest([y, trend, seasonal, y - trend - seasonal]) AS value FROM tails) WHERE spot <= 80""")
+def plot_decomposition(spark, sf_dir):
+    """The last 80 weeks of the parts as one long frame for a chart."""
+    panels = {"original": "y", "trend": "trend", "seasonal": "seasonal", "residual": "resid"}
+    last = slice_end(_parts(spark, sf_dir), KEY, 80)
+    return rounded(plot_frame(last, KEY, panels), "value")
+
+
 @query(f"""SELECT event_type, cast(ts AS date) AS ds, {r6_sql('avg(value)', 5)} AS y
   FROM events GROUP BY 1, 2""")
 def resample_event_days(spark, sf_dir):
