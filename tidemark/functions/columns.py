@@ -31,6 +31,14 @@ def whole_series(by: str | Iterable[str] | None, ds: str = "ds") -> WindowSpec:
     return in_time(by, ds).rowsBetween(*WHOLE)
 
 
+def same_key(left: str, right: str, names: Iterable[str]) -> Column:
+    """Equality of the named columns of two aliased tables; NULL equals NULL."""
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return same
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that yields NULL, not an error, when the divisor is zero."""
     return F.try_divide(top, bottom)

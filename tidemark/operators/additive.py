@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.batches import by_series, keyed_schema
-from tidemark.functions.columns import WHOLE, in_time, keys, ratio, whole_series
+from tidemark.functions.columns import WHOLE, in_time, keys, ratio, same_key, whole_series
 from tidemark.functions.linalg import stacked
 from tidemark.functions.sizes import small_side
 from tidemark.operators.features import fourier_terms, hinges, holiday_days
@@ -74,7 +74,8 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
         _solve(by, n_waves, n_flags, scales), keyed_schema(rows, by, "beta array<double>, status string")
     )
     test = rows.where("is_test")
-    joined = test.join(fits, by, "left")
+    joined = test.alias("t").join(fits.alias("f"), same_key("t", "f", by), "left")
+    joined = joined.select("t.*", "f.beta", "f.status")
     fit = F.aggregate(
         F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
     )

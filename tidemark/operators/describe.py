@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import keys, number
+from tidemark.functions.columns import keys, number, same_key
 from tidemark.functions.sizes import small_side
 from tidemark.operators.evaluate import stack
 from tidemark.operators.resample import mean_of
@@ -43,10 +43,9 @@ def describe(df: DataFrame, cols: Iterable[str] | None = None, by=None, quartile
     if not quartiles:
         return basic
     parts = _approximate(df, cols, by) if approx else _exact(df, cols, by)
-    same = F.lit(True)
-    for c in [*by, "column"]:
-        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"q.{c}"))
-    joined = basic.alias("b").join(parts.alias("q"), same, "left")
+    joined = basic.alias("b").join(
+        parts.alias("q"), same_key("b", "q", [*by, "column"]), "left"
+    )
     return joined.select("b.*", *[f"q.{c}" for c in QUARTILES])
 
 
@@ -129,9 +128,7 @@ def _exact(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
         targets, _ = small_side(
             hist.where(hit).select(*group, "_offset", "_bucket", "_before", "_all")
         )
-        same = F.lit(True)
-        for c in [*group, "_offset", "_bucket"]:
-            same = same & F.col(f"v.{c}").eqNullSafe(F.col(f"t.{c}"))
+        same = same_key("v", "t", [*group, "_offset", "_bucket"])
         rows = rows.alias("v").join(targets.alias("t"), same).select(
             *[f"v.{c}" for c in group], "v.value", F.col("t._before").alias("_offset"), "t._all"
         )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.batches import by_series, keyed_schema
-from tidemark.functions.columns import in_time, keys, whole_series
+from tidemark.functions.columns import in_time, keys, same_key, whole_series
 from tidemark.functions.linalg import leading_residuals, stacked
 from tidemark.operators.series import drop_missing
 
@@ -223,4 +223,6 @@ def stationarity_report(df: DataFrame, by, y: str = "y", window: int = 52, ds: s
         F.min("_mean").alias("rolling_mean_low"), F.max("_mean").alias("rolling_mean_high"),
         F.min("_std").alias("rolling_std_low"), F.max("_std").alias("rolling_std_high"),
     )
-    return adf(long, group, "_value", autolag=autolag, ds=ds).join(ranges, group, "left")
+    tests = adf(long, group, "_value", autolag=autolag, ds=ds)
+    joined = tests.alias("t").join(ranges.alias("r"), same_key("t", "r", group), "left")
+    return joined.select("t.*", *[f"r.{c}" for c in ranges.columns if c not in group])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import keys
+from tidemark.functions.columns import keys, same_key
 from tidemark.functions.sizes import small_side
 
 MAX_ITEMS = 100_000
@@ -43,10 +43,7 @@ def _parts(rows: DataFrame, by: list[str], max_items: int) -> DataFrame:
     )
     large, small = small_side(large)
     spot = F.pmod(F.xxhash64("_item"), F.ceil(2 * F.col("_size") / max_items))
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}"))
-    joined = rows.alias("r").join(large.alias("l"), same, "left").select("r.*", F.coalesce(spot, F.lit(0)).cast("int").alias("part"))
+    joined = rows.alias("r").join(large.alias("l"), same_key("r", "l", by), "left").select("r.*", F.coalesce(spot, F.lit(0)).cast("int").alias("part"))
     return joined if small else joined.repartition(*by, "part")
 
 
