@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case, every other character as it is. A text of ASCII takes the fast way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
+        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` names it, also inside
+    functions that run once per array element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def is_small(df: DataFrame, most: int = 32 << 20) -> bool:
+    """True if all strings and numbers of a written table together take at most ``most``
+    bytes, so that it may be sent to every task."""
+    size = F.lit(16)
+    for c, kind in df.dtypes:
+        size = size + (F.coalesce(F.octet_length(c), F.lit(0)) + 16 if kind == "string"
+                       else F.lit(16))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:

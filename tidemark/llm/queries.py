@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import maxscore, mixing, simhash, urls
+from tidemark.llm import decontaminate, maxscore, mixing, simhash, urls
 from tidemark.plans.registry import Query
 
 
@@ -96,7 +96,48 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items, by windows of ten words."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.overlaps(documents(spark, sf_dir), bench, window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+WINNOWING_SQL = """
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+items AS (
+  SELECT item_id::varchar AS item, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n,
+         array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS v
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS v
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes)),
+hits AS (SELECT r, i, d.n, item FROM doc_windows d JOIN item_windows b ON d.n = b.n AND d.v = b.v),
+places AS (SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, list_sort(list_distinct(list(item))) AS ids FROM hits GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit,
+       coalesce(len(ids), 0)::bigint AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_maxscore, op7_mixing, op9_urls)}
+    op1_simhash, op2_maxscore, op7_mixing, op9_urls, op10_winnowing)}
 
-ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL}
+ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL,
+                          "op10_winnowing": WINNOWING_SQL}
