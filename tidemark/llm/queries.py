@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, maxscore, mixing, simhash, urls
+from tidemark.llm import decontaminate, maxscore, mixing, secret_scan, simhash, urls
+from tidemark.llm.spans import joined
 from tidemark.plans.registry import Query
 
 
@@ -13,6 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def counted(spans: str, kind: str) -> Column:
+    of_kind = F.filter(spans, lambda s: s["kind"] == kind)
+    return F.size(of_kind).cast("long").alias(f"n_{kind}")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all documents."""
     found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
@@ -42,6 +48,14 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by patterns and by tests of randomness."""
+    found = secret_scan.with_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    n = [counted("_base", kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *n, F.sha2(joined(F.col("_base")), 256).alias("base_sha256"),
+                        joined(F.col("_spans")).alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words."""
     found = mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, limit=2.0)
@@ -137,7 +151,7 @@ FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_maxscore, op7_mixing, op9_urls, op10_winnowing)}
+    op1_simhash, op2_maxscore, op6_secrets, op7_mixing, op9_urls, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL,
                           "op10_winnowing": WINNOWING_SQL}
