@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, maxscore, mixing, secret_scan, simhash, urls
+from tidemark.llm import decontaminate, maxscore, mixing, pii, secret_scan, simhash, urls
 from tidemark.llm.spans import joined
 from tidemark.plans.registry import Query
 
@@ -48,6 +48,14 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by patterns and by boosted trees."""
+    found = pii.with_spans(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return found.select("doc_id", *[counted("_base", kind) for kind in pii.KINDS],
+                        F.sha2(joined(F.col("_base")), 256).alias("base_sha256"),
+                        joined(F.col("_spans")).alias("spans"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, by patterns and by tests of randomness."""
     found = secret_scan.with_spans(documents(spark, sf_dir).select("doc_id", "text"))
@@ -151,7 +159,7 @@ FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_maxscore, op6_secrets, op7_mixing, op9_urls, op10_winnowing)}
+    op1_simhash, op2_maxscore, op4_pii, op6_secrets, op7_mixing, op9_urls, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL,
                           "op10_winnowing": WINNOWING_SQL}

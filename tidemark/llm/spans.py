@@ -16,22 +16,21 @@ from tidemark.llm.common import let
 def matches(text: Column, pattern: str, fields: dict[str, Callable[[Column, Column, Column], Column]],
             groups: Sequence[int] = (), likely: Column | None = None) -> Column:
     """The leftmost non-overlapping matches as an array of structs: start, end and ``fields``,
-    made from the match, the text between it and the match before, and the struct of ``groups``
-    (g1, g2, ...).
+    made from the match, the text between it and the match before, and a struct with the text
+    up to the next match (after) and the ``groups`` (g1, g2, ...).
 
     Splitting at the matches gives the text between them; the lengths add up to the places.
     Where ``likely`` is false the text is not searched; a text with no match is searched once.
     """
-    kinds = {name: make for name, make in fields.items()}
-    values = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-              F.split(text, pattern, -1).alias("gap")]
-    values += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
+    hits = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")]
+    hits += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
+    pieces = F.split(text, pattern, -1)
 
     def walk(zipped: Column) -> Column:
         def item(begin: Column, m: Column) -> Column:
             return F.struct(
                 begin.cast("int").alias("start"), (begin + F.length(m["hit"])).cast("int").alias("end"),
-                *[make(m["hit"], m["gap"], m).alias(name) for name, make in kinds.items()])
+                *[make(m["hit"], m["gap"], m).alias(name) for name, make in fields.items()])
 
         # The piece after the last match has no match beside it.
         pairs = F.filter(zipped, lambda m: m["hit"].isNotNull())
@@ -46,7 +45,8 @@ def matches(text: Column, pattern: str, fields: dict[str, Callable[[Column, Colu
         start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
         return F.aggregate(pairs, start, merge, lambda s: s["found"])
 
-    found = let(F.arrays_zip(*values), walk)
+    found = let(pieces, lambda gap: let(F.arrays_zip(
+        *hits, gap.alias("gap"), F.slice(gap, 2, F.size(gap)).alias("after")), walk))
     sought = F.rlike(text, F.lit(pattern))
     return F.when(sought if likely is None else likely & sought, found)
 
