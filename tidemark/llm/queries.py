@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, maxscore, mixing, pii, secret_scan, simhash, urls
+from tidemark.llm import decontaminate, langid, maxscore, mixing, pii, secret_scan, simhash, urls
 from tidemark.llm.spans import joined
 from tidemark.plans.registry import Query
 
@@ -48,6 +48,12 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by its bytes."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, by patterns and by boosted trees."""
     found = pii.with_spans(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
@@ -159,7 +165,7 @@ FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_maxscore, op4_pii, op6_secrets, op7_mixing, op9_urls, op10_winnowing)}
+    op1_simhash, op2_maxscore, op3_langid, op4_pii, op6_secrets, op7_mixing, op9_urls, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL,
                           "op10_winnowing": WINNOWING_SQL}
