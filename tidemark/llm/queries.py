@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, maxscore, mixing, pii, secret_scan, simhash, urls
+from tidemark.llm import decontaminate, langid, maxscore, mixing, pii, secret_scan, simhash, suffix_dedup, urls
 from tidemark.llm.spans import joined
 from tidemark.plans.registry import Query
 
@@ -110,6 +110,13 @@ SELECT doc_id, size, source_size, target,
 FROM placed"""
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 50 bytes that smaller documents have."""
+    found = suffix_dedup.deduplicated(documents(spark, sf_dir), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans",
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 RULES = (
     ("block", "net", "/"),
     ("allow", "example.net", "/en/"),
@@ -165,7 +172,7 @@ FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_maxscore, op3_langid, op4_pii, op6_secrets, op7_mixing, op9_urls, op10_winnowing)}
+    op1_simhash, op2_maxscore, op3_langid, op4_pii, op6_secrets, op7_mixing, op8_suffixes, op9_urls, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL,
                           "op10_winnowing": WINNOWING_SQL}
