@@ -40,6 +40,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def boxed(df: DataFrame, *names: str, apart: bool = False) -> DataFrame:
+    """All columns of ``df`` in one struct ``_row``, beside copies of the named ones: whatever the
+    others are called, working columns cannot clash with them. With ``apart`` the named ones are
+    left out of the struct."""
+    inside = [df[c] for c in df.columns if not (apart and c in names)]
+    return df.select(F.struct(*(inside or [F.lit(None).alias("none")])).alias("_row"),
+                     *[df[c] for c in names])
+
+
+def unboxed(columns: list[str], **instead: Column) -> list[Column]:
+    """The columns of the struct that ``boxed`` made, those in ``instead`` replaced."""
+    return [instead.get(c, F.col("_row").getField(c)).alias(c) for c in columns]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is. A text of ASCII takes the fast way."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

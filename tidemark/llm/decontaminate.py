@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, is_small, let, lower_ascii, written
+from tidemark.llm.common import boxed, is_small, let, lower_ascii, unboxed, written
 
 WINDOW = 10
 GRAM = 5
@@ -127,8 +127,9 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int
 def without_overlap(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                     gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
-    (key,) = fresh(docs, "row_hash")
     hit = overlaps(docs, items, window, gram).where("n_hit > 0").select(
         F.col("row_hash").alias("_hit")).distinct()
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    return keyed.join(hit, keyed[key] == hit["_hit"], "left_anti").drop(key)
+    keyed = boxed(docs, "doc_id", "text").select(
+        "_row", F.xxhash64("doc_id", "text").alias("_key"))
+    clean = keyed.join(hit, F.col("_key") == F.col("_hit"), "left_anti")
+    return clean.select(*unboxed(docs.columns))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.boosting import Boosted, calibrated, fit
-from tidemark.llm.common import held, let, written
+from tidemark.llm.common import boxed, held, let, unboxed, written
 from tidemark.llm.spans import masked, matches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -219,7 +219,8 @@ def with_spans(docs: DataFrame, precision: float = 0.95) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[PRIVATE]", precision: float = 0.95) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``."""
-    found = with_spans(docs, precision)
+    found = with_spans(boxed(docs, "doc_id", "text", apart=True), precision)
     by_start = F.array_sort(F.transform("_spans", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"))))
-    return found.withColumn("text", masked(F.col("text"), by_start, mark)).select(*docs.columns)
+    return found.select(*unboxed(
+        docs.columns, doc_id=F.col("doc_id"), text=masked(F.col("text"), by_start, mark)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, maxscore, mixing, pii, secret_scan, simhash, suffix_dedup, urls
+from tidemark.llm import decontaminate, gru_lm, langid, maxscore, mixing, pii, secret_scan, simhash, suffix_dedup, urls
 from tidemark.llm.spans import joined
 from tidemark.plans.registry import Query
 
@@ -62,6 +62,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("_spans")).alias("spans"))
 
 
+def op5_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents by a recurrent language model."""
+    return gru_lm.score_documents(documents(spark, sf_dir))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, by patterns and by tests of randomness."""
     found = secret_scan.with_spans(documents(spark, sf_dir).select("doc_id", "text"))
@@ -172,7 +177,7 @@ FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_maxscore, op3_langid, op4_pii, op6_secrets, op7_mixing, op8_suffixes, op9_urls, op10_winnowing)}
+    op1_simhash, op2_maxscore, op3_langid, op4_pii, op5_gru, op6_secrets, op7_mixing, op8_suffixes, op9_urls, op10_winnowing)}
 
 ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL,
                           "op10_winnowing": WINNOWING_SQL}

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, written
+from tidemark.llm.common import boxed, let, unboxed, written
 from tidemark.llm.spans import masked, matches
 
 # The patterns of the base kinds. Possessive forms match what the plain ones match.
@@ -181,8 +181,9 @@ def ordinary(rows: DataFrame, q: float) -> DataFrame:
 def with_spans(docs: DataFrame, q: float = 0.1) -> DataFrame:
     """Every column of ``docs``, with ``_base`` (start, end, kind) and ``_spans``: the base
     spans and the tokens that the tests leave as random, kind ``random``, by start. Null and
-    empty texts have none; repeated rows get equal rows."""
-    rows = scanned(docs.drop("_base", "_spans", "_tokens"))
+    empty texts have none; repeated rows get equal rows. Columns of ``docs`` that begin with an
+    underscore and are named like the working columns are replaced."""
+    rows = scanned(docs.drop("_base", "_spans", "_tokens", "_found", "_limits"))
     limits = ordinary(rows, q).agg(F.map_from_entries(F.collect_list(
         F.struct("stratum", "ordinary_from"))).alias("_limits"))  # one row
     extra = F.transform(F.filter("_tokens", lambda t: step_of(t["test"]["p"]) < F.coalesce(
@@ -200,10 +201,13 @@ def with_spans(docs: DataFrame, q: float = 0.1) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.1) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; a column ``n_chars`` is
     counted anew where the text has changed."""
-    found = with_spans(docs, q)
+    found = with_spans(boxed(docs, "text", apart=True), q)
     changed = F.size("_spans") > 0
-    found = found.withColumn("text", masked(F.col("text"), F.col("_spans"), mark))
+    text = masked(F.col("text"), F.col("_spans"), mark)
+    found = found.withColumn("_new", text)
+    instead = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long"))
-                                 .otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        instead["n_chars"] = F.when(changed, F.length("_new").cast(kind)).otherwise(
+            F.col("_row").getField("n_chars"))
+    return found.select(*unboxed(docs.columns, **instead))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, lower_ascii, written
+from tidemark.llm.common import boxed, lower_ascii, unboxed, written
 
 # Longer substrings are no words of the model; a label is split whole all the same.
 LONGEST = 20
@@ -111,10 +111,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]],
     (a tie allows). Repeated rows are judged alike, and each is counted once in learning.
     Columns of these names in ``pages`` are replaced.
     """
-    pages = pages.drop("host", "path", "rule", "verdict", "log_odds")
-    host, path, fit, row = fresh(pages, "host", "path", "_fit", "_words")
+    columns = [c for c in pages.columns
+               if c.lower() not in ("host", "path", "rule", "verdict", "log_odds")]
+    host, path, fit = "_host", "_path", "_fit"
     base = (
-        pages.withColumn(host, F.coalesce(host_of(F.col("url")), F.lit("")))
+        boxed(pages, "url").withColumn(host, F.coalesce(host_of(F.col("url")), F.lit("")))
         .withColumn(path, F.coalesce(path_of(F.col("url")), F.lit("")))
         .withColumn(fit, rule_of(F.col(host), F.col(path), rules))
     )
@@ -163,7 +164,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]],
         base.join(scored, (F.col(host) == h) & (F.col(path) == p), "left")
         .crossJoin(F.broadcast(prior))  # one row
         .withColumn("_odds", F.when(F.col(fit).isNull(), odds))
-        .select(*pages.columns, F.col(host).alias("host"), F.col(path).alias("path"),
+        .select(*unboxed(columns), F.col(host).alias("host"), F.col(path).alias("path"),
                 F.col(f"{fit}.rule").alias("rule"),
                 F.coalesce(F.col(f"{fit}.verdict"),
                            F.when(F.col("_odds") > 0, blocked).otherwise(allowed))
