@@ -149,9 +149,10 @@ def windows(text: bytes) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(line, SPAN)[::WINDOW]
 
 
-def train(samples: list[tuple[bytes, str]], epochs: int = 5, batch: int = 128,
+def train(samples: list[tuple[bytes, str]], steps: int = 240, batch: int = 128,
           rate: float = 0.02, seed: int = 1) -> Network:
-    """Adam over the windows of the samples, in an order fixed by the seed."""
+    """Adam over the windows of the samples, in an order fixed by the seed, again and again until
+    at least ``steps`` batches are done."""
     languages = tuple(sorted({lang for _, lang in samples}))
     net = initial(languages, seed)
     cut = [windows(t) for t, _ in samples]
@@ -161,7 +162,7 @@ def train(samples: list[tuple[bytes, str]], epochs: int = 5, batch: int = 128,
     first = [np.zeros_like(a) for a in net.parts]
     second = [np.zeros_like(a) for a in net.parts]
     step = 0
-    for _ in range(epochs):
+    while len(codes) and step < steps:
         order = rng.permutation(len(codes))
         for i in range(0, len(order), batch):
             rows = order[i:i + batch]
