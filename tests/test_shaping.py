@@ -176,6 +176,40 @@ def test_to_series_turns_nan_into_null(spark):
     assert tm.drop_missing(tm.to_series(df, "k", "d", "v"), "y").count() == 1
 
 
+def test_quartiles_of_infinite_values_and_many_keys(spark):
+    rng = np.random.default_rng(3)
+    values = [1.0, 2.0, float("inf"), 3.0], [float("-inf")] * 3, [5.0] * 2000, rng.normal(size=4001)
+    rows = [(k, float(v)) for k, part in enumerate(values) for v in part]
+    rows += [(k, float(v)) for k in range(10, 60) for v in rng.integers(0, 9, k)]
+    df = spark.createDataFrame([*rows, (None, 7.0), (99, None)], "k int, v double")
+    got = {r.k: (r.q25, r.q50, r.q75) for r in tm.describe(df, ["v"], by="k", quartiles=True).collect()}
+    assert got[0] == (1.75, 2.5, float("inf")) and got[1] == (float("-inf"),) * 3
+    assert got[None] == (7.0,) * 3 and got[99] == (None,) * 3
+    for k in (2, 3, *range(10, 60)):
+        want = np.quantile([v for i, v in rows if i == k], [0.25, 0.5, 0.75])
+        assert np.allclose(got[k], want, atol=1e-12)
+
+
+def test_quartiles_read_the_table_three_times(spark, tmp_path):
+    """For the bounds, for the counts below them, and for the values inside."""
+    spark.range(5000).selectExpr("id % 7 k", "id a", "id * 2 b").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    from tidemark.operators.describe import _exact
+    for by in ([], ["k"]):
+        found = _exact(rows, ["a", "b"], by)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        final = plan[:plan.index("== Initial Plan ==")]
+        assert final.count("FileScan") <= 3
+
+
+def test_align_meets_null_keys(spark):
+    a = spark.createDataFrame([("x", 1), (None, 2)], "k string, a int")
+    b = spark.createDataFrame([(None, 3), ("y", 4)], "k string, b int")
+    rows = {r.k: (r.a, r.b) for r in tm.align(a, b, ["k"]).collect()}
+    assert rows == {"x": (1, None), None: (2, 3), "y": (None, 4)}
+
+
 def test_align_and_stack(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k int, b string")

@@ -86,7 +86,7 @@ PEOPLE = [
 def test_nesting(spark):
     df = spark.createDataFrame(PEOPLE, "dept string, firstName string, email string, salary long")
     fields = ["firstName", "email", "salary"]
-    rows = tm.nest(df, "dept", fields, "employees", order="salary")
+    rows = tm.nest(df, "dept", (), fields, "employees", order="salary")
     got = {r.dept: r.employees for r in rows.collect()}
     assert [p.firstName for p in got["north"]] == ["Ada", "Bo"]
     assert got["south"][1].asDict() == {"firstName": None, "email": "d@x", "salary": 160}
@@ -96,16 +96,26 @@ def test_nesting(spark):
     assert {r.email for r in tm.first_element(empty, "employees", "email").collect()} == {None}
 
 
-def test_a_hot_key_is_nested_in_parts(spark):
-    df = spark.range(3000).select(
-        F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id"
-    )
-    rows = tm.nest(df, "k", ["id"], "items", order="id", max_items=100)
-    hot = rows.where("k = 'hot'").collect()
-    assert len(hot) > 5 and max(len(r["items"]) for r in hot) < 200
-    assert sorted(i.id for r in hot for i in r["items"]) == list(range(1000))
-    assert rows.where("k <> 'hot' and part <> 0").count() == 0
-    assert rows.selectExpr("sum(size(items))").first()[0] == 3000
+def test_a_hot_key_is_laid_out_and_has_one_first_element(spark):
+    df = spark.range(300_000).select(
+        F.lit("hot").alias("k"), (F.lit(300_000) - F.col("id")).alias("id"),
+        F.floor(F.col("id") / 1000).alias("block"))
+    df = df.union(spark.createDataFrame([("cold", 5, 0), ("none", None, 1)], "k string, id long, block long"))
+    rows = tm.nest(df, "k", "block", ["id"], "items", order="id")
+    hot = rows.where("k = 'hot'")
+    assert hot.count() == 300
+    assert hot.selectExpr("max(size(items))", "sum(size(items))").first()[:] == (1000, 300_000)
+    first = {r.k: (r.id, r.block) for r in tm.first_of(df, "k", ["id", "block"], "id").collect()}
+    assert first == {"hot": (1, 299), "cold": (5, 0), "none": (None, 1)}
+
+
+def test_nested_literal_rows_with_nulls(spark):
+    rows = [(("1", "math"), [("Ada", None, "a@x", 100), (None, None, None, None)]), (None, None)]
+    df = tm.literal(spark, rows, "department struct<id:string,name:string>, "
+                    "employees array<struct<firstName:string,lastName:string,email:string,salary:long>>")
+    got = tm.first_element(df, "employees", "firstName", "first").select("department.name", "first")
+    assert [tuple(r) for r in got.collect()] == [("math", "Ada"), (None, None)]
+    assert df.first().employees[1].asDict() == dict.fromkeys(("firstName", "lastName", "email", "salary"))
 
 
 def test_scratch_follows_the_session(spark, tmp_path):

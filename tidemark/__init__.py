@@ -33,7 +33,7 @@ from tidemark.operators.series import (
 )
 from tidemark.operators.transforms import difference, exp, integrate, log, rolling
 from tidemark.session import configure
-from tidemark.sources.nested import first_element, nest
+from tidemark.sources.nested import first_element, first_of, nest
 from tidemark.sources.readers import literal, parse_json_records, read_csv, read_json, read_lines
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
 
@@ -53,6 +53,7 @@ __all__ = [
     "exp",
     "fill_calendar",
     "first_element",
+    "first_of",
     "forecast_next",
     "fourier",
     "future_frame",

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import keys, number, same_key
-from tidemark.functions.sizes import small_side
 from tidemark.operators.evaluate import stack
 from tidemark.operators.resample import mean_of
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-BUCKETS_PER_OCTAVE = (2**10, 2**22)
+# Accuracy of the sketch, the margin around a quartile (as a share of the rows), and the number of
+# rows from which on the margin holds the rows next to the quartile whatever the sketch's error.
+SKETCH, MARGIN, FEW = 10_000, 0.0025, 1_000
 
 
 def group_mean(df: DataFrame, by, y: str = "y", out: str = "mean_y",
@@ -99,64 +100,67 @@ def _approximate(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 
 
 def _exact(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Exact quartiles without bringing a group together in one place.
+    """Exact quartiles in three lazy passes over the table, without laying rows out by column.
 
-    Values are counted in fixed logarithmic buckets; the running counts tell which
-    buckets hold the wanted ranks, and only rows in those are looked at again,
-    first in finer buckets and then value by value.
+    The first pass takes a sketch of each column, whose rank error is at most 1 in ``SKETCH``, and
+    from it bounds around each quartile.  One more counts the values below the bounds, and one keeps
+    those inside, ``2 * MARGIN`` of all for each quartile, counted by value.  A group of fewer than
+    ``FEW`` rows, in which the margin may be less than a row, keeps all its values.
     """
-    group = [*by, "column"]
-    rows = _long(df, cols, by).withColumn("_offset", F.lit(0).cast("long"))
-    place = {name: (F.col("_all") - 1) * F.lit(p) for name, p in QUARTILES.items()}
-    ranks = {f"_{side}_{name}": f(h) for name, h in place.items()
-             for side, f in (("lo", F.floor), ("hi", F.ceil))}
-
-    for level, per_octave in enumerate(BUCKETS_PER_OCTAVE):
-        rows = rows.withColumn("_bucket", _bucket(per_octave))
-        # All rows with one offset lie in one bucket of the level before.
-        place_in = [*group, "_offset"] + (["_all"] if level else [])
-        hist = rows.groupBy(*place_in, "_bucket").agg(F.count(F.lit(1)).alias("_held"))
-        inside = Window.partitionBy(*group, "_offset")
-        if not level:
-            hist = hist.withColumn("_all", F.sum("_held").over(inside))
-        upto = F.sum("_held").over(inside.orderBy("_bucket"))
-        hist = hist.withColumn("_before", F.col("_offset") + upto - F.col("_held"))
-        hit = F.lit(False)
-        for rank in ranks.values():
-            hit = hit | _within(rank, F.col("_before"), F.col("_held"))
-        # At most six per group and column.
-        targets, _ = small_side(
-            hist.where(hit).select(*group, "_offset", "_bucket", "_before", "_all")
-        )
-        same = same_key("v", "t", [*group, "_offset", "_bucket"])
-        rows = rows.alias("v").join(targets.alias("t"), same).select(
-            *[f"v.{c}" for c in group], "v.value", F.col("t._before").alias("_offset"), "t._all"
-        )
-
-    copies = rows.groupBy(*group, "_offset", "_all", "value").agg(F.count(F.lit(1)).alias("_held"))
-    upto = F.sum("_held").over(Window.partitionBy(*group, "_offset").orderBy("value"))
-    spots = copies.withColumn("_before", F.col("_offset") + upto - F.col("_held"))
-    found = spots.groupBy(*group, "_all").agg(*[
-        F.max(F.when(_within(rank, F.col("_before"), F.col("_held")), F.col("value"))).alias(name)
-        for name, rank in ranks.items()
-    ])
-    out = []
-    for name, h in place.items():
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (h - F.floor(h)) * (high - low)).alias(name))
-    return found.select(*group, *out)
+    values = df.select(*by, *[_value(df, c).alias(f"_v{i}") for i, c in enumerate(cols)])
+    spots = [F.lit(p + side * MARGIN) for p in QUARTILES.values() for side in (-1, 1)]
+    bounds = values.groupBy(*by).agg(*[
+        F.struct(
+            F.percentile_approx(f"_v{i}", F.array(*spots), F.lit(SKETCH)).alias("at"),
+            F.count(f"_v{i}").alias("n"), F.min(f"_v{i}").alias("min"), F.max(f"_v{i}").alias("max"),
+        ).alias(f"_b{i}") for i in range(len(cols))])
+    same = same_key("v", "b", by)
+    joined = values.alias("v").join(bounds.alias("b"), same) if by else values.alias("v").crossJoin(
+        F.broadcast(bounds.alias("b")))  # one row
+
+    below, inside = [], [F.struct(F.lit(-1).alias("_k"), F.lit(None).cast("double").alias("_value"))]
+    for i in range(len(cols)):
+        v, b = F.col(f"v._v{i}"), F.col(f"b._b{i}")
+        for q in range(len(QUARTILES)):
+            few = b["n"] < FEW
+            low = F.when(few, b["min"]).otherwise(F.get(b["at"], F.lit(2 * q)))
+            high = F.when(few, b["max"]).otherwise(F.get(b["at"], F.lit(2 * q + 1)))
+            below.append(F.when(v < low, 1).otherwise(0))
+            inside.append(F.when((v >= low) & (v <= high), F.struct(
+                F.lit(i * len(QUARTILES) + q).alias("_k"), v.alias("_value"))))
+    slots, each = range(len(below)), range(len(cols))
+    rows = joined.select(
+        *[F.col(f"v.{c}") for c in by], *[below[k].alias(f"_low{k}") for k in slots],
+        *[F.col(f"b._b{i}.n").alias(f"_n{i}") for i in each], F.inline(F.array_compact(F.array(*inside))))
+    values_held = rows.where("_k >= 0").groupBy(*by, "_k", "_value").agg(F.count(F.lit(1)).alias("_held"))
+    upto = F.sum("_held").over(Window.partitionBy(*by, "_k").orderBy("_value"))
+    running = values_held.withColumn("_upto", upto)
+    # One row per group, with what is below the bounds and how many values each column has.
+    lows = rows.where("_k < 0").groupBy(*by).agg(
+        *[F.sum(f"_low{k}").alias(f"_low{k}") for k in slots], *[F.max(f"_n{i}").alias(f"_n{i}") for i in each],
+    ).select(*by, F.array(*[f"_low{k}" for k in slots]).alias("_low"),
+             F.array(*[f"_n{i}" for i in each]).alias("_n"))
+    placed = running.alias("r").join(lows.alias("l"), same_key("r", "l", by)) if by else running.alias(
+        "r").crossJoin(F.broadcast(lows.alias("l")))  # one row
+    start = F.get(F.col("l._low"), F.col("r._k")) + F.col("r._upto") - F.col("r._held")
+    n = F.get(F.col("l._n"), F.floor(F.col("r._k") / len(QUARTILES)).cast("int"))
+    ranked = placed.select(*[F.col(f"r.{c}") for c in by], "r._k", "r._value", "r._held",
+                           start.alias("_start"), n.alias("_n")).alias("p")
+    part = F.get(F.array(*[F.lit(p) for p in QUARTILES.values()]), F.col("p._k") % len(QUARTILES))
+    place = (F.col("p._n") - 1) * part
+    ends = [F.max(F.when(_within(f(place), F.col("p._start"), F.col("p._held")), F.col("p._value")))
+            for f in (F.floor, F.ceil)]
+    found = ranked.groupBy(*[F.col(f"p.{c}") for c in by], "p._k").agg(
+        *[e.alias(n) for e, n in zip(ends, ("_lo", "_hi"))], F.max(place - F.floor(place)).alias("_share"))
+    # Between two equal values, infinite ones too, there is nothing to interpolate.
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
+        F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return found.groupBy(*by, F.get(names, F.floor(F.col("_k") / len(QUARTILES)).cast("int"))
+                         .alias("column")).agg(*[
+        F.max(F.when(F.col("_k") % len(QUARTILES) == q, value)).alias(name)
+        for q, name in enumerate(QUARTILES)])
 
 
 def _within(rank, start, count):
     return (rank >= start) & (rank < start + count)
-
-
-def _bucket(per_octave: int):
-    """A bucket number that rises with the value: a share of an octave of its size,
-    mirrored for negative values."""
-    size = F.floor(F.log2(F.abs("value")) * per_octave).cast("long") + F.lit(per_octave * 2048)
-    return (
-        F.when(F.col("value") > 0, size)
-        .when(F.col("value") < 0, -size)
-        .otherwise(F.lit(0).cast("long"))
-    )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import keys, ratio
+from tidemark.functions.columns import keys, ratio, same_key
 
 
 def _errors(y: str, yhat: str) -> tuple[Column, Column]:
@@ -61,8 +61,12 @@ def compare(forecasts: DataFrame, by, y: str = "y", yhat: str = "yhat") -> DataF
 
 
 def align(a: DataFrame, b: DataFrame, on: Iterable[str]) -> DataFrame:
-    """Two tables side by side on the key, keeping the rows of both."""
-    return a.join(b, keys(on), "full")
+    """Two tables side by side on the key, keeping the rows of both; NULL keys meet."""
+    on = keys(on)
+    joined = a.alias("a").join(b.alias("b"), same_key("a", "b", on), "full")
+    return joined.select(
+        *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in on],
+        *[f"a.{c}" for c in a.columns if c not in on], *[f"b.{c}" for c in b.columns if c not in on])
 
 
 def stack(*tables: DataFrame) -> DataFrame:

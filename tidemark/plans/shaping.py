@@ -29,7 +29,7 @@ from tidemark.plans.inputs import (
     table,
 )
 from tidemark.plans.registry import query, r6, rounded
-from tidemark.sources.nested import first_element, nest
+from tidemark.sources.nested import first_of, nest
 from tidemark.sources.readers import literal, parse_json_records, read_csv, read_json, read_lines
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
 
@@ -121,39 +121,43 @@ def text_lines_ranked(spark, sf_dir):
 NESTED_FIELDS = {"key": "o_orderkey", "day": "day", "price": "o_totalprice"}
 
 
-def _customer_orders(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
-    arrays = nest(orders, "o_custkey", NESTED_FIELDS, "orders", order="key")
-    customers = table(spark, sf_dir, "customer").select(
-        "c_custkey", F.struct("c_name", "c_mktsegment").alias("customer")
-    )
-    return customers.join(arrays, F.col("c_custkey") == F.col("o_custkey"), "left")
+def _orders_with_day(spark, sf_dir):
+    return table(spark, sf_dir, "orders").withColumns(
+        {"day": F.to_date("o_orderdate"), "year": F.year("o_orderdate")})
 
 
-@query(f"""SELECT c_custkey, any_value(c_name) AS name, any_value(c_mktsegment) AS segment,
+@query(f"""SELECT c_custkey, cast(year({DAY_SQL}) AS integer) AS year, any_value(c_name) AS name,
+  any_value(c_mktsegment) AS segment,
   coalesce(string_agg(o_orderkey || '|' || {DAY_SQL} || '|' || printf('%.2f', o_totalprice), ','
     ORDER BY o_orderkey), '') AS listed
-  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
 def nested_customer_orders(spark, sf_dir):
-    """Each customer as a struct with the array of its orders, shown as text."""
+    """Each customer as a struct with the arrays of its orders, laid out by year, shown as text."""
+    arrays = nest(_orders_with_day(spark, sf_dir), "o_custkey", "year", NESTED_FIELDS, "orders",
+                  order="key")
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.struct("c_name", "c_mktsegment").alias("customer")
+    )
     line = F.transform(
         "orders", lambda o: F.concat_ws("|", o["key"], o["day"], F.printf(F.lit("%.2f"), o["price"]))
     )
-    return _customer_orders(spark, sf_dir).select(
-        "c_custkey", F.col("customer.c_name").alias("name"),
+    return customers.join(arrays, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        "c_custkey", "year", F.col("customer.c_name").alias("name"),
         F.col("customer.c_mktsegment").alias("segment"),
         F.coalesce(F.array_join(line, ","), F.lit("")).alias("listed"),
     )
 
 
-@query(f"""SELECT c_custkey, min(o_orderkey) AS key, arg_min({DAY_SQL}, o_orderkey) AS day,
+@query(f"""SELECT c_custkey, cast(year(arg_min({DAY_SQL}, o_orderkey)) AS integer) AS year,
+  min(o_orderkey) AS key, arg_min({DAY_SQL}, o_orderkey) AS day,
   arg_min(o_totalprice, o_orderkey) AS price
   FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
 def nested_first_element(spark, sf_dir):
-    rows = _customer_orders(spark, sf_dir)
-    for field in NESTED_FIELDS:
-        rows = first_element(rows, "orders", field)
-    return rows.select("c_custkey", *NESTED_FIELDS)
+    """The first order of each customer, with the year it is laid out under."""
+    first = first_of(_orders_with_day(spark, sf_dir), "o_custkey", {"year": "year", **NESTED_FIELDS},
+                     order="o_orderkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return customers.join(first, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
 
 
 @query(f"WITH {WEEKLY_SQL} SELECT series_id, ds, y FROM weekly")
@@ -267,13 +271,27 @@ def _describe_sql(c, extra=""):
       {r6_sql(f'stddev_samp({c})', 4)} AS std, min({c}) AS min, max({c}) AS max{extra} FROM lineitem"""
 
 
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *DESCRIBED]
+TEXTS = ["l_returnflag", "l_linestatus"]
+
+
 @query(" UNION ALL ".join(_describe_sql(
-    c, ", cast(NULL AS varchar) AS min_text, cast(NULL AS varchar) AS max_text") for c in DESCRIBED)
-    + """ UNION ALL SELECT 'l_returnflag', count(l_returnflag), NULL, NULL, NULL, NULL,
-      min(l_returnflag), max(l_returnflag) FROM lineitem""")
+    c, ", cast(NULL AS varchar) AS min_text, cast(NULL AS varchar) AS max_text") for c in NUMBERS)
+    + "".join(f""" UNION ALL SELECT '{c}', count({c}), NULL, NULL, NULL, NULL,
+      min({c}), max({c}) FROM lineitem""" for c in TEXTS))
 def describe_basic(spark, sf_dir):
-    rows = describe(table(spark, sf_dir, "lineitem"), [*DESCRIBED, "l_returnflag"])
-    return rounded(rows, "mean", "std", places=4)
+    """Every numeric and text column."""
+    return rounded(describe(table(spark, sf_dir, "lineitem")), "mean", "std", places=4)
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS "count", NULL::double AS mean,
+    NULL::double AS min, NULL::double AS max, min({c}) AS min_text, max({c}) AS max_text FROM part"""
+    if t else f"""SELECT '{c}', count({c}), {r6_sql(f'avg({c})', 4)}, min({c}), max({c}), NULL, NULL
+    FROM part""" for c, t in (("p_name", 1), ("p_brand", 1), ("p_type", 1), ("p_partkey", 0),
+                              ("p_size", 0), ("p_retailprice", 0))))
+def describe_text(spark, sf_dir):
+    """Every column of a table that has mostly text."""
+    return rounded(describe(table(spark, sf_dir, "part")), "mean", places=4).drop("std")
 
 
 @query(" UNION ALL ".join(_describe_sql(c, "".join(

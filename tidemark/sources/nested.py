@@ -2,52 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import keys, same_key
-from tidemark.functions.sizes import small_side
+from tidemark.functions.columns import keys
 
-MAX_ITEMS = 100_000
 
+def nest(df: DataFrame, by, layout: str | Iterable[str], struct_cols: Mapping[str, str] | Sequence[str],
+         array_name: str, order: str) -> DataFrame:
+    """One row per key and ``layout`` with an array of structs, sorted by the field ``order``.
 
-def nest(df: DataFrame, by, struct_cols: Mapping[str, str] | Sequence[str], array_name: str,
-         order: str, max_items: int | None = MAX_ITEMS) -> DataFrame:
-    """One row per key with an array of structs, sorted by the field ``order``.
-
-    ``struct_cols`` names the fields (a mapping gives them new names).  A key with
-    more than ``max_items`` rows is laid out over several rows, numbered by
-    ``part``, so that no task has to hold it whole; all others have the one part
-    0.  The parts of a key are told apart by a hash of the row, so ``order`` should
-    be unique within a key.  ``max_items=None`` skips the count of rows per key, for
-    groups known to be small.
+    ``struct_cols`` names the fields (a mapping gives them new names).  ``layout`` is a column, or
+    several, by which the array of a key is always laid out over rows and which are returned as part
+    of the key, such as the year of an order: it bounds what one task holds, whatever the number
+    of rows of a key.  An empty ``layout`` gives one array per key, for keys known to be small.
     """
-    by = keys(by)
+    by = [*keys(by), *keys(layout)]
     fields = struct_cols if isinstance(struct_cols, Mapping) else {c: c for c in struct_cols}
     if order not in fields:
         raise ValueError("order must be one of the fields")
     lead = [order, *[f for f in fields if f != order]]
     item = F.struct(*[F.col(fields[f]).alias(f) for f in lead])
     shown = F.transform("_items", lambda s: F.struct(*[s[f].alias(f) for f in fields]))
-    rows = df.select(*by, item.alias("_item"))
-    rows = rows.withColumn("part", F.lit(0)) if max_items is None else _parts(rows, by, max_items)
-    grouped = rows.groupBy(*by, "part").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-    return grouped.select(*by, "part", shown.alias(array_name))
-
-
-def _parts(rows: DataFrame, by: list[str], max_items: int) -> DataFrame:
-    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).where(
-        F.col("_size") > max_items
-    )
-    large, small = small_side(large)
-    spot = F.pmod(F.xxhash64("_item"), F.ceil(2 * F.col("_size") / max_items))
-    joined = rows.alias("r").join(large.alias("l"), same_key("r", "l", by), "left").select("r.*", F.coalesce(spot, F.lit(0)).cast("int").alias("part"))
-    return joined if small else joined.repartition(*by, "part")
+    grouped = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    return grouped.select(*by, shown.alias(array_name))
 
 
 def first_element(df: DataFrame, array_col: str, field: str, out: str | None = None) -> DataFrame:
     """Add a field of the first struct of an array, NULL if the array is empty."""
     value: Column = F.get(F.col(array_col), F.lit(0))[field]
     return df.withColumn(out or field, value)
+
+
+def first_of(df: DataFrame, by, fields: Mapping[str, str] | Sequence[str], order: str) -> DataFrame:
+    """One row per key with the ``fields`` of its first row by the column ``order`` (NULL last), as
+    the first element of its nested array would have them, but as a partial and a final minimum: no
+    array is built, however many rows a key has."""
+    by = keys(by)
+    fields = fields if isinstance(fields, Mapping) else {c: c for c in fields}
+    row = F.struct(F.col(order).isNull().alias("_none"), F.col(order).alias("_order"),
+                   *[F.col(c).alias(f) for f, c in fields.items()])
+    first = df.groupBy(*by).agg(F.min(row).alias("_first"))
+    return first.select(*by, *[F.col(f"_first.{f}").alias(f) for f in fields])
