@@ -160,6 +160,26 @@ def test_adf_tells_noise_from_a_walk(spark):
     assert tm.adf(df.where("series_id = 'walk'"), []).first().stat == pytest.approx(got["walk"].stat)
 
 
+def test_adf_of_a_long_series_by_blocks(spark):
+    """120,000 rows: a lag above 64, and more than one block of rows."""
+    rng = np.random.default_rng(8)
+    y = np.cumsum(rng.standard_normal(120_000)) + rng.standard_normal(120_000)
+    df = spark.range(len(y)).select(
+        F.lit("x").alias("series_id"), F.date_add(F.lit("1700-01-01").cast("date"), F.col("id").cast("int"))
+        .alias("ds"), "id")
+    values = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(y)), "y": y}))
+    got = tm.adf(df.join(values, "id").drop("id"), "series_id", autolag=None).first()
+    dy, top = np.diff(y), int(np.ceil(12 * (len(y) / 100) ** 0.25))
+    past = np.lib.stride_tricks.sliding_window_view(dy, top + 1)[:, ::-1]
+    x = np.column_stack([np.ones(len(past)), y[top:-1], past[:, 1:]])
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ (x.T @ past[:, 0])
+    ssr = ((past[:, 0] - x @ beta) ** 2).sum()
+    want = beta[1] / np.sqrt(ssr / (len(x) - x.shape[1]) * inverse[1, 1])
+    assert got.used_lag == top > 64 and got.n_obs == len(x)
+    assert got.stat == pytest.approx(want, rel=1e-6)
+
+
 def test_adf_of_a_short_series(spark):
     df = spark.createDataFrame([("s", date(2020, 1, i), float(i)) for i in range(1, 4)],
                                "series_id string, ds date, y double")

@@ -6,7 +6,7 @@ columns are always named by the ``by`` argument.
 """
 
 from tidemark.functions.columns import parse_date, week_end
-from tidemark.operators.additive import additive_forecast
+from tidemark.operators.additive import additive_components, additive_forecast
 from tidemark.operators.arima import best_order, forecast_next, grid_search, walk_forward
 from tidemark.operators.decompose import decompose
 from tidemark.operators.describe import describe, group_mean
@@ -38,6 +38,7 @@ from tidemark.sources.readers import literal, parse_json_records, read_csv, read
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
 
 __all__ = [
+    "additive_components",
     "additive_forecast",
     "adf",
     "align",

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.batches import by_series, keyed_schema
 from tidemark.functions.columns import WHOLE, in_time, keys, ratio, same_key, whole_series
 from tidemark.functions.linalg import stacked
-from tidemark.functions.sizes import small_side
 from tidemark.operators.features import fourier_terms, hinges, holiday_days
 from tidemark.operators.series import split
 
@@ -30,8 +29,9 @@ SEASONALITIES = {"yearly": (365.25, 10), "weekly": (7.0, 3), "monthly": (30.5, 1
 N_CHANGEPOINTS = 23
 CHANGEPOINT_RANGE = 0.8
 SCALES = {"seasonality": 0.1, "changepoint": 0.95, "holiday": 10.0, "trend": 5.0}
-MAX_HOLIDAY_TERMS = 2_000
-ROUNDS = 30  # renewals of the weights and the error variance
+# A fit has converged when no coefficient moves by more than this share of the largest; it has
+# stalled when the moves have not become smaller over so many renewals of the weights.
+TOLERANCE, PATIENCE = 1e-10, 200
 
 
 def additive_forecast(df: DataFrame, by, y: str = "y",
@@ -41,15 +41,28 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
                       ds: str = "ds") -> DataFrame:
     """Fit each series without its last ``holdout`` rows and forecast those.
 
-    Returns the key columns, ``ds``, ``y``, ``yhat`` and ``status``.  The held-out
-    rows keep their own dates, so gaps in the calendar do not shift the forecast.
-    Their ``y`` may be NULL: the rows ``future_frame`` adds can be forecast too.
+    Returns the key columns, ``ds``, ``y``, ``yhat`` and ``status`` (``ok``, ``short``, ``singular``
+    or ``not_converged``).  The held-out rows keep their own dates, so gaps in the calendar do not
+    shift the forecast.  Their ``y`` may be NULL: the rows ``future_frame`` adds can be forecast too.
+    ``holidays`` may hold several calendars, stacked.
     """
+    rows = additive_components(df, by, y, seasonalities, n_changepoints, holidays, scales, holdout, ds)
+    return rows.where("is_test").select(*keys(by), ds, y, "yhat", "status")
+
+
+def additive_components(df: DataFrame, by, y: str = "y",
+                        seasonalities: Mapping[str, tuple[float, int]] | None = None,
+                        n_changepoints: int = N_CHANGEPOINTS, holidays: DataFrame | None = None,
+                        scales: Mapping[str, float] | None = None, holdout: int = 7,
+                        ds: str = "ds") -> DataFrame:
+    """The fitted and the forecast rows of the model that ``additive_forecast`` fits: the key
+    columns, ``ds``, ``y``, ``is_test``, ``trend``, a column for each seasonality by its name,
+    ``holidays``, their sum ``yhat``, and ``status``."""
     by = keys(by)
     if not by:
         one = df.withColumn("_all", F.lit(0))
-        return additive_forecast(one, "_all", y, seasonalities, n_changepoints, holidays, scales,
-                                 holdout, ds).drop("_all")
+        return additive_components(one, "_all", y, seasonalities, n_changepoints, holidays, scales,
+                                   holdout, ds).drop("_all")
     scales = {**SCALES, **(scales or {})}
     terms = SEASONALITIES if seasonalities is None else seasonalities
     rows = scaled_rows(df, by, y, holdout, n_changepoints, ds)
@@ -62,7 +75,7 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
     blocks += waves + ([flags] if n_flags else [])
     n_waves = sum(2 * k for _, k in terms.values())
     rows = rows.select(
-        *by, ds, y, "is_test", "_scale", (F.col(y) / F.col("_scale")).alias("_y"),
+        *by, ds, y, "is_test", "_t", "_scale", (F.col(y) / F.col("_scale")).alias("_y"),
         F.concat(*blocks).alias("_x"),
     )
 
@@ -73,16 +86,24 @@ def additive_forecast(df: DataFrame, by, y: str = "y",
     fits = sums.groupBy(*by).applyInPandas(
         _solve(by, n_waves, n_flags, scales), keyed_schema(rows, by, "beta array<double>, status string")
     )
-    test = rows.where("is_test")
-    joined = test.alias("t").join(fits.alias("f"), same_key("t", "f", by), "left")
+    joined = rows.alias("t").join(fits.alias("f"), same_key("t", "f", by), "left")
     joined = joined.select("t.*", "f.beta", "f.status")
-    fit = F.aggregate(
-        F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
-    )
-    return joined.select(
-        *by, ds, y, (fit * F.col("_scale")).alias("yhat"),
-        F.coalesce("status", F.lit("short")).alias("status"),
-    )
+
+    def part(start, count):
+        share = F.zip_with(F.slice("_x", start, count), F.slice("beta", start, count),
+                           lambda a, b: a * b)
+        return F.aggregate(share, F.lit(0.0), lambda acc, v: acc + v) * F.col("_scale")
+
+    n_trend = F.size("_x") - n_waves - n_flags
+    pieces, start = {"trend": part(F.lit(1), n_trend)}, n_trend + 1
+    for name, (_, k) in terms.items():
+        pieces[name] = part(start, F.lit(2 * k))
+        start = start + 2 * k
+    pieces["holidays"] = part(start, F.lit(n_flags))
+    found = joined.select(*by, ds, y, "is_test", *[c.alias(n) for n, c in pieces.items()],
+                          F.coalesce("status", F.lit("short")).alias("status"))
+    whole = sum((F.col(n) for n in list(pieces)[1:]), F.col("trend"))
+    return found.select(*by, ds, y, "is_test", *pieces, whole.alias("yhat"), "status")
 
 
 def scaled_rows(df: DataFrame, by, y: str = "y", holdout: int = 7,
@@ -117,16 +138,14 @@ def scaled_rows(df: DataFrame, by, y: str = "y", holdout: int = 7,
 
 
 def _with_flags(rows: DataFrame, holidays: DataFrame, ds: str):
-    """Add the row's holiday terms; there is one per holiday and offset, so their
-    number is that of a small calendar table, which is checked."""
-    days, small = small_side(holiday_days(holidays).distinct())
-    named = days.select("holiday", "offset").distinct().limit(MAX_HOLIDAY_TERMS + 1).collect()
-    if len(named) > MAX_HOLIDAY_TERMS:
-        raise ValueError(f"more than {MAX_HOLIDAY_TERMS} holiday terms")
+    """Add the row's holiday terms.  There is one per holiday and offset, each a column of the
+    model, so their names (not the days) come to the driver."""
+    days = holiday_days(holidays).distinct()
+    named = days.select("holiday", "offset").distinct().collect()
     labels = sorted(f"{r.holiday}|{r.offset}" for r in named)
     label = F.concat_ws("|", "holiday", F.col("offset").cast("string"))
     per_day = days.groupBy(F.col("ds").alias("_day")).agg(F.collect_set(label).alias("_labels"))
-    joined = rows.join(F.broadcast(per_day) if small else per_day, F.col(ds) == F.col("_day"), "left")
+    joined = rows.join(per_day, F.col(ds) == F.col("_day"), "left")
     flags = F.array(*[
         F.coalesce(F.array_contains("_labels", n), F.lit(False)).cast("double") for n in labels
     ])
@@ -151,19 +170,19 @@ def _solve(by, n_waves, n_flags, scales):
     def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         cells = sum(np.asarray(c, dtype="float64") for c in parts["cells"])
         width = int(round(len(cells) ** 0.5))
-        beta = penalised_fit(cells.reshape(width, width), n_waves, n_flags, scales)
-        status = "ok" if beta is not None else "singular"
+        beta, status = penalised_fit(cells.reshape(width, width), n_waves, n_flags, scales)
         return pd.DataFrame([(*key, beta, status)], columns=[*by, "beta", "status"])
 
     return run
 
 
-def penalised_fit(gram: np.ndarray, n_waves: int, n_flags: int, scales: Mapping[str, float],
-                  rounds: int = ROUNDS) -> np.ndarray | None:
-    """Coefficients from the augmented Gram matrix of one series.
+def penalised_fit(gram: np.ndarray, n_waves: int, n_flags: int,
+                  scales: Mapping[str, float]) -> tuple[np.ndarray | None, str]:
+    """Coefficients from the augmented Gram matrix of one series, and ``ok``, ``singular`` (then
+    without coefficients) or ``not_converged``.
 
     The Laplace prior enters as a ridge weight that is renewed from the last
-    coefficients, and the error variance is renewed with it.
+    coefficients, and the error variance is renewed with it, until nothing moves.
     """
     k = len(gram) - 1
     n = gram[0, 0]
@@ -176,16 +195,23 @@ def penalised_fit(gram: np.ndarray, n_waves: int, n_flags: int, scales: Mapping[
         np.full(n_flags, scales["holiday"] ** -2.0),
     ])
     hinge = slice(2, 2 + n_hinges)
-    noise = 0.01
-    beta = None
-    for _ in range(rounds):
+    noise, beta = 0.01, None
+    nearest, since = np.inf, 0
+    while since < PATIENCE:
+        last = beta
         try:
             beta = np.linalg.solve(a + noise * np.diag(weight), g)
         except np.linalg.LinAlgError:
-            return None
+            return None, "singular"
         if not np.isfinite(beta).all():
-            return None
+            return None, "singular"
         ssr = max(yy - 2 * beta @ g + beta @ a @ beta, 0.0)
         noise = max(ssr / n, 1e-8)
         weight[hinge] = 1.0 / (scales["changepoint"] * np.maximum(np.abs(beta[hinge]), 1e-4))
-    return beta
+        if last is None:
+            continue
+        move = np.abs(beta - last).max() / max(np.abs(beta).max(), 1e-300)
+        if move <= TOLERANCE:
+            return beta, "ok"
+        nearest, since = (move, 0) if move < nearest else (nearest, since + 1)
+    return beta, "not_converged"

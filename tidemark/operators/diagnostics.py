@@ -8,11 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.functions.batches import by_series, keyed_schema
+from tidemark.functions.batches import keyed_schema
 from tidemark.functions.columns import in_time, keys, same_key, whole_series
-from tidemark.functions.linalg import leading_residuals, stacked
+from tidemark.functions.linalg import leading_residuals
 from tidemark.operators.series import drop_missing
 
 # MacKinnon's published response surfaces for one variable and a constant.
@@ -27,7 +26,10 @@ P_LOWEST, P_HIGHEST, P_BREAK = -18.83, 2.74, -1.61
 P_LOW_SIDE = (2.1659, 1.4412, 0.038269)
 P_HIGH_SIDE = (1.7339, 0.93202, -0.12745, -0.010368)
 
-LAG_CAP = 64
+# Rows of a series that one task reduces at a time, unless its largest lag asks for more.
+BLOCK_ROWS = 8192
+# Terms of the two expansions of the normal distribution, and where one takes over.
+SERIES_TERMS, FRACTION_TERMS, SWITCH = 40, 60, 2.0
 
 
 def critical_values(n: str | Column) -> dict[str, Column]:
@@ -39,9 +41,21 @@ def critical_values(n: str | Column) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(-v / math.sqrt(2.0)))
+def normal_cdf(z: Column) -> Column:
+    """The normal distribution as column arithmetic: within 2 of zero the Maclaurin series of the
+    error function, beyond it the continued fraction of its complement.  Good to 1e-14."""
+    x = F.abs(z) / math.sqrt(2.0)
+    series = F.lit(0.0)
+    for n in range(SERIES_TERMS, -1, -1):
+        # x erf'(0) sum of (2 x^2)^n / (1 3 5 ... (2 n + 1)) times exp(-x^2)
+        series = F.lit(1.0) + series * (2 * x * x) / (2 * n + 3) if n < SERIES_TERMS else F.lit(1.0)
+    small = x * F.exp(-x * x) * (2 / math.sqrt(math.pi)) * series
+    tail = x
+    for n in range(FRACTION_TERMS, 0, -1):
+        tail = x + F.lit(n / 2) / tail
+    large = F.exp(-x * x) / math.sqrt(math.pi) / tail
+    upper = F.when(x < SWITCH, (1 - small) / 2).otherwise(large / 2)
+    return F.when(z > 0, 1 - upper).otherwise(upper)
 
 
 def p_value(stat: str) -> Column:
@@ -72,35 +86,37 @@ def adf(df: DataFrame, by, y: str = "y", autolag: str | None = "aic", maxlag: in
     lowest AIC wins; with ``None`` the largest lag is used.  The chosen lag is then
     refitted on all rows it leaves.
 
-    The rows are reduced to one small matrix of sums of products per batch and
-    series before they meet; a series is never gathered as rows.
+    A series is laid out in blocks of rows, each with the last rows of the block before it, as
+    many as the largest lag.  A block is reduced to one matrix of sums of products, and the
+    matrices are added: a long series is the work of several tasks, and no row carries its lags.
     """
     if autolag not in ("aic", None):
         raise ValueError("autolag is 'aic' or None")
     by = keys(by)
     order, series = in_time(by, ds), whole_series(by, ds)
-    cap = LAG_CAP if maxlag is None else maxlag
     rows = drop_missing(df, y).withColumns({
         "_n": F.count(F.lit(1)).over(series),
+        "_pos": F.row_number().over(order).cast("bigint"),
         "_prev": F.lag(y).over(order),
         "_start": F.first(y).over(order),
     })
     wanted = F.ceil(12 * F.pow(F.col("_n") / 100, 0.25)) if maxlag is None else F.lit(maxlag)
-    rows = rows.withColumns({
-        "_top": F.least(wanted.cast("int"), (F.floor(F.col("_n") / 2) - 2).cast("int"), F.lit(cap)),
-        "_dy": (F.col(y) - F.col("_prev")).cast("double"),
+    top = F.least(wanted.cast("int"), (F.floor(F.col("_n") / 2) - 2).cast("int"))
+    rows = rows.withColumn("_top", top).withColumn(
+        "_rows", F.greatest(F.lit(BLOCK_ROWS), 2 * F.col("_top")).cast("bigint"))
+    block = F.floor((F.col("_pos") - 1) / F.col("_rows"))
+    also = (F.col("_pos") - 1) % F.col("_rows") >= F.col("_rows") - F.col("_top")
+    rows = rows.select(
+        *by, "_pos", "_top", (F.col(y) - F.col("_prev")).cast("double").alias("_dy"),
         # A constant is fitted, so measuring the level from the first value changes nothing
         # but keeps the sums small.
-        "_level": (F.col("_prev") - F.col("_start")).cast("double"),
-    })
-    recent = F.collect_list("_dy").over(order.rowsBetween(-cap, -1)) if cap else None
-    lags = F.reverse(recent) if cap else F.array().cast("array<double>")
-    rows = rows.withColumn("_lags", lags).select(
-        *by, "_n", "_top", "_dy", "_level",
-        F.slice("_lags", F.lit(1), F.greatest("_top", F.lit(0))).alias("_lags"),
-    )
-    # One line per series survives even if no row can be used.
-    sums = rows.mapInPandas(_partial_sums(by), keyed_schema(rows, by, _PARTIAL))
+        (F.col("_prev") - F.col("_start")).cast("double").alias("_level"),
+        "_rows",
+        F.explode(F.when(also, F.array(block, block + 1)).otherwise(F.array(block))).alias("_block"),
+    ).withColumn("_own", F.floor((F.col("_pos") - 1) / F.col("_rows")) == F.col("_block"))
+    rows = rows.drop("_rows")
+    sums = rows.groupBy(*by, "_block").applyInPandas(
+        _partial_sums(by), keyed_schema(rows, by, _PARTIAL))
     fits = sums.groupBy(*by).applyInPandas(_choose_and_fit(by, autolag), keyed_schema(rows, by, _FIT))
     stat = F.col("stat")
     report = fits.withColumns({"p_value": p_value("stat"), **critical_values("n_obs")})
@@ -115,34 +131,34 @@ _FIT = "stat double, used_lag int, n_obs bigint, status string"
 
 
 def _partial_sums(by: list[str]):
-    """Per batch and series: the sum of products over the rows that have every
-    lag, and, for the few rows at the start that have not, the rows themselves.
+    """Per block: the sum of products over its rows that have every lag, and, for the few rows at
+    the start of a series that have not, the rows themselves.
 
     The regressors are a constant, the level and the lags; the response is last.
     """
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for key, rows in by_series(pdf, by):
-                top = int(rows["_top"].iloc[0])
-                out.append((*key, top, "seen", []))
-                if top < 0:
-                    continue
-                rows = rows[rows["_dy"].notna()]
-                whole = rows["_lags"].map(len).to_numpy() >= top
-                full = rows[whole]
-                if len(full):
-                    a = np.column_stack([
-                        np.ones(len(full)), full["_level"], stacked(full["_lags"]), full["_dy"]
-                    ])
-                    out.append((*key, top, "sums", (a.T @ a).ravel()))
-                few = rows[~whole]
-                out += [
-                    (*key, top, "row", np.concatenate(([1.0, level], past, [dy])))
-                    for level, past, dy in zip(few["_level"], few["_lags"], few["_dy"])
-                ]
-            yield pd.DataFrame(out, columns=[*by, "top", "kind", "cells"])
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        key = key[:len(by)]
+        rows = rows.sort_values("_pos")
+        top, pos, own = int(rows["_top"].iloc[0]), rows["_pos"].to_numpy(), rows["_own"].to_numpy()
+        dy, level = rows["_dy"].to_numpy(), rows["_level"].to_numpy()
+        # One line per series survives even if no row can be used.
+        out = [(*key, top, "seen", [])]
+        if top >= 0:
+            # A difference exists from the second row on, and with it the lags of later rows.
+            full = np.flatnonzero(own & (pos >= top + 2))
+            total = np.zeros((top + 3, top + 3))
+            for i in range(0, len(full), 4096):
+                at = full[i:i + 4096]
+                past = np.lib.stride_tricks.sliding_window_view(dy, top + 1)[at - top, ::-1]
+                a = np.column_stack([np.ones(len(at)), level[at], past[:, 1:], past[:, 0]])
+                total += a.T @ a
+            if len(full):
+                out.append((*key, top, "sums", total.ravel()))
+            for i in np.flatnonzero(own & (pos >= 2) & (pos < top + 2)):
+                lags = dy[i - pos[i] + 2:i][::-1]
+                out.append((*key, top, "row", np.concatenate(([1.0, level[i]], lags, [dy[i]]))))
+        return pd.DataFrame(out, columns=[*by, "top", "kind", "cells"])
 
     return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 256
+from tidemark.sources.writers import scratch_path
 
 
 def sort_values(df: DataFrame, col: str = "value") -> DataFrame:
@@ -20,26 +20,28 @@ def sort_values(df: DataFrame, col: str = "value") -> DataFrame:
     return placed.orderBy(col, "_place").drop("_place")
 
 
-def rank_values(df: DataFrame, col: str = "value", blocks: int = BLOCKS) -> DataFrame:
+def rank_values(df: DataFrame, col: str = "value", partitions: int | None = None) -> DataFrame:
     """The sorted list in run-length form: each distinct value, how many ``copies``
     it has, and ``first_rank``, the 1-based place of its first copy.
 
-    Copies are counted on the map side first.  The distinct values are then cut
-    into ``blocks`` by a sample of at most ``blocks - 1`` of them, the only thing the
-    driver sees; a block is ranked on its own and shifted by the sizes of those
-    before it, so no task sees the whole list.
+    Copies are counted on the map side first.  The counts are then range-partitioned by value, into
+    ``partitions`` or as many as the session shuffles into, and written; a partition is ranked on its
+    own and shifted by the copies in those before it, so no task sees the whole list and the
+    driver sees none of it.
     """
+    spark = df.sparkSession
+    width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("copies"))
-    sample = counts.select(col).orderBy(F.xxhash64(col), col).limit(blocks - 1).collect()
-    cuts = F.array(*[F.lit(r[0]) for r in sample if r[0] is not None])
-    block = F.size(F.filter(cuts, lambda c: c <= F.col(col))) if sample else F.lit(0)
-    placed = counts.withColumn("_block", F.when(F.col(col).isNull(), -1).otherwise(block))
-
-    sizes = placed.groupBy("_block").agg(F.sum("copies").alias("_size"))
-    shift = F.sum("_size").over(Window.orderBy("_block")) - F.col("_size")
-    shifts = sizes.select("_block", shift.alias("_shift"))  # at most blocks + 1 rows
-    inside = Window.partitionBy("_block").orderBy(col)
+    ranged = counts.repartitionByRange(width, F.col(col).asc_nulls_first())
+    path = scratch_path(spark, "ranges")
+    ranged.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.schema(f"`{col}` {counts.schema[col].dataType.simpleString()}, copies long, _range int").parquet(path)
+
+    sizes = placed.groupBy("_range").agg(F.sum("copies").alias("_size"))
+    shift = F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")
+    shifts = sizes.select("_range", shift.alias("_shift"))  # one row per partition
+    inside = Window.partitionBy("_range").orderBy(F.col(col).asc_nulls_first())
     start = F.sum("copies").over(inside) - F.col("copies")
-    return placed.withColumn("_start", start).join(F.broadcast(shifts), "_block").select(
+    return placed.withColumn("_start", start).join(F.broadcast(shifts), "_range").select(
         col, "copies", (F.col("_shift") + F.col("_start") + 1).alias("first_rank")
     )

@@ -6,17 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import units
-from tidemark.operators.additive import (
-    CHANGEPOINT_RANGE,
-    N_CHANGEPOINTS,
-    ROUNDS,
-    additive_forecast,
-    scaled_rows,
-)
-from tidemark.operators.evaluate import score, stack
+from tidemark.operators.additive import additive_components, additive_forecast, scaled_rows
+from tidemark.operators.evaluate import plot_frame, score, stack
 from tidemark.operators.features import fourier, future_frame, hinges, holiday_flags
 from tidemark.plans.inputs import CENTS, DAILY_SQL, DAY_SQL, KEY, WEEKLY_SQL, panel, r6_sql, table
-from tidemark.plans.registry import query, rounded
+from tidemark.plans.registry import query, r6, rounded
 from tidemark.plans.sqladditive import additive_steps
 
 
@@ -85,9 +79,9 @@ TIMES_SQL = f"""{WEEKLY_SQL}, placed AS (
     WHERE pos <= train GROUP BY series_id), times AS (
     SELECT p.series_id, p.ds, p.pos, (p.ds - a) / (b - a)::double AS t FROM placed p
     JOIN spans s USING (series_id)), knots AS (
-    SELECT s.series_id, cast(j AS int) AS j, t AS knot FROM spans s, generate_series(1, {N_CHANGEPOINTS}) g(j)
+    SELECT s.series_id, cast(j AS int) AS j, t AS knot FROM spans s, generate_series(1, 23) g(j)
     JOIN times t ON t.series_id = s.series_id AND t.pos = 1 + cast(round_even(
-      j * (floor(s.train * {CHANGEPOINT_RANGE}::double) - 1) / {N_CHANGEPOINTS}::double, 0) AS int))"""
+      j * (floor(s.train * 0.8::double) - 1) / 23::double, 0) AS int))"""
 
 
 @query(f"""WITH {TIMES_SQL}
@@ -108,7 +102,7 @@ def future_dates(spark, sf_dir):
 
 
 LABELS = [f"{name}|{offset}" for name in ("highest_value", "most_orders") for offset in (-1, 0, 1)]
-SMALL_SQL = additive_steps("daily", 3, LABELS, 7, ROUNDS)
+SMALL_SQL = additive_steps("daily", 3, LABELS, 7, 200)
 
 
 @query(f"""WITH RECURSIVE {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}, {SMALL_SQL}
@@ -120,6 +114,34 @@ def forecast_additive_weekly(spark, sf_dir):
     return rounded(found, "yhat", places=3).drop("status")
 
 
+def _small_components(spark, sf_dir):
+    return additive_components(panel(spark, sf_dir, "D"), KEY, seasonalities={"weekly": (7.0, 3)},
+                               n_changepoints=3, holidays=holidays(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}, {SMALL_SQL}
+  SELECT series_id, ds, y, is_test, {r6_sql('trend', 2)} AS trend, {r6_sql('weekly', 2)} AS weekly,
+    {r6_sql('holidays', 2)} AS holidays, {r6_sql('trend + weekly + holidays', 2)} AS yhat
+  FROM components""", name="additive_components")
+def components(spark, sf_dir):
+    """Fitted and forecast rows with their trend, week and holidays, of two calendars stacked."""
+    found = _small_components(spark, sf_dir).drop("status")
+    return rounded(found, "trend", "weekly", "holidays", "yhat", places=2)
+
+
+@query(f"""WITH RECURSIVE {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}, {SMALL_SQL}
+  SELECT series_id, ds, unnest(['actual', 'trend', 'weekly', 'holidays', 'yhat']) AS panel,
+    unnest([{r6_sql('y')}, {', '.join(r6_sql(c, 2) for c in (
+      'trend', 'weekly', 'holidays', 'trend + weekly + holidays'))}]) AS value
+  FROM components""")
+def plot_additive(spark, sf_dir):
+    """The additive model as a frame for a chart."""
+    panels = {"actual": "y"} | {c: c for c in ("trend", "weekly", "holidays", "yhat")}
+    frame = plot_frame(_small_components(spark, sf_dir), KEY, panels)
+    value = F.when(F.col("panel") == "actual", r6("value")).otherwise(r6("value", 2))
+    return frame.withColumn("value", value)
+
+
 def _additive(spark, sf_dir):
     return additive_forecast(panel(spark, sf_dir, "D"), KEY, holidays=holidays(spark, sf_dir))
 

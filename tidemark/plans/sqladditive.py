@@ -3,8 +3,9 @@ seasonality and holiday terms."""
 
 from __future__ import annotations
 
-from tidemark.operators.additive import CHANGEPOINT_RANGE, SCALES
-
+# Fixed values, written here anew so that a wrong one in the model would show.
+CHANGEPOINT_RANGE = 0.8
+SCALES = {"seasonality": 0.1, "changepoint": 0.95, "holiday": 10.0, "trend": 5.0}
 WAVES = 3  # Fourier pairs of the week
 
 
@@ -33,7 +34,7 @@ def _solve(source: str, size: int, weights: list[str]) -> str:
 
 def additive_steps(days: str, changes: int, labels: list[str], holdout: int, rounds: int) -> str:
     """CTEs from a table of ``series_id, ds, y`` and ``touched`` (holiday days) to
-    ``additive`` with ``yhat`` for the held-out rows."""
+    ``additive`` with ``yhat`` for the held-out rows, and ``components`` for all rows."""
     knots = ", ".join(
         f"max(t) FILTER (WHERE pos = 1 + cast(round_even({j} * (floor((n - {holdout}) * "
         f"{CHANGEPOINT_RANGE}::double) - 1) / {changes}::double, 0) AS int)) AS k{j}"
@@ -57,6 +58,10 @@ def additive_steps(days: str, changes: int, labels: list[str], holdout: int, rou
                       for i in range(size) for j in range(size))
     cross = " + ".join(f"b{i} * r{i}" for i in range(size))
     betas = ", ".join(f"b{i}" for i in range(size))
+    ends = (0, 2 + changes, 2 + changes + 2 * WAVES, size)
+    parts = ", ".join(
+        f"({' + '.join(f'f{i} * b{i}' for i in range(a, b))}) * l.scale AS {name}"
+        for name, a, b in zip(("trend", "weekly", "holidays"), ends, ends[1:]))
     return f"""placed AS (SELECT series_id, ds, y, row_number() OVER o AS pos,
   count(*) OVER (PARTITION BY series_id) AS n FROM {days}
   WINDOW o AS (PARTITION BY series_id ORDER BY ds)),
@@ -81,6 +86,7 @@ iter AS (
   FROM ({_solve('(SELECT series_id, it, noise, ' + ', '.join(f'w{i}' for i in hinge)
                 + f', gram.* EXCLUDE (series_id) FROM iter JOIN gram USING (series_id) '
                 + f'WHERE it < {rounds})', size, weights)})),
-additive AS (SELECT l.series_id, l.ds, l.y,
-  ({' + '.join(f'f{i} * b{i}' for i in range(size))}) * l.scale AS yhat
-  FROM laid l JOIN iter i ON i.series_id = l.series_id AND i.it = {rounds} WHERE is_test)"""
+components AS (SELECT l.series_id, l.ds, l.y, l.is_test, {parts}
+  FROM laid l JOIN iter i ON i.series_id = l.series_id AND i.it = {rounds}),
+additive AS (SELECT series_id, ds, y, trend + weekly + holidays AS yhat FROM components
+  WHERE is_test)"""
