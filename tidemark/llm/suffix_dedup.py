@@ -2,12 +2,12 @@
 
 Prefix doubling names the strings at all positions by rank: the name of the 2h bytes at a position
 is the pair of the names of the h bytes there and h bytes on, and equal pairs get equal names. A
-position whose name is unique is done. Here the first doublings (up to 16 bytes) are named by 64-bit
-hashes inside the tasks that read the texts. Of the 35 names of 16 bytes in each string of 50 bytes,
-the smallest is the string's anchor; equal strings have it at the same place, so that only anchors
-need be sorted, one position in seventeen. Spark then sorts, at growing offsets:
+position whose name is unique is done. Here the first doublings (up to 24 bytes) are named by hashes
+inside the tasks that read the texts. Of the 27 names of 24 bytes in each string of 50 bytes, the
+smallest is the string's anchor; equal strings have it at the same place, so that only anchors
+need be sorted, one position in fourteen. Spark then sorts, at growing offsets:
 
-1. the pair of an anchor's 16 bytes and its block, the bytes of all 50-byte strings that
+1. the pair of an anchor's 24 bytes and its block, the bytes of all 50-byte strings that
    have it as their anchor. A block that a smaller document has as well is removed whole, and
    an anchor that no other document has is done;
 2. of the blocks that differ though their anchors agree, each 50-byte string.
@@ -19,6 +19,7 @@ within its own batch of documents, so that copies of one passage do not meet in
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix64, shuffle_width, texts, written
 
-GRAM = 16
+GRAM = 24
 # Texts are read in parts of this many strings; places inside a part fit in the low bits.
 PLACE_BITS = 18
 PART = (1 << PLACE_BITS) - 1024
@@ -133,12 +134,19 @@ def signed(values: np.ndarray) -> pa.Array:
 
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of jobs that are done and whose results are written;
-    otherwise they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    otherwise they stay until the driver happens to collect its garbage. What a job's listeners
+    still hold at first goes the second time."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
-BLOCKS = "gram long, name long, ord long, row_hash long, first int, last int, sure boolean"
+# The low bits of a block's key, below its gram: whether it is settled, and how many strings
+# follow its first. Few bytes count here, for there is a row for every anchor.
+SURE_BIT, COUNT_BITS = 23, 8
+KEY_BITS = 24
+BLOCKS = "key long, name long, ord long, row_hash long, first int"
 
 
 def all_blocks(docs: DataFrame, length: int) -> DataFrame:
@@ -156,10 +164,13 @@ def all_blocks(docs: DataFrame, length: int) -> DataFrame:
             order, keys = np.repeat(order, sizes), np.repeat(keys, sizes)
             sure = settled(name, order)
             spread = mix64(keys.view(np.uint64) + first.astype(np.uint64))
+            key = np.where(sure, spread, gram) >> np.uint64(KEY_BITS) << np.uint64(KEY_BITS)
+            key |= sure.astype(np.uint64) << np.uint64(SURE_BIT)
+            key |= (last - first).astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [signed(np.where(sure, spread, gram)), signed(name), pa.array(order), pa.array(keys),
-                 pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(sure)],
-                names=["gram", "name", "ord", "row_hash", "first", "last", "sure"])
+                [signed(key), signed(name), pa.array(order), pa.array(keys),
+                 pa.array(first.astype(np.int32))],
+                names=["key", "name", "ord", "row_hash", "first"])
 
     return docs.select("ord", "row_hash", "text").mapInArrow(run, BLOCKS)
 
@@ -223,19 +234,26 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     comes after all others and is smaller than none; rows that repeat an id do not count as
     smaller than each other; equal rows have one entry.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"strings must have {2 * GRAM} bytes or more")
+    if not 2 * GRAM <= length < GRAM + (1 << COUNT_BITS):
+        raise ValueError(f"strings have {2 * GRAM} to {GRAM + (1 << COUNT_BITS) - 1} bytes")
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)).alias("ord"),
                        F.xxhash64("doc_id", "text").alias("row_hash"), "text")
-    same_block, same_gram = Window.partitionBy("gram", "name"), Window.partitionBy("gram")
+    gram = F.shiftright("key", KEY_BITS)
+    # Both windows share one sort.
+    same_block = Window.partitionBy("gram", "name")
+    same_gram = Window.partitionBy("gram").orderBy("name").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = (
-        all_blocks(docs, length).repartition(shuffle_width(docs), "gram")
+        all_blocks(docs, length).repartition(shuffle_width(docs), gram.alias("gram"))
+        .withColumn("gram", gram)
         .withColumn("least", F.min("ord").over(same_block))
         .withColumn("open", (F.min("name").over(same_gram) != F.max("name").over(same_gram))
                     & (F.min("ord").over(same_gram) != F.max("ord").over(same_gram)))
-        .withColumn("gone", F.col("sure") | (F.col("ord") > F.col("least")))
-        .where("gone or open").select("row_hash", "first", "last", "gone")
+        .withColumn("gone", (F.getbit("key", F.lit(SURE_BIT)) == 1) | (F.col("ord") > F.col("least")))
+        .where("gone or open")
+        .select("row_hash", "first", (F.col("first") + F.col("key").bitwiseAND(
+            F.lit((1 << COUNT_BITS) - 1))).cast("int").alias("last"), "gone")
     )
     ranked = written(ranked, "blocks")
     release(spark)
