@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 from datetime import date
 
 import pytest
@@ -120,3 +123,27 @@ def test_nested_literal_rows_with_nulls(spark):
 
 def test_scratch_follows_the_session(spark, tmp_path):
     assert tm.scratch_path(spark, "x") != tm.scratch_path(spark, "x")
+
+
+PROGRAM = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+import tidemark as tm
+from tidemark.session import ship
+spark = SparkSession.builder.master("local-cluster[1,1,900]").config("spark.executor.memory", "700m") \\
+    .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+print(ship(spark))
+df = spark.range(60).select(F.date_add(F.lit("2020-01-05").cast("date"), F.col("id").cast("int")).alias("ds"),
+                            (F.sin(F.col("id") * 1.7) + F.col("id") * 0.01).alias("y"), F.lit("a").alias("k"))
+print("status", tm.adf(df, "k").first().status)
+"""
+
+
+def test_executors_get_the_package(tmp_path):
+    """From another folder, with nothing on the executors' path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", PROGRAM, root], cwd=tmp_path, env=env,
+                          capture_output=True, text=True, timeout=240)
+    assert "status ok" in done.stdout, done.stderr[-2000:]

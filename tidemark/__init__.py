@@ -32,7 +32,7 @@ from tidemark.operators.series import (
     to_series,
 )
 from tidemark.operators.transforms import difference, exp, integrate, log, rolling
-from tidemark.session import configure
+from tidemark.session import configure, ship
 from tidemark.sources.nested import first_element, first_of, nest
 from tidemark.sources.readers import literal, parse_json_records, read_csv, read_json, read_lines
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
@@ -79,6 +79,7 @@ __all__ = [
     "resample",
     "rolling",
     "score",
+    "ship",
     "scratch_path",
     "slice_end",
     "sort_values",

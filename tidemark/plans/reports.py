@@ -4,22 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import units
 from tidemark.operators.arima import forecast_next, walk_forward
 from tidemark.operators.evaluate import align, compare, plot_frame, predicted_vs_expected, score, stack
-from tidemark.operators.series import split
-from tidemark.operators.transforms import rolling
+from tidemark.operators.resample import resample
+from tidemark.operators.series import split, to_series
+from tidemark.operators.transforms import log, rolling
 from tidemark.plans.inputs import (
+    CENTS,
+    DAY_SQL,
     KEY,
     PRIORITY_INDEX_SQL,
     SUPPLIER_INDEX_SQL,
     WEEKLY_SQL,
+    mean_sql,
     panel,
     priority_index,
     r6_sql,
     supplier_index,
+    table,
+    week_end_sql,
 )
 from tidemark.plans.registry import query, rounded
 from tidemark.plans.sqlfit import forecast_steps
+from tidemark.sources.readers import PRICE_SCHEMA, read_csv
+from tidemark.sources.writers import scratch_path, write_csv
 
 PLACED_SQL = f"""WITH {WEEKLY_SQL}, placed AS (
   SELECT series_id, ds, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS pos,
@@ -149,3 +158,48 @@ def plot_rolling(spark, sf_dir):
     rows = rolling(priority_index(spark, sf_dir), KEY)
     panels = {"level": "y", "mean": "rolling_mean", "std": "rolling_std"}
     return rounded(plot_frame(rows, KEY, panels), "value")
+
+
+PRICES_SQL = f"""closes AS (SELECT {DAY_SQL} AS day, {mean_sql('o_totalprice')} AS close FROM orders GROUP BY 1),
+levels AS (SELECT 'orders' AS series_id, {week_end_sql('day')} AS ds, ln(avg(close)) AS y
+  FROM closes GROUP BY 2)"""
+
+
+def _price_file(spark, sf_dir):
+    """The orders of each day written as a file of prices; its path."""
+    price = F.col("o_totalprice")
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("Date")).agg(
+        F.max(price).alias("High"), F.min(price).alias("Low"),
+        F.min_by(price, F.col("o_orderkey")).alias("Open"),
+        (F.sum(units(price, CENTS)) / 10.0 ** CENTS / F.count(price)).alias("Close"),
+        F.count(price).alias("Volume"))
+    path = scratch_path(spark, "prices")
+    write_csv(days.withColumn("Adj Close", F.col("Close")), path)
+    return path
+
+
+def _file_sql():
+    steps, last = forecast_steps("levels", (1, 1, 0))
+    return f"""WITH {PRICES_SQL},
+{steps} SELECT series_id, ds, {r6_sql('exp(yhat)', 2)} AS predicted, {r6_sql('exp(y)', 2)} AS expected
+FROM {last} WHERE is_test"""
+
+
+@query(_file_sql())
+def file_to_forecast(spark, sf_dir):
+    """From a price file to its forecast: typed read, weeks, logs, one step ahead, levels."""
+    prices = read_csv(spark, _price_file(spark, sf_dir), PRICE_SCHEMA)
+    series = to_series(prices.withColumn(KEY, F.lit("orders")), KEY, "Date", "Close")
+    weekly = log(resample(series, KEY, freq="W"))
+    shown = predicted_vs_expected(walk_forward(weekly, KEY, order=(1, 1, 0)), KEY)
+    return rounded(shown, "predicted", "expected", places=2)
+
+
+@query(f"""{_walk_sql((1, 1, 0))} SELECT series_id, {r6_sql('yhat')} AS yhat, {r6_sql('y')} AS y,
+  ds AS date FROM tested""")
+def forecast_to_file(spark, sf_dir):
+    """A forecast written as text with its key, and read back."""
+    path = scratch_path(spark, "forecast")
+    write_csv(_walk(spark, sf_dir).select(KEY, "yhat", "y", F.col("ds").alias("date")), path)
+    back = read_csv(spark, path, f"{KEY} string, yhat double, y double, date date")
+    return rounded(back, "yhat", "y")
