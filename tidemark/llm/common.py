@@ -17,9 +17,10 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: it cuts the lineage, and
-    what is read more than once is computed once. A lost executor takes nothing with it."""
+    what is read more than once is computed once. A lost executor takes nothing with it. The tables
+    of a pipeline stay until the session ends, so they are packed more tightly than by default."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
