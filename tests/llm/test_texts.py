@@ -280,6 +280,24 @@ def test_scores_against_counts(docs):
     assert base < model < 0
 
 
+def test_network_learns_from_every_document(spark):
+    """Without a first sample, all that the network knows comes from the tasks."""
+    cycle = [f"w{i}" for i in range(10)]
+    table = spark.createDataFrame([(i, " ".join((cycle * 40)[i % 10:])) for i in range(300)],
+                                  "doc_id long, text string")
+    held_out = gru_lm.score_documents(table, sample_docs=0).where("held_out").agg(
+        F.sum("score"), F.sum("base_score")).first()
+    assert held_out[0] > 0.8 * held_out[1]
+
+
+def test_pieces_hold_every_symbol_once():
+    doc = np.arange(3, 3 + 2 * gru_lm.PIECE + 7, dtype=np.int32)
+    read, predicted, _ = gru_lm.lanes_of(gru_lm.pieces(doc), 3)
+    assert sorted(predicted[predicted >= 0]) == doc.tolist()
+    inside = (predicted >= 0) & (predicted > 3)
+    assert (read[inside] == predicted[inside] - 1).all()
+
+
 def test_scores_of_odd_rows(odd, clashing, nothing):
     found = gru_lm.score_documents(clashing).collect()
     assert len(found) == len(ODD)

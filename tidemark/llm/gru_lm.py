@@ -7,8 +7,9 @@ gradient stays inside one. Scoring carries the state through the whole document.
 
 The vocabulary holds the most frequent words of the corpus, the end of a document, and one symbol
 for all other words. What stands behind that symbol has the smoothed share of its count in the
-corpus. The counts cover every training document; the network's weights are fitted to a sample
-with a fixed bound (``sample_docs``), from biases that the counts of all documents set.
+corpus. Counts and weights cover every training document: the driver fits a first network to a
+sample (``sample_docs``), and from there on tasks train copies of it on all text, in rounds that
+each take another share of the documents and end with the mean of the copies by their tokens.
 
 Words are counted inside the tasks. The most frequent ones (at most ``frequent``, of at most
 ``LONGEST`` bytes, so at most 16 MB) go to every task; all others meet their counts in a join.
@@ -36,8 +37,10 @@ LONGEST = 64
 # Distinct words that a task counts before it passes the counts on.
 HELD_WORDS = 400_000
 LANES = 512
-# Words of a piece of a long sample document.
+# Symbols of a piece in training: a text is cut into such pieces, so that it fills several lanes.
 PIECE = 250
+# Pieces that a task trains on together, and weights that are averaged together.
+BLOCK, SLICE = 1024, 1024
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -125,6 +128,15 @@ class Network:
         return (self.symbols_in, self.state_in, self.bias_in, self.class_out, self.class_bias,
                 self.word_out, self.word_bias)
 
+    def vector(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.parts])
+
+    def like(self, vector: np.ndarray) -> Network:
+        """A network of this one's shapes with the weights of ``vector``."""
+        cuts = np.cumsum([a.size for a in self.parts])[:-1]
+        return Network(*[v.reshape(a.shape).astype(np.float32)
+                         for v, a in zip(np.split(vector, cuts), self.parts)])
+
 
 def initial(vocab: Vocabulary, others: int, seed: int = 5) -> Network:
     """Random weights, and biases that give each symbol its share of the corpus."""
@@ -184,47 +196,56 @@ def forward(net: Network, codes: np.ndarray, state: np.ndarray, keep: bool = Fal
     return (found, kept) if keep else found
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis, in place."""
+def log_softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over the first axis, in place; returns the exponentials, and their sums."""
     x -= x.max(axis=0)
-    x -= np.log(np.exp(x).sum(axis=0))
-    return x
+    e = np.exp(x)
+    total = e.sum(axis=0)
+    x -= np.log(total)
+    return e, total
 
 
 def outputs(net: Network, seen: np.ndarray, target: np.ndarray, grads: list | None = None):
     """The natural log-probability of each target given the states ``seen`` (H, n). With
     ``grads`` the gradients of minus their mean are added there, and that of ``seen`` returned."""
     width = net.word_bias.shape[1]
-    kind, place = target // width, target % width
     n = len(target)
+    order = np.argsort(target // width, kind="stable")  # the symbols of a class side by side
+    seen, kind, place = seen[:, order], target[order] // width, target[order] % width
     classes = net.class_out @ seen
     classes += net.class_bias[:, None]
-    log_softmax(classes)
+    d, total = log_softmax(classes)
     found = classes[kind, np.arange(n)]
     back = None
     if grads is not None:
-        d = np.exp(classes)
+        d /= total
         d[kind, np.arange(n)] -= 1
         d /= n
         grads[3] += d @ seen.T
         grads[4] += d.sum(axis=1)
         back = net.class_out.T @ d
-    order = np.argsort(kind, kind="stable")
-    used, first = np.unique(kind[order], return_index=True)
-    for k, rows in zip(used, np.split(order, first[1:])):
-        inside = net.word_out[k] @ seen[:, rows]
+    used, first = np.unique(kind, return_index=True)
+    for k, low, high in zip(used, first, [*first[1:], n]):
+        own = seen[:, low:high]
+        inside = net.word_out[k] @ own
         inside += net.word_bias[k][:, None]
-        log_softmax(inside)
-        at = place[rows], np.arange(len(rows))
-        found[rows] += inside[at]
+        d, total = log_softmax(inside)
+        at = place[low:high], np.arange(high - low)
+        found[low:high] += inside[at]
         if grads is not None:
-            d = np.exp(inside)
+            d /= total
             d[at] -= 1
             d /= n
-            grads[5][k] += d @ seen[:, rows].T
+            grads[5][k] += d @ own.T
             grads[6][k] += d.sum(axis=1)
-            back[:, rows] += net.word_out[k].T @ d
-    return found if grads is None else (found, back)
+            back[:, low:high] += net.word_out[k].T @ d
+    values = np.empty_like(found)
+    values[order] = found
+    if grads is None:
+        return values
+    ahead = np.empty_like(back)
+    ahead[:, order] = back
+    return values, ahead
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,56 +264,82 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
         at = 0
         for i in own:
             end = at + len(docs[i])
-            predicted[k, at:end] = docs[i]
-            read[k, at + 1:end] = docs[i][:-1]
+            context = docs[i] < 0
+            predicted[k, at:end] = np.where(context, -1, docs[i])
+            read[k, at + 1:end] = np.where(context, ~docs[i], docs[i])[:-1]
             owner[k, at:end] = i
             at = end
     return read.T.copy(), predicted.T.copy(), owner.T.copy()
 
 
-def train(net: Network, docs: list[np.ndarray], epochs: int = 4, lanes: int = 64,
-          rate: float = 0.006) -> Network:
+def pieces(doc: np.ndarray) -> list[np.ndarray]:
+    """The document in pieces of ``PIECE`` symbols. Each but the first begins with the symbol
+    before it, inverted: that one is read and not predicted."""
+    return [doc[:PIECE], *[np.concatenate([~doc[at - 1:at], doc[at:at + PIECE]])
+                           for at in range(PIECE, len(doc), PIECE)]]
+
+
+class Trainer:
     """Adam on windows of ``STEPS`` words, the state carried from one to the next."""
-    if not docs:
-        return net
-    h = HIDDEN
-    read, predicted, _ = lanes_of(docs, lanes)
-    first = [np.zeros_like(a) for a in net.parts]
-    second = [np.zeros_like(a) for a in net.parts]
-    step = 0
-    for _ in range(epochs):
+
+    def __init__(self, net: Network, rate: float = 0.006) -> None:
+        self.net, self.rate, self.step = net, rate, 0
+        self.first = [np.zeros_like(a) for a in net.parts]
+        self.second = [np.zeros_like(a) for a in net.parts]
+
+    def learn(self, docs: list[np.ndarray], lanes: int) -> None:
+        """One pass over ``docs``."""
+        h, net = HIDDEN, self.net
+        read, predicted, _ = lanes_of(docs, lanes)
         state = np.zeros((h, read.shape[1]), np.float32)
         for low in range(0, len(read), STEPS):
             codes, target = read[low:low + STEPS], predicted[low:low + STEPS]
             found, kept = forward(net, codes, state, keep=True)
             state = found[-1]
             at, lane = np.nonzero(target >= 0)
+            if not len(at):
+                continue
             grads = [np.zeros_like(a) for a in net.parts]
             _, back = outputs(net, np.ascontiguousarray(found[at, :, lane].T), target[at, lane], grads)
             ahead = np.zeros((len(codes), read.shape[1], h), np.float32)
             ahead[at, lane] = back.T
             flow = np.zeros_like(state)
+            inputs = np.empty((*codes.shape, 3 * h), np.float32)
             for t, before, start, x, inward in reversed(kept):
                 flow = flow + ahead[t].T
                 gates, candidate = x[:2 * h], x[2 * h:]
                 update, reset = gates[:h], gates[h:]
-                d_candidate = flow * update * (1 - np.abs(candidate)) ** 2
-                slope = 0.5 * (1 - np.abs(2 * gates - 1)) ** 2
-                d_gates = np.concatenate([flow * (candidate - before), d_candidate * inward]) * slope
-                d_state = np.concatenate([d_gates, d_candidate * reset])
-                d_in = np.concatenate([d_gates, d_candidate])
-                order = np.argsort(codes[t], kind="stable")
-                used, cut = np.unique(codes[t][order], return_index=True)
-                grads[0][:, used] += np.add.reduceat(d_in[:, order], cut, axis=1)
-                grads[1] += d_state @ before.T
+                slope = 1 - np.abs(candidate)
+                d_in = np.empty_like(x)
+                d_candidate = np.multiply(flow * update, slope * slope, out=d_in[2 * h:])
+                slope = 1 - np.abs(2 * gates - 1)
+                d_gates = d_in[:2 * h]
+                np.multiply(flow, candidate - before, out=d_gates[:h])
+                np.multiply(d_candidate, inward, out=d_gates[h:])
+                d_gates *= slope * slope
+                d_gates *= 0.5
+                inputs[t] = d_in.T
                 grads[2] += d_in.sum(axis=1, keepdims=True)
-                flow = flow * (1 - update) + net.state_in.T @ d_state
+                d_in[2 * h:] *= reset
+                grads[1] += d_in @ before.T
+                flow = flow * (1 - update) + net.state_in.T @ d_in
                 flow[:, start] = 0
-            step += 1
-            for a, g, m, v in zip(net.parts, grads, first, second):
+            order = np.argsort(codes.ravel(), kind="stable")
+            used, cut = np.unique(codes.ravel()[order], return_index=True)
+            grads[0][:, used] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], cut, axis=0).T
+            self.step += 1
+            for a, g, m, v in zip(net.parts, grads, self.first, self.second):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                a -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+                a -= self.rate * (m / (1 - 0.9 ** self.step)) / (
+                    np.sqrt(v / (1 - 0.99 ** self.step)) + 1e-8)
+
+
+def train(net: Network, docs: list[np.ndarray], epochs: int = 4, lanes: int = 64,
+          rate: float = 0.006) -> Network:
+    trainer = Trainer(net, rate)
+    for _ in range(epochs if docs else 0):
+        trainer.learn(docs, lanes)
     return net
 
 
@@ -349,10 +396,53 @@ def for_network(vocab: Vocabulary, numbers: np.ndarray) -> np.ndarray:
     return np.where((numbers < 0) | (numbers >= vocab.size), OTHER, numbers)
 
 
+def averaged(docs: DataFrame, net: Network, vocab: Vocabulary, rate: float) -> Network:
+    """The mean, by tokens, of the networks that the tasks make of ``net`` from all of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast((net, vocab))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, vocab = shared.value
+        trainer = Trainer(start.like(start.vector()), rate)
+        block: list[np.ndarray] = []
+        tokens = 0
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                doc = for_network(vocab, symbols(vocab, words_of(text)))
+                tokens += len(doc)
+                block += pieces(doc)
+                while len(block) >= 2 * BLOCK:
+                    trainer.learn(block[:BLOCK], BLOCK)
+                    del block[:BLOCK]
+        if block:
+            # Fewer lanes make more steps of the rest, which is all that a small input has.
+            trainer.learn(block, max(64, len(block) // 4))
+        if tokens:
+            vector = trainer.net.vector()
+            places = range(0, len(vector), SLICE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.int32()), pa.array([tokens] * len(places), pa.int64()),
+                 pa.array([vector[i:i + SLICE].tobytes() for i in places], pa.binary())],
+                names=["place", "tokens", "weights"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        # In one order, so that the sum does not depend on the order of tasks.
+        rows = sorted(zip(table["tokens"].to_pylist(), table["weights"].to_pylist()))
+        total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for n, w in rows)
+        return pa.table({"place": table["place"][:1], "tokens": pa.array([sum(n for n, _ in rows)]),
+                         "weights": pa.array([(total / sum(n for n, _ in rows)).tobytes()], pa.binary())})
+
+    schema = "place int, tokens long, weights binary"
+    found = sorted(docs.select("text").mapInArrow(run, schema).groupBy("place")
+                   .applyInArrow(mean, schema).collect())
+    shared.unpersist()
+    return net.like(np.concatenate([np.frombuffer(r["weights"]) for r in found])) if found else net
+
+
 def learn(docs: DataFrame, counts: DataFrame, size: int = 2048, frequent: int = 250_000,
-          sample_docs: int = 400) -> Model:
-    """``counts`` are the word counts of all of ``docs``; the network is fitted to the
-    ``sample_docs`` documents with the smallest hash of their id."""
+          sample_docs: int = 400, rounds: int = 4) -> Model:
+    """``counts`` are the word counts of all of ``docs``. The network starts from a fit to the
+    ``sample_docs`` documents with the smallest hash of their id; then tasks train it on all of
+    ``docs``, every document in one of the ``rounds``."""
     ends = docs.count()
     vocab = vocabulary(counts, ends, size, frequent)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -362,14 +452,23 @@ def learn(docs: DataFrame, counts: DataFrame, size: int = 2048, frequent: int =
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
               .select(F.col("doc_id").alias("_id")))
     sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
-    # Of a long document eight pieces spread over it, so that the sample stays bounded.
+    # Of a long document eight pieces spread over it, so that the driver's first fit stays bounded.
     words = F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+")
-    spread = let(words, lambda w: F.when(F.size(w) <= 8 * PIECE, w).otherwise(F.flatten(F.array(
-        *[F.slice(w, F.floor((F.size(w) - PIECE) * j / 7).cast("int") + 1, PIECE) for j in range(8)]))))
-    rows = sample.select("doc_id", spread.alias("words")).collect()
-    learned = [for_network(vocab, symbols(vocab, words_of(" ".join(r["words"]).encode())))
-               for r in sorted(rows)]
-    net = train(initial(vocab, others), learned)
+    spread = let(words, lambda w: F.when(F.size(w) <= 8 * PIECE, F.array(w)).otherwise(F.array(
+        *[F.slice(w, F.floor((F.size(w) - PIECE) * j / 7).cast("int") + 1, PIECE) for j in range(8)])))
+    first: list[np.ndarray] = []
+    for row in sorted(sample.select("doc_id", spread.alias("words")).collect()):
+        for j, part in enumerate(row["words"]):
+            doc = for_network(vocab, symbols(vocab, words_of(" ".join(part).encode())))
+            if j + 1 < len(row["words"]):
+                doc = doc[:-1]  # no end here
+            if j > 0:
+                doc[:1] = ~doc[:1]  # read, not predicted
+            first.append(doc)
+    net = train(initial(vocab, others), first)
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    for k in range(rounds):
+        net = averaged(docs.where(share == k), net, vocab, 0.006 / (k + 1))
     return Model(net, vocab, total["n"] + ends, total["v"] + (ends > 0), others,
                  total["v"] - (vocab.size - 3))
 
