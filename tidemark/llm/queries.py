@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, gru_lm, langid, maxscore, mixing, pii, secret_scan, simhash, suffix_dedup, urls
+from tidemark.llm import decontaminate, gru_lm, langid, maxscore, mixing, pii, secret_scan, simhash, suffix_dedup, token_store, urls
 from tidemark.llm.spans import joined
 from tidemark.plans.registry import Query
+from tidemark.sources.writers import scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +177,19 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit,
 FROM docs LEFT JOIN places USING (r) LEFT JOIN found USING (r)"""
 
 
+def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of all documents, written in planes and read back."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    token_store.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    found = token_store.documents(spark, path, token_store.crc32_of)
+    return found.withColumnRenamed("value", "ids_crc32")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_simhash, op2_maxscore, op3_langid, op4_pii, op5_gru, op6_secrets, op7_mixing, op8_suffixes, op9_urls, op10_winnowing)}
+    op1_simhash, op2_maxscore, op3_langid, op4_pii, op5_gru, op6_secrets, op7_mixing, op8_suffixes, op9_urls, op10_winnowing,
+    op13_token_planes)}
 
 ORACLE: dict[str, str] = {"op2_maxscore": MAXSCORE_SQL, "op7_mixing": MIXING_SQL,
                           "op10_winnowing": WINNOWING_SQL}
