@@ -12,7 +12,7 @@ import corpus_pipeline
 from tidemark.llm import maxscore, mixing
 from tidemark.llm.queries import ORACLE, QUERIES
 
-TABLES = "documents embeddings pages benchmark".split()
+TABLES = "documents embeddings pages benchmark conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 STORE = ("kind string, shard int, at long, n long, doc_id {doc_id}, sizes array<int>, packed binary")
 PART = 16 << 20  # bytes of text handled at a time
-MOST_KNOWN = 1_200_000  # words whose ids a Python worker remembers
+MOST_KNOWN = 600_000  # words whose ids a Python worker remembers
 
 # White space as Python's \s has it, which includes all that the pre-tokenizer knows.
 SPACE = ("\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
