@@ -32,7 +32,7 @@ def test_ranks(spark, blocks):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcde", k=2)) for _ in range(300)] + ["mm"] * 150
     df = spark.createDataFrame([(w,) for w in words], "value string")
-    got = tm.rank_values(df, blocks=blocks).collect()
+    got = tm.rank_values(df, partitions=blocks).collect()
     ordered = sorted(words)
     assert {(r.value, r.copies, r.first_rank) for r in got} == {
         (w, words.count(w), ordered.index(w) + 1) for w in set(words)

@@ -20,6 +20,11 @@ from tidemark.operators.evaluate import (
     stack,
 )
 from tidemark.operators.features import fourier, future_frame, hinges, holiday_days, holiday_flags
+from tidemark.operators.likelihood import (
+    fit_likelihood,
+    likelihood_profile,
+    walk_forward_likelihood,
+)
 from tidemark.operators.ordering import rank_values, sort_values
 from tidemark.operators.resample import fill_calendar, resample
 from tidemark.operators.series import (
@@ -55,6 +60,7 @@ __all__ = [
     "fill_calendar",
     "first_element",
     "first_of",
+    "fit_likelihood",
     "forecast_next",
     "fourier",
     "future_frame",
@@ -65,6 +71,7 @@ __all__ = [
     "holiday_days",
     "holiday_flags",
     "integrate",
+    "likelihood_profile",
     "literal",
     "log",
     "nest",
@@ -89,6 +96,7 @@ __all__ = [
     "tail",
     "to_series",
     "walk_forward",
+    "walk_forward_likelihood",
     "week_end",
     "write_csv",
     "write_lines",
