@@ -2,6 +2,9 @@ import os
 import sys
 from datetime import date, timedelta
 
+# Spark's threads and those of the linear algebra would wait for each other.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import numpy as np
 import pandas as pd
 import pytest
