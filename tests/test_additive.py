@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark as tm
-from tidemark.operators.additive import SCALES, SEASONALITIES, penalised_fit
+from tidemark.operators.additive import SCALES, SEASONALITIES, penalised_fit, sparse_minimum
 
 N = 800
 HOLIDAY = [date(2021, 6, 12), date(2022, 6, 10)]
@@ -59,7 +59,7 @@ def test_forecast_equals_a_direct_fit(data, df, holidays):
     y = data.y.to_numpy()
     scale = np.abs(y[:n]).max()
     a = np.column_stack([x[:n], y[:n] / scale])
-    beta, status = penalised_fit(a.T @ a, 56, 3, SCALES)
+    beta, noise, status = penalised_fit(a.T @ a, 56, 3, SCALES)
     want = x[n:] @ beta * scale
     got = tm.additive_forecast(df, "series_id", holidays=holidays).orderBy("ds").toPandas()
     assert list(got.ds) == list(data.ds[n:])
@@ -73,7 +73,7 @@ def test_the_solution_is_the_best_point(data):
     y = data.y.to_numpy()[:n] / np.abs(data.y.to_numpy()[:n]).max()
     x = x[:n]
     a = np.column_stack([x, y])
-    beta, status = penalised_fit(a.T @ a, 56, 3, SCALES)
+    beta, noise, status = penalised_fit(a.T @ a, 56, 3, SCALES)
     assert status == "ok"
     noise = np.sum((y - x @ beta) ** 2) / n
     k = x.shape[1]
@@ -143,3 +143,69 @@ def test_a_series_without_history_says_so(spark):
                                    for i in range(8)], "series_id string, ds date, y double")
     got = tm.additive_forecast(short, "series_id").collect()
     assert len(got) == 7 and {(r.yhat, r.status) for r in got} == {(None, "short")}
+
+
+def test_conditions_of_the_minimum(data):
+    """Slope changes that are not zero pull with the prior's strength, zeros with no more."""
+    x, n = design(data, 7)
+    y = data.y.to_numpy()[:n] / np.abs(data.y.to_numpy()[:n]).max()
+    a = np.column_stack([x[:n], y])
+    beta, noise, status = penalised_fit(a.T @ a, 56, 3, SCALES)
+    assert status == "ok"
+    assert noise == pytest.approx(np.sum((y - x[:n] @ beta) ** 2) / n, rel=1e-9)
+    pull = x[:n].T @ (y - x[:n] @ beta) / noise
+    changes = slice(2, x.shape[1] - 59)
+    price = 1 / SCALES["changepoint"]
+    zero = beta[changes] == 0
+    assert zero.any() and not zero.all()
+    assert (np.abs(pull[changes][zero]) <= price * (1 + 1e-6)).all()
+    np.testing.assert_allclose(pull[changes][~zero], price * np.sign(beta[changes][~zero]), rtol=1e-6)
+    ridge = np.r_[[1 / 25] * 2, [100.0] * 56, [0.01] * 3]
+    rest = np.r_[0, 1, x.shape[1] - 59 : x.shape[1]]
+    np.testing.assert_allclose(pull[rest], ridge * beta[rest], rtol=1e-5, atol=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_sparse_minimum_against_all_patterns(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(30, 5)).cumsum(axis=0) if seed % 2 else rng.normal(size=(30, 5))
+    y = x @ np.array([1.0, 0, -2, 0, 0.1]) + rng.normal(size=30)
+    square, pull, price = x.T @ x, x.T @ y, 10.0 * (1 + seed)
+    got, exact = sparse_minimum(square, pull, price, np.zeros(5))
+    assert exact
+    cost = lambda b: b @ square @ b / 2 - pull @ b + price * np.abs(b).sum()
+    best = 0.0
+    for pattern in np.ndindex(*(3,) * 5):
+        sign = np.array(pattern) - 1
+        on = np.flatnonzero(sign)
+        if len(on):
+            b = np.zeros(5)
+            b[on] = np.linalg.solve(square[np.ix_(on, on)], pull[on] - price * sign[on])
+            if (np.sign(b[on]) == sign[on]).all():
+                best = min(best, cost(b))
+    assert cost(got) == pytest.approx(best, abs=1e-9)
+
+
+def test_bands_hold_their_share(spark):
+    """Four in five values lie in the bands, of the history and of what follows it."""
+    rng = np.random.default_rng(2)
+    days = [date(2020, 1, 1) + timedelta(days=i) for i in range(600)]
+    rows = []
+    for k in range(60):
+        # Changes at the places the model knows, and as often in the days to come.
+        slopes = np.zeros(600)
+        later = 540 + np.flatnonzero(rng.random(60) < 23 / 540)
+        for at in [*np.linspace(0, 431, 24).round().astype(int)[1:], *later]:
+            slopes[at] = rng.laplace(0, 0.05)
+        y = 50 + np.cumsum(np.cumsum(slopes)) + 0.5 * rng.standard_normal(600)
+        rows += [(k, d, float(v)) for d, v in zip(days, y)]
+    df = spark.createDataFrame(rows, "series_id int, ds date, y double")
+    got = tm.additive_components(df, "series_id", seasonalities={}, holdout=60, interval=0.8).toPandas()
+    inside = (got.y >= got.yhat_lower) & (got.y <= got.yhat_upper)
+    assert 0.74 < inside[~got.is_test].mean() < 0.86
+    assert 0.6 < inside[got.is_test].mean() < 0.97
+    width = (got.yhat_upper - got.yhat_lower)[got.series_id == 0].to_numpy()
+    tests = got.is_test[got.series_id == 0].to_numpy()
+    assert np.ptp(width[~tests]) < 1e-9 and (np.diff(width[tests]) > 0).all()
+    plain = tm.additive_forecast(df, "series_id", seasonalities={}, holdout=60)
+    assert plain.columns == ["series_id", "ds", "y", "yhat", "status"]

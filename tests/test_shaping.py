@@ -190,17 +190,46 @@ def test_quartiles_of_infinite_values_and_many_keys(spark):
         assert np.allclose(got[k], want, atol=1e-12)
 
 
-def test_quartiles_read_the_table_three_times(spark, tmp_path):
-    """For the bounds, for the counts below them, and for the values inside."""
-    spark.range(5000).selectExpr("id % 7 k", "id a", "id * 2 b").write.parquet(str(tmp_path / "t"))
-    rows = spark.read.parquet(str(tmp_path / "t"))
-    from tidemark.operators.describe import _exact
+def test_quartiles_read_the_table_twice(spark, tmp_path, monkeypatch):
+    """For the statistics and bounds, and for the counts; each plan has one scan of the table."""
+    from tidemark.operators import describe
+    spark.range(5000).selectExpr("id % 7 k", "id a", "id * 2 b", "id % 3 c", "-id d", "id + 1 e").write.parquet(
+        str(tmp_path / "t"))
+    rows, plans = spark.read.parquet(str(tmp_path / "t")), []
+
+    def seen(function):
+        def run(*args):
+            out = function(*args)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            return out
+        return run
+
+    monkeypatch.setattr(describe, "counted", seen(describe.counted))
     for by in ([], ["k"]):
-        found = _exact(rows, ["a", "b"], by)
-        found.collect()
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        final = plan[:plan.index("== Initial Plan ==")]
-        assert final.count("FileScan") <= 3
+        found = describe.describe(rows, ["a", "b", "c", "d", "e"], by, quartiles=True)
+        text = plans.pop()
+        assert text.count(str(tmp_path / "t")) == 1 and "NestedLoop" not in text and "Window" not in text
+        final = found._jdf.queryExecution().executedPlan().toString()
+        assert str(tmp_path / "t") not in final and "NestedLoop" not in final
+        # Running counts are taken inside a range of values.
+        windows = [w for w in final.split("Window [")[1:]]
+        assert all("_range" in w.split("\n")[0] for w in windows)
+        got = {(r["column"], r.k if by else None): (r.q25, r.q50, r.q75) for r in found.collect()}
+        table = np.arange(5000)
+        for k in range(7) if by else [None]:
+            part = table[table % 7 == k] if by else table
+            for name, v in (("a", part), ("b", part * 2), ("c", part % 3), ("d", -part), ("e", part + 1)):
+                assert got[name, k] == tuple(np.quantile(v, [0.25, 0.5, 0.75]))
+
+
+def test_quartiles_of_a_million_values(spark):
+    df = spark.range(1_000_000).selectExpr(
+        "pmod(id * 2654435761, 1000003) / 7D v", "CASE WHEN id % 10 < 4 THEN 1.5D ELSE double(id) END w",
+        "log(id + 1) x")
+    rows = df.toPandas()
+    got = {r["column"]: r for r in tm.describe(df, quartiles=True).collect()}
+    for c in "vwx":
+        assert np.allclose([got[c].q25, got[c].q50, got[c].q75], rows[c].quantile([0.25, 0.5, 0.75]), rtol=1e-12)
 
 
 def test_align_meets_null_keys(spark):

@@ -126,24 +126,29 @@ def test_scratch_follows_the_session(spark, tmp_path):
 
 
 PROGRAM = """
-import sys
-sys.path.insert(0, sys.argv[1])
-from pyspark.sql import SparkSession, functions as F
-import tidemark as tm
-from tidemark.session import ship
-spark = SparkSession.builder.master("local-cluster[1,1,900]").config("spark.executor.memory", "700m") \\
-    .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
-print(ship(spark))
-df = spark.range(60).select(F.date_add(F.lit("2020-01-05").cast("date"), F.col("id").cast("int")).alias("ds"),
-                            (F.sin(F.col("id") * 1.7) + F.col("id") * 0.01).alias("y"), F.lit("a").alias("k"))
-print("status", tm.adf(df, "k").first().status)
+import pickle, sys
+sys.path.insert(0, sys.argv[1])  # the zip, as Spark puts it on a worker's path
+function = pickle.load(open(sys.argv[2], "rb"))
+import tidemark
+assert sys.argv[1] in tidemark.__file__
+import pandas as pd
+rows = pd.DataFrame({"k": ["a"] * 40, "_block": 0, "_pos": range(1, 41), "_top": 2, "_own": True,
+                     "_dy": [0.5, -0.25] * 20, "_level": [float(i % 7) for i in range(40)]})
+print("rows", len(function(("a", 0), rows)))
 """
 
 
-def test_executors_get_the_package(tmp_path):
-    """From another folder, with nothing on the executors' path."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def test_shipped_package_serves_a_worker(spark, tmp_path):
+    """A process elsewhere, with nothing but the zip, runs a function that was pickled by reference,
+    as a worker of an executor does."""
+    from pyspark import cloudpickle
+    from tidemark.operators import diagnostics
+    from tidemark.session import ship
+    zipped = ship(spark)
+    assert any(zipped.endswith(os.path.basename(f)) for f in spark.sparkContext.listFiles)
+    (tmp_path / "function").write_bytes(cloudpickle.dumps(diagnostics._partial_sums(["k"])))
+    (tmp_path / "run.py").write_text(PROGRAM)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, "-c", PROGRAM, root], cwd=tmp_path, env=env,
-                          capture_output=True, text=True, timeout=240)
-    assert "status ok" in done.stdout, done.stderr[-2000:]
+    done = subprocess.run([sys.executable, "run.py", zipped, "function"], cwd=tmp_path,
+                          env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 4" in done.stdout, done.stderr[-2000:]

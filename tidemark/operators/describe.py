@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.columns import keys, number, same_key
 from tidemark.operators.evaluate import stack
+from tidemark.operators.quantiles import counted, selected, sketches
 from tidemark.operators.resample import mean_of
+from tidemark.sources.writers import scratch_path
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-# Accuracy of the sketch, the margin around a quartile (as a share of the rows), and the number of
-# rows from which on the margin holds the rows next to the quartile whatever the sketch's error.
-SKETCH, MARGIN, FEW = 10_000, 0.0025, 1_000
 
 
 def group_mean(df: DataFrame, by, y: str = "y", out: str = "mean_y",
@@ -40,10 +39,12 @@ def describe(df: DataFrame, cols: Iterable[str] | None = None, by=None, quartile
         cols = [f.name for f in df.schema if f.name not in by and isinstance(f.dataType, kinds)]
     else:
         cols = keys(cols)
+    if quartiles and not approx:
+        return _exact(df, cols, by)
     basic = _basic(df, cols, by)
     if not quartiles:
         return basic
-    parts = _approximate(df, cols, by) if approx else _exact(df, cols, by)
+    parts = _approximate(df, cols, by)
     joined = basic.alias("b").join(
         parts.alias("q"), same_key("b", "q", [*by, "column"]), "left"
     )
@@ -71,6 +72,12 @@ def _basic(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 
 def _summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     values = df.select(*by, *cols, *[_value(df, c).alias(f"_value_{c}") for c in cols])
+    rows = F.array(*_statistics(df, cols))
+    return values.groupBy(*by).agg(rows.alias("_rows")).select(*by, F.inline("_rows"))
+
+
+def _statistics(df: DataFrame, cols: list[str]) -> list[Column]:
+    """A row of aggregates per column, whose values are in ``_value_<column>``."""
     rows = []
     for c in cols:
         v, text = F.col(f"_value_{c}"), _is_text(df, c)
@@ -86,7 +93,7 @@ def _summary(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
                 (F.max(c) if text else F.lit(None).cast("string")).alias("max_text"),
             )
         )
-    return values.groupBy(*by).agg(F.array(*rows).alias("_rows")).select(*by, F.inline("_rows"))
+    return rows
 
 
 def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
@@ -100,67 +107,43 @@ def _approximate(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 
 
 def _exact(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Exact quartiles in three lazy passes over the table, without laying rows out by column.
+    """All statistics with exact quartiles, in two scans of the table (see ``quantiles``).
 
-    The first pass takes a sketch of each column, whose rank error is at most 1 in ``SKETCH``, and
-    from it bounds around each quartile.  One more counts the values below the bounds, and one keeps
-    those inside, ``2 * MARGIN`` of all for each quartile, counted by value.  A group of fewer than
-    ``FEW`` rows, in which the margin may be less than a row, keeps all its values.
+    The first is written, one row per group: it holds the statistics and the bounds that the
+    second goes by. A table without groups has one row of them, which comes to the driver.
     """
-    values = df.select(*by, *[_value(df, c).alias(f"_v{i}") for i, c in enumerate(cols)])
-    spots = [F.lit(p + side * MARGIN) for p in QUARTILES.values() for side in (-1, 1)]
-    bounds = values.groupBy(*by).agg(*[
-        F.struct(
-            F.percentile_approx(f"_v{i}", F.array(*spots), F.lit(SKETCH)).alias("at"),
-            F.count(f"_v{i}").alias("n"), F.min(f"_v{i}").alias("min"), F.max(f"_v{i}").alias("max"),
-        ).alias(f"_b{i}") for i in range(len(cols))])
-    same = same_key("v", "b", by)
-    joined = values.alias("v").join(bounds.alias("b"), same) if by else values.alias("v").crossJoin(
-        F.broadcast(bounds.alias("b")))  # one row
-
-    below, inside = [], [F.struct(F.lit(-1).alias("_k"), F.lit(None).cast("double").alias("_value"))]
-    for i in range(len(cols)):
-        v, b = F.col(f"v._v{i}"), F.col(f"b._b{i}")
-        for q in range(len(QUARTILES)):
-            few = b["n"] < FEW
-            low = F.when(few, b["min"]).otherwise(F.get(b["at"], F.lit(2 * q)))
-            high = F.when(few, b["max"]).otherwise(F.get(b["at"], F.lit(2 * q + 1)))
-            below.append(F.when(v < low, 1).otherwise(0))
-            inside.append(F.when((v >= low) & (v <= high), F.struct(
-                F.lit(i * len(QUARTILES) + q).alias("_k"), v.alias("_value"))))
-    slots, each = range(len(below)), range(len(cols))
-    rows = joined.select(
-        *[F.col(f"v.{c}") for c in by], *[below[k].alias(f"_low{k}") for k in slots],
-        *[F.col(f"b._b{i}.n").alias(f"_n{i}") for i in each], F.inline(F.array_compact(F.array(*inside))))
-    values_held = rows.where("_k >= 0").groupBy(*by, "_k", "_value").agg(F.count(F.lit(1)).alias("_held"))
-    upto = F.sum("_held").over(Window.partitionBy(*by, "_k").orderBy("_value"))
-    running = values_held.withColumn("_upto", upto)
-    # One row per group, with what is below the bounds and how many values each column has.
-    lows = rows.where("_k < 0").groupBy(*by).agg(
-        *[F.sum(f"_low{k}").alias(f"_low{k}") for k in slots], *[F.max(f"_n{i}").alias(f"_n{i}") for i in each],
-    ).select(*by, F.array(*[f"_low{k}" for k in slots]).alias("_low"),
-             F.array(*[f"_n{i}" for i in each]).alias("_n"))
-    placed = running.alias("r").join(lows.alias("l"), same_key("r", "l", by)) if by else running.alias(
-        "r").crossJoin(F.broadcast(lows.alias("l")))  # one row
-    start = F.get(F.col("l._low"), F.col("r._k")) + F.col("r._upto") - F.col("r._held")
-    n = F.get(F.col("l._n"), F.floor(F.col("r._k") / len(QUARTILES)).cast("int"))
-    ranked = placed.select(*[F.col(f"r.{c}") for c in by], "r._k", "r._value", "r._held",
-                           start.alias("_start"), n.alias("_n")).alias("p")
-    part = F.get(F.array(*[F.lit(p) for p in QUARTILES.values()]), F.col("p._k") % len(QUARTILES))
-    place = (F.col("p._n") - 1) * part
-    ends = [F.max(F.when(_within(f(place), F.col("p._start"), F.col("p._held")), F.col("p._value")))
-            for f in (F.floor, F.ceil)]
-    found = ranked.groupBy(*[F.col(f"p.{c}") for c in by], "p._k").agg(
-        *[e.alias(n) for e, n in zip(ends, ("_lo", "_hi"))], F.max(place - F.floor(place)).alias("_share"))
-    # Between two equal values, infinite ones too, there is nothing to interpolate.
-    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
-        F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo")))
-    names = F.array(*[F.lit(c) for c in cols])
-    return found.groupBy(*by, F.get(names, F.floor(F.col("_k") / len(QUARTILES)).cast("int"))
-                         .alias("column")).agg(*[
-        F.max(F.when(F.col("_k") % len(QUARTILES) == q, value)).alias(name)
-        for q, name in enumerate(QUARTILES)])
-
-
-def _within(rank, start, count):
-    return (rank >= start) & (rank < start + count)
+    spark, shares = df.sparkSession, list(QUARTILES.values())
+    named = {c: _value(df, c) for c in cols}
+    rows = df.select(*by, *cols, *[v.alias(f"_value_{c}") for c, v in named.items()])
+    values = {c: F.col(f"_value_{c}") for c in cols}
+    first = rows.groupBy(*by).agg(F.array(*_statistics(df, cols)).alias("_rows"),
+                                  *[s.alias(n) for n, s in sketches(values, shares).items()])
+    path = scratch_path(spark, "describe")
+    first.write.parquet(path)
+    first = spark.read.schema(first.schema).parquet(path)
+    names = [f"_bounds{i}" for i in range(len(cols))]
+    if by:
+        # Groups with many rows are split over tasks by the skew join.
+        seen = rows.alias("v").join(first.select(*by, *names).alias("b"), same_key("v", "b", by))
+        seen = seen.select(*[F.col(f"v.{c}").alias(c) for c in by], *[
+            F.col(f"b.{n}").alias(n) for n in names], *[f"v._value_{c}" for c in cols])
+        bounds = [F.col(n) for n in names]
+    else:
+        seen, row = rows, first.select(*names).first()
+        bounds = [_literal(row[n]) for n in names]
+    found = selected(counted(seen, by, values, bounds, shares), by, shares)
+    column = F.get(F.array(*[F.lit(c) for c in cols]), F.col("c"))
+    parts = found.select(*by, column.alias("column"),
+                         *[F.col("quantiles")[k].alias(n) for k, n in enumerate(QUARTILES)])
+    basic = first.select(*by, F.inline("_rows"))
+    joined = basic.alias("b").join(parts.alias("q"), same_key("b", "q", [*by, "column"]), "left")
+    return joined.select("b.*", *[f"q.{c}" for c in QUARTILES])
+
+
+def _literal(bounds) -> Column:
+    """The bounds of a column as constants."""
+    at = [F.lit(x).cast("double") for x in bounds["at"] or []]
+    return F.struct(
+        (F.array(*at) if at else F.array().cast("array<double>")).alias("at"),
+        F.lit(bounds["n"]).alias("n"), F.lit(bounds["low"]).cast("double").alias("low"),
+        F.lit(bounds["high"]).cast("double").alias("high"))

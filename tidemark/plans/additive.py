@@ -102,7 +102,7 @@ def future_dates(spark, sf_dir):
 
 
 LABELS = [f"{name}|{offset}" for name in ("highest_value", "most_orders") for offset in (-1, 0, 1)]
-SMALL_SQL = additive_steps("daily", 3, LABELS, 7, 200)
+SMALL_SQL = additive_steps("daily", 3, LABELS, 7, 600)
 
 
 @query(f"""WITH RECURSIVE {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}, {SMALL_SQL}
@@ -129,6 +129,21 @@ def components(spark, sf_dir):
     return rounded(found, "trend", "weekly", "holidays", "yhat", places=2)
 
 
+HALF = 1.2815515655446004  # the normal quantile that 80 % in the middle end at
+
+
+@query(f"""WITH RECURSIVE {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}, {SMALL_SQL}, bands AS (
+    SELECT *, trend + weekly + holidays AS yhat FROM components)
+  SELECT series_id, ds, y, is_test, {r6_sql('yhat', 2)} AS yhat, {r6_sql(f'yhat - {HALF} * sd', 2)} AS yhat_lower,
+    {r6_sql(f'yhat + {HALF} * sd', 2)} AS yhat_upper FROM bands""")
+def additive_bands(spark, sf_dir):
+    """Fitted and forecast rows between the values that four in five are expected to lie."""
+    found = additive_components(panel(spark, sf_dir, "D"), KEY, seasonalities={"weekly": (7.0, 3)},
+                                n_changepoints=3, holidays=holidays(spark, sf_dir), interval=0.8)
+    found = found.select(KEY, "ds", "y", "is_test", "yhat", "yhat_lower", "yhat_upper")
+    return rounded(found, "yhat", "yhat_lower", "yhat_upper", places=2)
+
+
 @query(f"""WITH RECURSIVE {DAILY_SQL}, {HOLIDAYS_SQL}, {TOUCHED_SQL}, {SMALL_SQL}
   SELECT series_id, ds, unnest(['actual', 'trend', 'weekly', 'holidays', 'yhat']) AS panel,
     unnest([{r6_sql('y')}, {', '.join(r6_sql(c, 2) for c in (

@@ -81,12 +81,13 @@ iter AS (
     {', '.join(f'0.0::double AS b{i}' for i in range(size))} FROM gram
   UNION ALL
   SELECT series_id, it + 1, greatest(greatest(uu - 2 * ({cross}) + {quad}, 0) / g0_0, 1e-8),
-    {', '.join(f"1 / ({SCALES['changepoint']} * greatest(abs(b{i}), 1e-4))" for i in hinge)},
+    {', '.join(f"1 / ({SCALES['changepoint']} * greatest(abs(b{i}), 1e-13))" for i in hinge)},
     {betas}
   FROM ({_solve('(SELECT series_id, it, noise, ' + ', '.join(f'w{i}' for i in hinge)
                 + f', gram.* EXCLUDE (series_id) FROM iter JOIN gram USING (series_id) '
                 + f'WHERE it < {rounds})', size, weights)})),
-components AS (SELECT l.series_id, l.ds, l.y, l.is_test, {parts}
+components AS (SELECT l.series_id, l.ds, l.y, l.is_test, {parts}, l.scale * sqrt(noise
+  + {changes} * 2 * pow(({' + '.join(f'abs(b{i})' for i in hinge)}) / {changes}, 2) * pow(greatest(f1 - 1, 0), 3) / 3) AS sd
   FROM laid l JOIN iter i ON i.series_id = l.series_id AND i.it = {rounds}),
 additive AS (SELECT series_id, ds, y, trend + weekly + holidays AS yhat FROM components
   WHERE is_test)"""
