@@ -207,3 +207,21 @@ def test_scores_of_the_published_table(spark):
 def test_score_of_a_flat_series_has_no_r2(spark):
     df = spark.createDataFrame([("s", 1.0, 2.0), ("s", 1.0, 2.0)], "k string, y double, yhat double")
     assert tm.score(df, "k").first().r2 is None
+
+
+def test_normal_distribution_to_fourteen_digits(spark):
+    """Also far out, as column arithmetic that Spark compiles."""
+    import math
+    from tidemark.functions.normal import erfc, normal_cdf
+    x = [0.0, 1e-12, 0.1, 0.46875, 0.47, 1.0, 2.0, 3.9, 4.0, 4.1, 6.0, 9.0, 15.0, 26.0]
+    z = [0.0, -1.0, 1.0, -2.0, 2.0, -8.0, 8.0, -37.0, 5.7]
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        df = spark.createDataFrame([(v,) for v in x], "x double").repartition(2)
+        for r in df.select("x", erfc(F.col("x")).alias("e")).collect():
+            assert r.e == pytest.approx(math.erfc(r.x), rel=2e-14)
+        df = spark.createDataFrame([(v,) for v in z], "z double").repartition(2)
+        for r in df.select("z", normal_cdf("z").alias("p")).collect():
+            assert r.p == pytest.approx(math.erfc(-r.z / math.sqrt(2)) / 2, rel=1e-13)
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")

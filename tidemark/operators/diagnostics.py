@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.batches import keyed_schema
 from tidemark.functions.columns import in_time, keys, same_key, whole_series
 from tidemark.functions.linalg import leading_residuals
+from tidemark.functions.normal import normal_cdf
 from tidemark.operators.series import drop_missing
 
 # MacKinnon's published response surfaces for one variable and a constant.
@@ -28,8 +29,6 @@ P_HIGH_SIDE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 # Rows of a series that one task reduces at a time, unless its largest lag asks for more.
 BLOCK_ROWS = 8192
-# Terms of the two expansions of the normal distribution, and where one takes over.
-SERIES_TERMS, FRACTION_TERMS, SWITCH = 40, 60, 2.0
 
 
 def critical_values(n: str | Column) -> dict[str, Column]:
@@ -41,25 +40,8 @@ def critical_values(n: str | Column) -> dict[str, Column]:
     }
 
 
-def normal_cdf(z: Column) -> Column:
-    """The normal distribution as column arithmetic: within 2 of zero the Maclaurin series of the
-    error function, beyond it the continued fraction of its complement.  Good to 1e-14."""
-    x = F.abs(z) / math.sqrt(2.0)
-    series = F.lit(0.0)
-    for n in range(SERIES_TERMS, -1, -1):
-        # x erf'(0) sum of (2 x^2)^n / (1 3 5 ... (2 n + 1)) times exp(-x^2)
-        series = F.lit(1.0) + series * (2 * x * x) / (2 * n + 3) if n < SERIES_TERMS else F.lit(1.0)
-    small = x * F.exp(-x * x) * (2 / math.sqrt(math.pi)) * series
-    tail = x
-    for n in range(FRACTION_TERMS, 0, -1):
-        tail = x + F.lit(n / 2) / tail
-    large = F.exp(-x * x) / math.sqrt(math.pi) / tail
-    upper = F.when(x < SWITCH, (1 - small) / 2).otherwise(large / 2)
-    return F.when(z > 0, 1 - upper).otherwise(upper)
-
-
-def p_value(stat: str) -> Column:
-    """Approximate p-value of the statistic."""
+def with_p_value(df: DataFrame, stat: str = "stat") -> DataFrame:
+    """Add ``p_value``, the approximate p-value of the statistic."""
     s = F.col(stat)
 
     def poly(coefs):
@@ -68,8 +50,10 @@ def p_value(stat: str) -> Column:
             out = out * s + F.lit(c)
         return out
 
-    inner = F.when(s <= P_BREAK, poly(P_LOW_SIDE)).otherwise(poly(P_HIGH_SIDE))
-    return F.when(s > P_HIGHEST, 1.0).when(s < P_LOWEST, 0.0).otherwise(normal_cdf(inner))
+    # A column of its own, so that it is computed once however often it is named.
+    placed = df.withColumn("_z", F.when(s <= P_BREAK, poly(P_LOW_SIDE)).otherwise(poly(P_HIGH_SIDE)))
+    share = F.when(s > P_HIGHEST, 1.0).when(s < P_LOWEST, 0.0).otherwise(normal_cdf("_z"))
+    return placed.withColumn("p_value", share).drop("_z")
 
 
 def adf(df: DataFrame, by, y: str = "y", autolag: str | None = "aic", maxlag: int | None = None,
@@ -119,7 +103,7 @@ def adf(df: DataFrame, by, y: str = "y", autolag: str | None = "aic", maxlag: in
         _partial_sums(by), keyed_schema(rows, by, _PARTIAL))
     fits = sums.groupBy(*by).applyInPandas(_choose_and_fit(by, autolag), keyed_schema(rows, by, _FIT))
     stat = F.col("stat")
-    report = fits.withColumns({"p_value": p_value("stat"), **critical_values("n_obs")})
+    report = with_p_value(fits).withColumns(critical_values("n_obs"))
     return report.select(
         *by, "stat", "p_value", "used_lag", "n_obs", "crit_1", "crit_5", "crit_10",
         ((stat <= F.col("crit_5")) | (F.col("p_value") <= 0.05)).alias("stationary"), "status",

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from tidemark.operators.arima import burn_in
-
 ORDER = "PARTITION BY {key} ORDER BY ds"
 
 
@@ -53,7 +51,7 @@ def fit_steps(source: str, tag: str, lags: Sequence[tuple[str, int]], const: boo
         more, name = elimination_step(last, tag, s, size)
         parts.append(more)
         last = name
-    ready = f"c_{tag} >= {burn_in(size)}" if size else "true"
+    ready = f"c_{tag} >= greatest(10, 2 * {size})" if size else "true"
     parts.append(
         f"fit_{tag} AS (SELECT *, CASE WHEN {ready} THEN p{size}_{tag} END AS fit_{tag} FROM {last})"
     )
@@ -100,7 +98,7 @@ def forecast_steps(levels: str, order: tuple[int, int, int], const: bool = True,
         before = (f"OVER ({ORDER.format(key=key)} "
                   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
         parts.append(
-            f"fit_{tag}2 AS (SELECT *, CASE WHEN count(w) {before} >= {burn_in(1)} "
+            f"fit_{tag}2 AS (SELECT *, CASE WHEN count(w) {before} >= greatest(10, 2 * 1) "
             f"THEN avg(w) {before} END AS fit_{tag}2 FROM {source})"
         )
         fitted = f"fit_{tag}2"

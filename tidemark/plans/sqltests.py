@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.operators.arima import burn_in
-from tidemark.operators.diagnostics import CRITICAL, P_HIGH_SIDE, P_LOW_SIDE
 from tidemark.plans.sqlfit import ORDER, base_sql, elimination_step, fit_steps
 
+# Fixed values, written here anew so that a wrong one in the operators would show.
+CRITICAL = {
+    "crit_1": (-3.43035, -6.5393, -16.786, -79.433),
+    "crit_5": (-2.86154, -2.8903, -4.234, -40.040),
+    "crit_10": (-2.56677, -1.5384, -2.809, 0.0),
+}
+P_LOW_SIDE = (2.1659, 1.4412, 0.038269)
+P_HIGH_SIDE = (1.7339, 0.93202, -0.12745, -0.010368)
 SQL_LAGS = 18  # enough for 506 rows; the weekly series have at most 345
 
 # The error function as a series of positive terms.
@@ -149,7 +155,7 @@ def grid_steps(levels: str, ps, ds, qs) -> str:
             parts.append(more)
         cells = ", ".join(
             f"{{'p': {p}, 'err': " + (
-                f"CASE WHEN c >= {burn_in(p + q)} THEN y - base - p{p + q}_{tag} END" if p + q else "y - base")
+                f"CASE WHEN c >= greatest(10, 2 * {p + q}) THEN y - base - p{p + q}_{tag} END" if p + q else "y - base")
             + "}" for p in ps)
         errors.append(f"SELECT series_id, d, {q} AS q, unnest([{cells}]) AS cell FROM {last}")
     parts.append("grid AS (SELECT series_id, cell.p AS p, d, q, count(*) AS n, "
