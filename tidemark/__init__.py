@@ -8,6 +8,7 @@ columns are always named by the ``by`` argument.
 from tidemark.functions.columns import parse_date, week_end
 from tidemark.operators.additive import additive_components, additive_forecast
 from tidemark.operators.arima import best_order, forecast_next, grid_search, walk_forward
+from tidemark.operators.calendars import Rule, country_holidays, holiday_calendar
 from tidemark.operators.decompose import decompose
 from tidemark.operators.describe import describe, group_mean
 from tidemark.operators.diagnostics import adf, critical_values, stationarity_report
@@ -43,6 +44,7 @@ from tidemark.sources.readers import literal, parse_json_records, read_csv, read
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
 
 __all__ = [
+    "Rule",
     "additive_components",
     "additive_forecast",
     "adf",
@@ -50,6 +52,7 @@ __all__ = [
     "best_order",
     "compare",
     "configure",
+    "country_holidays",
     "critical_values",
     "date_range",
     "decompose",
@@ -68,6 +71,7 @@ __all__ = [
     "group_mean",
     "head",
     "hinges",
+    "holiday_calendar",
     "holiday_days",
     "holiday_flags",
     "integrate",

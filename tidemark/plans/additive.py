@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import units
 from tidemark.operators.additive import additive_components, additive_forecast, scaled_rows
+from tidemark.operators.calendars import country_holidays
 from tidemark.operators.evaluate import plot_frame, score, stack
 from tidemark.operators.features import fourier, future_frame, hinges, holiday_flags
 from tidemark.plans.inputs import CENTS, DAILY_SQL, DAY_SQL, KEY, WEEKLY_SQL, panel, r6_sql, table
@@ -49,6 +50,54 @@ def union_holidays(spark, sf_dir):
     return holidays(spark, sf_dir)
 
 
+# Public holidays as conditions on a day, where the operator goes from rules to days.
+US_SQL = """
+  CASE WHEN m = 1 AND d = 1 THEN 'New Year''s Day'
+    WHEN m = 1 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'Martin Luther King Jr. Day'
+    WHEN m = 2 AND w = 1 AND d BETWEEN 15 AND 21 THEN 'Washington''s Birthday'
+    WHEN m = 5 AND w = 1 AND d >= 25 THEN 'Memorial Day'
+    WHEN m = 6 AND d = 19 AND y >= 2021 THEN 'Juneteenth'
+    WHEN m = 7 AND d = 4 THEN 'Independence Day'
+    WHEN m = 9 AND w = 1 AND d <= 7 THEN 'Labor Day'
+    WHEN m = 10 AND w = 1 AND d BETWEEN 8 AND 14 THEN 'Columbus Day'
+    WHEN m = 11 AND d = 11 THEN 'Veterans Day'
+    WHEN m = 11 AND w = 4 AND d BETWEEN 22 AND 28 THEN 'Thanksgiving'
+    WHEN m = 12 AND d = 25 THEN 'Christmas Day' END"""
+FIXED_DAYS = "'New Year''s Day', 'Juneteenth', 'Independence Day', 'Veterans Day', 'Christmas Day'"
+DAYS_SQL = f"""days AS (
+  SELECT cast(ds AS date) AS ds, month(ds) AS m, day(ds) AS d, year(ds) AS y, isodow(ds) AS w FROM (
+    SELECT unnest(generate_series(make_date(a, 1, 1), make_date(b + 1, 12, 31), interval 1 day)) AS ds
+    FROM (SELECT min(year({DAY_SQL})) AS a, max(year({DAY_SQL})) AS b FROM orders)))"""
+
+
+@query(f"""WITH {DAYS_SQL}, named AS (SELECT {US_SQL} AS holiday, ds, w FROM days)
+  SELECT holiday, ds, 0 AS lower_window, 0 AS upper_window FROM named WHERE holiday IS NOT NULL
+  UNION ALL SELECT holiday || ' (observed)', cast(ds + CASE w WHEN 7 THEN 1 ELSE -1 END * interval 1 day AS date), 0, 0
+  FROM named WHERE holiday IN ({FIXED_DAYS}) AND w >= 6""")
+def holidays_us(spark, sf_dir):
+    """The public holidays of the United States in the years of the orders and the next."""
+    return country_holidays(table(spark, sf_dir, "orders"), "US", "o_orderdate")
+
+
+# Easter Sundays, as published.
+EASTERS = ("1994-04-03 1995-04-16 1996-04-07 1997-03-30 1998-04-12 1999-04-04 2000-04-23 2001-04-15 "
+           "2002-03-31 2003-04-20 2004-04-11").split()
+
+
+@query(f"""WITH {DAYS_SQL}, easters AS (SELECT unnest([{', '.join(f"date '{d}'" for d in EASTERS)}]) AS e),
+  named AS (SELECT ds, CASE WHEN m = 1 AND d = 1 THEN 'Neujahr' WHEN m = 5 AND d = 1 THEN 'Tag der Arbeit'
+    WHEN m = 10 AND d = 3 THEN 'Tag der Deutschen Einheit' WHEN m = 12 AND d = 25 THEN 'Erster Weihnachtstag'
+    WHEN m = 12 AND d = 26 THEN 'Zweiter Weihnachtstag' END AS holiday FROM days),
+  moving AS (SELECT d.ds, CASE d.ds - e WHEN -2 THEN 'Karfreitag' WHEN 1 THEN 'Ostermontag'
+    WHEN 39 THEN 'Christi Himmelfahrt' WHEN 50 THEN 'Pfingstmontag' END AS holiday
+    FROM days d JOIN easters ON year(e) = d.y)
+  SELECT holiday, ds, -1 AS lower_window, 1 AS upper_window FROM (
+    SELECT * FROM named UNION ALL SELECT ds, holiday FROM moving) WHERE holiday IS NOT NULL""")
+def holidays_de(spark, sf_dir):
+    """Those of Germany, most of which move with Easter, with the days around them."""
+    return country_holidays(table(spark, sf_dir, "orders"), "DE", "o_orderdate", lower_window=-1, upper_window=1)
+
+
 TOUCHED_SQL = """touched AS (
   SELECT DISTINCT holiday, cast(o AS int) AS "offset", cast(ds + o * interval 1 day AS date) AS ds
   FROM holidays, generate_series(-1, 1) t(o))"""
@@ -167,6 +216,14 @@ def forecast_additive(spark, sf_dir):
     return _additive(spark, sf_dir)
 
 
+@query()
+def forecast_additive_us(spark, sf_dir):
+    """The same with the holidays of the United States beside the table's own."""
+    days = panel(spark, sf_dir, "D")
+    calendar = stack(holidays(spark, sf_dir), country_holidays(days, "US"))
+    return additive_forecast(days, KEY, holidays=calendar, interval=0.8)
+
+
 @query()
 def score_additive(spark, sf_dir):
     return score(_additive(spark, sf_dir), KEY)
