@@ -1,6 +1,7 @@
 """What the physical plans look like."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import tidemark as tm
 from conftest import SF_DIR
@@ -69,3 +70,47 @@ def test_a_bucketed_panel_is_not_shuffled_again(spark, panel, tmp_path):
     assert fit.select("yhat").exceptAll(
         tm.walk_forward(panel, "series_id", order=(2, 1, 1)).select("yhat")).count() == 0
     spark.sql("DROP TABLE bucketed_panel")
+
+
+def test_a_long_series_is_the_work_of_many_tasks(spark):
+    """In blocks, one key's rows are spread, and no window goes by the key alone but over counts."""
+    df = spark.range(20_000).select(
+        F.lit("one").alias("k"), F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).alias("ds"),
+        F.sin("id").alias("y"))
+    found = tm.rolling(df, "k", window=30, block_rows=500)
+    text = plan(found)
+    for w in text.split("Window [")[1:]:
+        assert "_block" in w.split("\n")[0] or "_span" in w.split("\n")[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it is a small table
+    try:
+        spread = tm.rolling(df, "k", window=30, block_rows=500).withColumn(
+            "p", F.spark_partition_id()).groupBy("p").agg(
+            F.count(F.lit(1)).alias("count"), F.sum("rolling_mean"), F.sum("rolling_std")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) > 4 and max(r["count"] for r in spread) < 10_000
+    whole = tm.rolling(df, "k", window=30)
+    assert found.count() == 20_000
+    both = found.alias("a").join(whole.alias("b"), "ds").where(
+        "NOT (a.rolling_mean <=> b.rolling_mean AND a.rolling_std <=> b.rolling_std)")
+    assert both.count() == 0
+
+
+def test_a_span_of_a_panel_reads_its_months(spark, panel, tmp_path):
+    from datetime import date
+    more = panel.unionByName(spark.createDataFrame([("z", None, 1.0)], panel.schema))
+    tm.write_panel(more, str(tmp_path / "p"))
+    whole = tm.read_panel(spark, str(tmp_path / "p"))
+    assert whole.exceptAll(more).count() == 0 and whole.count() == more.count()
+    start, end = date(2020, 6, 10), date(2021, 2, 3)
+    some = tm.read_panel(spark, str(tmp_path / "p"), start=start, end=end)
+    want = more.where((F.col("ds") >= F.lit(start)) & (F.col("ds") <= F.lit(end)))
+    assert some.exceptAll(want).count() == 0 and some.count() == want.count() > 0
+    text = plan(some)
+    assert "PartitionFilters: [isnotnull(month" in text and "month" in text.split("PartitionFilters: ")[1]
+
+
+def test_orders_are_summed_before_the_join(spark):
+    text = plan(QUERIES["drop_missing_weeks"](spark, SF_DIR))
+    joined = text[text.index("Join"):]
+    assert "HashAggregate" in joined and "partial_sum" in joined

@@ -252,3 +252,29 @@ def test_plot_frame(panel):
                         {"level": "y", "mean": "rolling_mean"})
     assert got.columns == ["series_id", "ds", "panel", "value"]
     assert got.count() == 2 * panel.count()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_windows_in_blocks(spark, panel, rows):
+    """With repeated dates in other series, gaps, nulls and a row without a date."""
+    odd = panel.withColumn("y", F.when(F.dayofyear("ds") % 11 != 0, F.col("y"))).unionByName(
+        spark.createDataFrame([("a", None, 5.0)], panel.schema))
+    for whole, cut in (
+        (tm.rolling(odd, "series_id", window=9), tm.rolling(odd, "series_id", window=9, block_rows=rows)),
+        (tm.difference(odd, "series_id", d=2), tm.difference(odd, "series_id", d=2, block_rows=rows)),
+        (tm.integrate(odd, "series_id", "y", 1), tm.integrate(odd, "series_id", "y", 1, block_rows=rows)),
+    ):
+        assert whole.columns == cut.columns
+        assert whole.exceptAll(cut).count() == 0 and whole.count() == cut.count()
+
+
+def test_sums_of_buckets_add_up(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(k), date(2021, 1, 1) + timedelta(days=int(d)), round(float(v), 2))
+            for k, d, v in zip(rng.integers(0, 20, 500), rng.integers(0, 90, 500), rng.normal(size=500))]
+    df = spark.createDataFrame([*rows, (3, date(2021, 1, 9), None)], "k int, ds date, y double")
+    for freq in "DW":
+        sums = tm.bucket_sums(df, "k", 2, freq=freq).withColumn("g", F.col("k") % 3)
+        want = tm.resample(df.withColumn("g", F.col("k") % 3), "g", freq=freq, gaps="keep", places=2)
+        got = tm.means_of_sums(sums, "g", 2, freq=freq, gaps="keep")
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()

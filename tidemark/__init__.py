@@ -27,7 +27,7 @@ from tidemark.operators.likelihood import (
     walk_forward_likelihood,
 )
 from tidemark.operators.ordering import rank_values, sort_values
-from tidemark.operators.resample import fill_calendar, resample
+from tidemark.operators.resample import bucket_sums, fill_calendar, means_of_sums, resample
 from tidemark.operators.series import (
     date_range,
     drop_missing,
@@ -40,6 +40,7 @@ from tidemark.operators.series import (
 from tidemark.operators.transforms import difference, exp, integrate, log, rolling
 from tidemark.session import configure, ship
 from tidemark.sources.nested import first_element, first_of, nest
+from tidemark.sources.panels import read_panel, write_panel
 from tidemark.sources.readers import literal, parse_json_records, read_csv, read_json, read_lines
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
 
@@ -50,6 +51,7 @@ __all__ = [
     "adf",
     "align",
     "best_order",
+    "bucket_sums",
     "compare",
     "configure",
     "country_holidays",
@@ -78,6 +80,7 @@ __all__ = [
     "likelihood_profile",
     "literal",
     "log",
+    "means_of_sums",
     "nest",
     "parse_date",
     "parse_json_records",
@@ -87,6 +90,7 @@ __all__ = [
     "read_csv",
     "read_json",
     "read_lines",
+    "read_panel",
     "resample",
     "rolling",
     "score",
@@ -104,4 +108,5 @@ __all__ = [
     "week_end",
     "write_csv",
     "write_lines",
+    "write_panel",
 ]

@@ -47,6 +47,27 @@ def resample(df: DataFrame, by, ds: str = "ds", y: str = "y", freq: str = "D",
     return fill_calendar(means, by, freq=freq)
 
 
+def bucket_sums(df: DataFrame, by, places: int, ds: str = "ds", y: str = "y",
+                freq: str = "D") -> DataFrame:
+    """The state of ``resample`` before its last step: per bucket ``total``, the exact sum in units
+    of the last of ``places`` decimals, and ``held``, the number of values. States can be summed
+    again by any coarser key, after a join, say, that tells which series a row belongs to."""
+    day = day_of(df, ds)
+    bucket = day if freq == "D" else week_end(day)
+    return df.groupBy(*keys(by), bucket.alias("ds")).agg(
+        F.sum(units(F.col(y), places)).alias("total"), F.count(y).alias("held"))
+
+
+def means_of_sums(sums: DataFrame, by, places: int, freq: str = "D", gaps: str = "drop") -> DataFrame:
+    """The means that ``resample`` gives, from states of ``bucket_sums`` that carry the key."""
+    added = sums.groupBy(*keys(by), "ds").agg(F.sum("total").alias("_total"), F.sum("held").alias("_held"))
+    mean = ratio(F.col("_total").cast("double") / F.lit(10.0**places), F.col("_held").cast("double"))
+    means = added.select(*keys(by), "ds", mean.alias("y"))
+    if gaps == "drop":
+        return means.where(F.col("y").isNotNull())
+    return fill_calendar(means, by, freq=freq)
+
+
 def fill_calendar(df: DataFrame, by, freq: str = "D", ds: str = "ds", y: str = "y") -> DataFrame:
     """Insert the missing buckets of a regular series with a NULL value.
 

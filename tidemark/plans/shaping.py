@@ -11,7 +11,7 @@ from tidemark.operators.decompose import decompose
 from tidemark.operators.describe import describe, group_mean
 from tidemark.operators.evaluate import plot_frame, stack
 from tidemark.operators.ordering import rank_values, sort_values
-from tidemark.operators.resample import resample
+from tidemark.operators.resample import bucket_sums, means_of_sums, resample
 from tidemark.operators.series import date_range, drop_missing, head, slice_end, tail, to_series
 from tidemark.operators.transforms import difference, exp, integrate, log, rolling
 from tidemark.plans.inputs import (
@@ -20,16 +20,19 @@ from tidemark.plans.inputs import (
     DAY_SQL,
     KEY,
     PRIORITY_INDEX_SQL,
+    SUPPLIER_SQL,
     WEEKLY_SQL,
     mean_sql,
     order_values,
     panel,
     priority_index,
     r6_sql,
+    supplier_panel,
     table,
 )
 from tidemark.plans.registry import query, r6, rounded
 from tidemark.sources.nested import first_of, nest
+from tidemark.sources.panels import read_panel, write_panel
 from tidemark.sources.readers import literal, parse_json_records, read_csv, read_json, read_lines
 from tidemark.sources.writers import scratch_path, write_csv, write_lines
 
@@ -170,6 +173,15 @@ def sink_csv_roundtrip(spark, sf_dir):
 LAST_DAY = date(2001, 8, 1)
 
 
+@query(f"""SELECT o_orderpriority AS series_id, {DAY_SQL} AS ds, o_totalprice AS y FROM orders
+  WHERE {DAY_SQL} BETWEEN date '1998-08-01' AND date '2001-08-01'""")
+def panel_three_years(spark, sf_dir):
+    """All order values laid out by month, and the last three years read back."""
+    path = scratch_path(spark, "panel")
+    write_panel(order_values(spark, sf_dir), path)
+    return read_panel(spark, path, start=date(1998, 8, 1), end=LAST_DAY).select(KEY, "ds", "y")
+
+
 @query(f"""SELECT o_orderkey, {DAY_SQL} AS day, o_totalprice FROM orders
   WHERE {DAY_SQL} BETWEEN date '1998-08-01' AND date '2001-08-01'""")
 def range_last_3y(spark, sf_dir):
@@ -248,12 +260,12 @@ def tail_of_table(spark, sf_dir):
     w="cast(cast(o_orderdate as date) + ((7 - isodow(o_orderdate)) % 7) * interval 1 day as date)",
     m="cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*)"))
 def drop_missing_weeks(spark, sf_dir):
-    """Weekly means per nation, gaps filled with NULL and dropped again."""
-    joined = table(spark, sf_dir, "orders").join(
-        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
-    ).withColumnRenamed("c_nationkey", KEY)
-    weeks = resample(to_series(joined, KEY, "o_orderdate", "o_totalprice"), KEY, freq="W",
-                     gaps="keep", places=CENTS)
+    """Weekly means per nation, gaps filled with NULL and dropped again. Orders are summed by
+    customer and week before they meet the customers, so that no raw rows are joined."""
+    orders = to_series(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+    sums = bucket_sums(orders, "o_custkey", CENTS, freq="W")
+    joined = sums.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    weeks = means_of_sums(joined.withColumnRenamed("c_nationkey", KEY), KEY, CENTS, freq="W", gaps="keep")
     return drop_missing(weeks)
 
 
@@ -448,3 +460,14 @@ def plot_decomposition(spark, sf_dir):
 def resample_event_days(spark, sf_dir):
     rows = to_series(table(spark, sf_dir, "events"), "event_type", "ts", "value")
     return rounded(resample(rows, "event_type"), "y", places=5)
+
+
+@query(f"""WITH {SUPPLIER_SQL}, framed AS (
+    SELECT series_id, ds, avg(ln(y)) OVER f AS m, count(*) OVER f AS c, ln(y) - lag(ln(y)) OVER o AS w FROM weekly
+    WINDOW o AS (PARTITION BY series_id ORDER BY ds), f AS (o ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))
+  SELECT series_id, ds, {r6_sql('w')} AS w, {r6_sql('CASE WHEN c = 52 THEN m END')} AS rolling_mean FROM framed""")
+def rolling_in_blocks(spark, sf_dir):
+    """Differences and rolling means of every supplier's logs, each series cut into blocks of 64 rows."""
+    rows = difference(log(supplier_panel(spark, sf_dir)), KEY, block_rows=64)
+    rows = rolling(rows, KEY, window=52, stats=("mean",), block_rows=64)
+    return rounded(rows.select(KEY, "ds", "w", "rolling_mean"), "w", "rolling_mean")
