@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import maxscore, mixing
+from tidemark.llm.common import written
 from tidemark.llm.queries import ORACLE, QUERIES
 
 TABLES = "documents embeddings pages benchmark conversations".split()
@@ -102,6 +103,54 @@ def test_positions_follow_the_schedule(docs):
     assert abs(early / total - 0.5) < 0.1
 
 
+def demand(t, target, slope):
+    """Words wanted of a source up to the time ``t``: its rate, summed over small steps."""
+    times = (np.arange(20_000) + 0.5) * t / 20_000
+    return (target * (1 + slope * (2 * times - 1))).mean() * t
+
+
+def test_query_reads_the_sorted_order(spark, docs, monkeypatch):
+    """The query's rows come from positions at which the demand reaches each document, sorted
+    from file to file, and not from the streams alone."""
+    tables = []
+    monkeypatch.setattr(mixing, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    found = QUERIES["op7_mixing"](spark, SF_DIR).collect()
+    order = tables[-1]
+    files = {}
+    for r in order.withColumn("file", F.input_file_name()).collect():
+        files.setdefault(r["file"], []).append(r)
+    order = [r for f in sorted(files) for r in files[f]]
+    taken = [r for r in order if r["position"] is not None]
+    assert [r["position"] for r in taken] == sorted(r["position"] for r in taken)
+    assert order[:len(taken)] == taken
+    words = {}
+    for r in order:
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + (r["words"] or 0)
+    assert words == {r["doc_id"]: r["taken"] for r in found}
+    # Each source's words come one after another, where its demand reaches them.
+    targets = dict(sorted({r["source"]: r["target"] for r in order}.items()))
+    slopes = dict(zip(targets, [-0.4, 0.0, 0.4] * len(targets)))
+    mean = sum(slopes[s] * targets[s] for s in targets) / sum(targets.values())
+    for s in targets:
+        begun = 0
+        for r in (r for r in taken if r["source"] == s):
+            assert np.isclose(demand(r["position"], targets[s], slopes[s] - mean), begun,
+                              rtol=1e-6, atol=1e-3)
+            begun += r["words"]
+        assert begun == math.floor(targets[s])
+
+
+def test_order_keeps_equal_rows_and_all_passes(spark):
+    table = spark.createDataFrame(
+        [(1, "", "a"), (1, "", "a"), (2, "x y", "a"), (2, "x y", "a"), (None, None, "b"),
+         *[(i, "u v w", "b") for i in range(10, 40)]], "doc_id long, text string, source string")
+    found = mixing.mix(table, weights=(9, 1), share=1.2, limit=3.0).collect()
+    assert sorted((r["doc_id"] or 0, r["taken"]) for r in found)[:5] == [
+        (0, 0), (1, 0), (1, 0), (2, 6), (2, 6)]
+    order = mixing.training_order(table, weights=(9, 1), share=1.2, limit=3.0)
+    assert sorted(r["epoch"] for r in order.where("doc_id = 2").collect()) == [1, 1, 2, 2, 3, 3]
+
+
 def test_training_order(spark, odd, clashing, docs):
     found = mixing.training_order(clashing)
     assert found.columns[:len(clashing.columns)] == clashing.columns

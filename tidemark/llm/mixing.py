@@ -77,16 +77,17 @@ def centred_slopes(targets: DataFrame, slopes: Sequence[float]) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
-        limit: float = 2.0, slopes: Sequence[float] = (-0.4, 0.0, 0.4),
-        buckets: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken``, the
-    training positions ``first_position`` and ``second_position`` (0 to 1; null where the pass
-    is not taken) and ``_row``, the hash of id and text.
+def scheduled(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
+              limit: float = 2.0, slopes: Sequence[float] = (-0.4, 0.0, 0.4),
+              buckets: int = 4096) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, source, size, source_size, target``, the ``passes``
+    that take words of the document, each with its ``epoch`` (from 1), the ``words`` it takes and
+    its training ``position`` (0 to 1), ``_row``, the hash of id and text, and the row's name:
+    ``source``, ``_bucket`` and its number ``_nth`` there.
 
     A source's documents stand in the order of md5(doc_id) in a stream that is read from its
     start, again and again, until the source's target (whole words) is reached; the document at
-    the end is taken in part. ``taken`` counts the words of all passes.
+    the end is taken in part.
 
     The place in the stream is a prefix sum in two levels, first over ``buckets`` ranges of the
     hash and then inside a range, so that a source with a third of all rows is spread.
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         F.xxhash64("doc_id", "text").alias("_row"), rank.alias("_rank"),
     ).withColumn("_bucket", F.floor(F.conv(F.substring("_rank", 1, 6), 16, 10).cast("long")
                                     * buckets / 2 ** 24)), "mix")
-    inside = Window.partitionBy("source", "_bucket")
+    inside = Window.partitionBy("source", "_bucket").orderBy("_rank", "doc_id", "size", "_row")
     offsets = (
         base.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
         .withColumn("_start", F.sum("_size").over(
@@ -117,8 +118,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     offsets = offsets.join(targets, same(F.col("_s"), F.col("_t"))).drop("_t")
     placed = base.join(
         offsets, same(F.col("source"), F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    at = F.col("_start") + F.sum("size").over(
-        inside.orderBy("_rank", "doc_id", "size", "_row").rowsBetween(*ALL_BEFORE)) - F.col("size")
+    at = F.col("_start") + F.sum("size").over(inside.rowsBetween(*ALL_BEFORE)) - F.col("size")
     words = F.floor(F.col("target"))
 
     def took(skip):
@@ -133,14 +133,46 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         root = F.sqrt(b * b + 4 * F.col("slope") * part)
         return 2 * part / (b + root)
 
-    passes = [F.col("source_size") * k for k in range(int(-(-limit // 1)))]
-    taken = passes and sum((took(p) for p in passes[1:]), took(passes[0]))
+    skips = [F.col("source_size") * k for k in range(int(-(-limit // 1)))]
+    every = F.array(*[F.struct(F.lit(k + 1).alias("epoch"), took(p).cast("long").alias("words"),
+                               F.when(took(p) > 0, position(p)).alias("position"))
+                      for k, p in enumerate(skips)])
+    return (
+        placed.withColumn("_at", at).withColumn("_nth", F.row_number().over(inside))
+        .withColumn("passes", F.filter(every, lambda p: p["words"] > 0))
+        .select("doc_id", "source", "size", "source_size", "target", "passes", "_row", "_bucket",
+                "_nth")
+    )
+
+
+def ordered(docs: DataFrame, **options) -> DataFrame:
+    """The mix of ``docs`` in training order, without their texts: one row per pass in which a
+    document is taken, with the columns of ``scheduled`` and ``epoch``, ``words`` and
+    ``position``, range-sorted by position and written. Documents of which nothing is taken stand
+    behind the others, with nulls.
+    """
+    by = F.col("position").asc_nulls_last(), F.col("_bucket"), F.col("_nth")
+    laid = scheduled(docs, **options).withColumn("_pass", F.explode_outer("passes"))
+    return written(
+        laid.select(*[c for c in laid.columns if c not in ("passes", "_pass")], "_pass.*")
+        .repartitionByRange(*by).sortWithinPartitions(*by), "order")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken``, the
+    training positions ``first_position`` and ``second_position`` (0 to 1; null where the pass
+    is not taken) and ``_row``, the hash of id and text. ``options`` are those of ``scheduled``.
+
+    The rows are read off the training order: ``taken`` counts the words that its passes take.
+    """
+    def of_pass(epoch):
+        return F.max(F.when(F.col("epoch") == epoch, F.col("position")))
+
     return (
-        placed.withColumn("_at", at)
-        .withColumn("taken", taken.cast("long"))
-        .withColumn("first_position", F.when(took(passes[0]) > 0, position(passes[0])))
-        .withColumn("second_position", F.when(took(passes[1]) > 0, position(passes[1]))
-                    if len(passes) > 1 else F.lit(None).cast("double"))
+        ordered(docs, **options)
+        .groupBy("source", "_bucket", "_nth", "doc_id", "size", "source_size", "target", "_row")
+        .agg(F.coalesce(F.sum("words"), F.lit(0)).alias("taken"),
+             of_pass(1).alias("first_position"), of_pass(2).alias("second_position"))
         .select("doc_id", "source", "size", "source_size", "target", "taken",
                 "first_position", "second_position", "_row")
     )
@@ -148,15 +180,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
     """The documents of ``docs`` in training order: every column of ``docs``, with ``position``
-    and ``epoch`` (1 or 2), one row per pass in which the document is taken, range-sorted by
+    and ``epoch`` (from 1), one row per pass in which the document is taken, range-sorted by
     position. Documents of which nothing is taken are left out.
 
     Rows that repeat get a place each: equal rows are numbered on both sides, and the numbers
     meet beside the hash, so that one shuffle of the documents serves numbering and join.
     """
     position, epoch = fresh(docs, "position", "epoch")
-    placed = mix(docs, **options).select(
-        F.col("_row").alias("_hash"), "first_position", "second_position",
+    placed = scheduled(docs, **options).select(
+        F.col("_row").alias("_hash"), F.col("passes").alias("_passes"),
         F.row_number().over(Window.partitionBy("_row").orderBy("doc_id", "size"))
         .alias("_number"))
     keyed = boxed(docs, "doc_id").withColumn("_key", F.xxhash64(
@@ -167,10 +199,8 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     joined = keyed.join(placed, (F.col("_key") == F.col("_hash"))
                         & (F.col("_nth") - F.col("_number") == 0))
     return (
-        joined.select("_row", F.posexplode(F.array("first_position", "second_position"))
-                      .alias("_pass", "_position"))
-        .where(F.col("_position").isNotNull())
-        .select(*unboxed(docs.columns), F.col("_position").alias(position),
-                (F.col("_pass") + 1).alias(epoch))
+        joined.select("_row", F.explode("_passes").alias("_pass"))
+        .select(*unboxed(docs.columns), F.col("_pass.position").alias(position),
+                F.col("_pass.epoch").alias(epoch))
         .repartitionByRange(position).sortWithinPartitions(position)
     )
