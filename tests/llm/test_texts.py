@@ -319,6 +319,30 @@ def test_network_is_a_distribution_and_carries_its_state():
     assert np.isclose(p, 1, atol=1e-4)
 
 
+def test_long_document_takes_few_calls(monkeypatch):
+    """Where few lanes are left, many steps go together; ended lanes change nothing."""
+    vocab = gru_lm.Vocabulary({}, np.array([0, 10, 0, 50, 40, 30, 20]), 7)
+    net = gru_lm.initial(vocab, 25)
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(2, 7, n), gru_lm.END).astype(np.int32)
+            for n in [5, 20_000, *range(0, 700, 7), 3000]]
+    alone = [gru_lm.log_probability(net, [d])[0] for d in docs]
+    calls, outputs = [], gru_lm.outputs
+    monkeypatch.setattr(gru_lm, "outputs", lambda *a: calls.append(a) or outputs(*a))
+    assert np.allclose(gru_lm.log_probability(net, docs), alone, rtol=1e-5)
+    assert len(calls) < 60
+    assert max(len(a[2]) for a in calls) <= gru_lm.SPAN * gru_lm.LANES
+
+
+def test_training_needs_only_the_words_of_the_network():
+    vocab = gru_lm.Vocabulary({b"a": 3, b"b": 4, b"rare": 5}, np.array([0, 2, 0, 9, 8, 1]), 5)
+    ids, words = gru_lm.network_ids(vocab), b"a rare b other a".split()
+    assert ids == {b"a": 3, b"b": 4}
+    assert gru_lm.symbols(vocab.ids, words).tolist() == [3, 5, 4, -1, 3, gru_lm.END]
+    assert gru_lm.symbols(ids, words, gru_lm.OTHER).tolist() == gru_lm.for_network(
+        vocab, gru_lm.symbols(vocab.ids, words)).tolist()
+
+
 def test_network_gradients():
     vocab = gru_lm.Vocabulary({}, np.array([0, 10, 0, 50, 40, 30, 20]), 7)
     net = gru_lm.initial(vocab, 25)

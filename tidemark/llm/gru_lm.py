@@ -22,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -172,85 +173,115 @@ def forward(net: Network, codes: np.ndarray, state: np.ndarray, keep: bool = Fal
     h = HIDDEN
     steps, lanes = codes.shape
     found = np.empty((steps, h, lanes), np.float32)
-    x, y, room = (np.empty((3 * h, lanes), np.float32) for _ in range(3))
+    xs, ys = (np.empty((steps if keep else 1, 3 * h, lanes), np.float32) for _ in range(2))
+    room = np.empty((3 * h, lanes), np.float32)
+    symbols_in = net.symbols_in + net.bias_in
     kept = []
     for t in range(steps):
+        x, y = xs[t if keep else 0], ys[t if keep else 0]
         start = codes[t] == 0
         if start.any():
             state = np.where(start, np.float32(0), state)
-        np.take(net.symbols_in, codes[t], axis=1, out=x, mode="clip")
-        x += net.bias_in
+        np.take(symbols_in, codes[t], axis=1, out=x, mode="clip")
         np.matmul(net.state_in, state, out=y)
         gates = np.add(x[:2 * h], y[:2 * h], out=x[:2 * h])
         squash(gates, room[:2 * h])
         gates += 1
         gates *= 0.5
         candidate = x[2 * h:]
-        candidate += gates[h:] * y[2 * h:]
+        candidate += np.multiply(gates[h:], y[2 * h:], out=room[:h])
         squash(candidate, room[2 * h:])
         if keep:
-            kept.append((t, state, start, x.copy(), y[2 * h:].copy()))
-        candidate = candidate - state
-        candidate *= gates[:h]
-        state = np.add(state, candidate, out=found[t])
+            kept.append((t, state, start, x, y[2 * h:]))
+        change = np.subtract(candidate, state, out=room[:h])
+        change *= gates[:h]
+        state = np.add(state, change, out=found[t])
     return (found, kept) if keep else found
 
 
-def log_softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Over the first axis, in place; returns the exponentials, and their sums."""
-    x -= x.max(axis=0)
-    e = np.exp(x)
+def by_number(numbers: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The stable order of ``numbers`` (0 to ``most``), and (number, start, end) of each in it."""
+    # Narrow integers are sorted by their digits.
+    numbers = numbers.astype(np.min_scalar_type(most))
+    order = np.argsort(numbers, kind="stable")
+    ends = np.cumsum(np.bincount(numbers, minlength=1))
+    starts = np.concatenate([[0], ends[:-1]])
+    return order, [(int(k), int(starts[k]), int(ends[k])) for k in np.flatnonzero(ends > starts)]
+
+
+# Up to here exponentials and their sums over a class stay inside single precision.
+REACH = 80
+
+
+def with_bias(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The weights (..., symbols, H) with the bias, less its maximum, as a further column, and
+    whether a softmax needs its largest term subtracted: states lie between -1 and 1, so that no
+    term, and not the largest one, is further from 0 than the sum of its row's weights."""
+    both = np.concatenate([weights, (bias - bias.max(axis=-1, keepdims=True))[..., None]], axis=-1)
+    return both, bool(np.abs(weights).sum(axis=-1).max() > REACH)
+
+
+def log_softmax_at(x: np.ndarray, places: tuple, far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log-softmax over the first axis at ``places``, the exponentials (in the place of ``x``),
+    and their sums. ``far``: subtract the largest term first."""
+    if far:
+        x -= x.max(axis=0)
+    found = x[places]
+    e = np.exp(x, out=x)
     total = e.sum(axis=0)
-    x -= np.log(total)
-    return e, total
+    found -= np.log(total)
+    return found, e, total
 
 
 def outputs(net: Network, seen: np.ndarray, target: np.ndarray, grads: list | None = None):
     """The natural log-probability of each target given the states ``seen`` (H, n). With
     ``grads`` the gradients of minus their mean are added there, and that of ``seen`` returned."""
     width = net.word_bias.shape[1]
-    n = len(target)
-    order = np.argsort(target // width, kind="stable")  # the symbols of a class side by side
-    seen, kind, place = seen[:, order], target[order] // width, target[order] % width
-    classes = net.class_out @ seen
-    classes += net.class_bias[:, None]
-    d, total = log_softmax(classes)
-    found = classes[kind, np.arange(n)]
+    h, n = seen.shape
+    # The symbols of a class side by side.
+    order, groups = by_number(target // width, len(net.class_bias))
+    target = target[order]
+    kind = target // width
+    place = target - kind * width
+    rows = np.ones((n, h + 1), seen.dtype)  # the last column meets the bias
+    rows[:, :h] = np.take(seen.T, order, axis=0)
+    seen = rows.T
+    weights, far = with_bias(net.class_out, net.class_bias)
+    at = kind, np.arange(n)
+    found, d, total = log_softmax_at(weights @ seen, at, far)
     back = None
     if grads is not None:
-        d /= total
-        d[kind, np.arange(n)] -= 1
-        d /= n
-        grads[3] += d @ seen.T
-        grads[4] += d.sum(axis=1)
+        d *= 1 / (total * n)
+        d[at] -= 1 / n
+        both = d @ rows
+        grads[3] += both[:, :h]
+        grads[4] += both[:, h]
         back = net.class_out.T @ d
-    used, first = np.unique(kind, return_index=True)
-    for k, low, high in zip(used, first, [*first[1:], n]):
-        own = seen[:, low:high]
-        inside = net.word_out[k] @ own
-        inside += net.word_bias[k][:, None]
-        d, total = log_softmax(inside)
+    weights, far = with_bias(net.word_out, net.word_bias)
+    for k, low, high in groups:
         at = place[low:high], np.arange(high - low)
-        found[low:high] += inside[at]
+        values, d, total = log_softmax_at(weights[k] @ seen[:, low:high], at, far)
+        found[low:high] += values
         if grads is not None:
-            d /= total
-            d[at] -= 1
-            d /= n
-            grads[5][k] += d @ own.T
-            grads[6][k] += d.sum(axis=1)
+            d *= 1 / (total * n)
+            d[at] -= 1 / n
+            both = d @ rows[low:high]
+            grads[5][k] += both[:, :h]
+            grads[6][k] += both[:, h]
             back[:, low:high] += net.word_out[k].T @ d
     values = np.empty_like(found)
     values[order] = found
     if grads is None:
         return values
-    ahead = np.empty_like(back)
-    ahead[:, order] = back
-    return values, ahead
+    ahead = np.empty((n, h), back.dtype)
+    ahead[order] = back.T
+    return values, ahead.T
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The documents laid one after another in lanes of about equal length: the symbols read,
-    the symbols to predict (-1 behind a lane's end), and the document of each, (steps, lanes)."""
+    """The documents laid one after another in lanes of about equal length, the longest lane first:
+    the symbols read, the symbols to predict (-1 behind a lane's end), and the document of each,
+    (steps, lanes)."""
     lanes = max(1, min(lanes, len(docs)))
     heap = [(0, k) for k in range(lanes)]
     rows: list[list[int]] = [[] for _ in range(lanes)]
@@ -258,6 +289,7 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
         length, k = heapq.heappop(heap)
         rows[k].append(i)
         heapq.heappush(heap, (length + len(docs[i]), k))
+    rows = [rows[k] for _, k in sorted(heap, key=lambda lane: (-lane[0], lane[1]))]
     steps = max(length for length, _ in heap)
     read, predicted, owner = (np.full((lanes, steps), v, np.int32) for v in (0, -1, 0))
     for k, own in enumerate(rows):
@@ -279,6 +311,13 @@ def pieces(doc: np.ndarray) -> list[np.ndarray]:
                            for at in range(PIECE, len(doc), PIECE)]]
 
 
+def states_at(found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the states (steps, H, lanes) those at flat places of (steps, lanes), (H, n); each state
+    lies in one piece, since they are taken one by one."""
+    rows = np.ascontiguousarray(found.transpose(0, 2, 1)).reshape(-1, found.shape[1])
+    return np.take(rows, at, axis=0).T
+
+
 class Trainer:
     """Adam on windows of ``STEPS`` words, the state carried from one to the next."""
 
@@ -286,6 +325,7 @@ class Trainer:
         self.net, self.rate, self.step = net, rate, 0
         self.first = [np.zeros_like(a) for a in net.parts]
         self.second = [np.zeros_like(a) for a in net.parts]
+        self.room = [np.empty_like(a) for a in net.parts]
 
     def learn(self, docs: list[np.ndarray], lanes: int) -> None:
         """One pass over ``docs``."""
@@ -296,13 +336,14 @@ class Trainer:
             codes, target = read[low:low + STEPS], predicted[low:low + STEPS]
             found, kept = forward(net, codes, state, keep=True)
             state = found[-1]
-            at, lane = np.nonzero(target >= 0)
+            at = np.flatnonzero(target >= 0)
             if not len(at):
                 continue
             grads = [np.zeros_like(a) for a in net.parts]
-            _, back = outputs(net, np.ascontiguousarray(found[at, :, lane].T), target[at, lane], grads)
-            ahead = np.zeros((len(codes), read.shape[1], h), np.float32)
-            ahead[at, lane] = back.T
+            _, back = outputs(net, states_at(found, at), target.ravel()[at], grads)
+            ahead = np.zeros((target.size, h), np.float32)
+            ahead[at] = back.T
+            ahead = ahead.reshape(*target.shape, h)
             flow = np.zeros_like(state)
             inputs = np.empty((*codes.shape, 3 * h), np.float32)
             for t, before, start, x, inward in reversed(kept):
@@ -324,15 +365,30 @@ class Trainer:
                 grads[1] += d_in @ before.T
                 flow = flow * (1 - update) + net.state_in.T @ d_in
                 flow[:, start] = 0
-            order = np.argsort(codes.ravel(), kind="stable")
-            used, cut = np.unique(codes.ravel()[order], return_index=True)
-            grads[0][:, used] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], cut, axis=0).T
-            self.step += 1
-            for a, g, m, v in zip(net.parts, grads, self.first, self.second):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                a -= self.rate * (m / (1 - 0.9 ** self.step)) / (
-                    np.sqrt(v / (1 - 0.99 ** self.step)) + 1e-8)
+            order, groups = by_number(codes.ravel(), net.symbols_in.shape[1])
+            used, cut, _ = zip(*groups)
+            grads[0][:, used] = np.add.reduceat(
+                np.take(inputs.reshape(-1, 3 * h), order, axis=0), cut, axis=0).T
+            self.update(grads)
+
+    def update(self, grads: list[np.ndarray]) -> None:
+        """One step of Adam, in place; ``grads`` are used up."""
+        self.step += 1
+        for a, g, m, v, room in zip(self.net.parts, grads, self.first, self.second, self.room):
+            np.subtract(g, m, out=room)
+            room *= 0.1
+            m += room
+            g *= g
+            g -= v
+            g *= 0.01
+            v += g
+            np.divide(v, 1 - 0.99 ** self.step, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(m, 1 - 0.9 ** self.step, out=room)
+            room *= self.rate
+            room /= g
+            a -= room
 
 
 def train(net: Network, docs: list[np.ndarray], epochs: int = 4, lanes: int = 64,
@@ -350,17 +406,19 @@ def log_probability(net: Network, docs: list[np.ndarray]) -> np.ndarray:
         return sums
     read, predicted, owner = lanes_of(docs, LANES)
     state = np.zeros((HIDDEN, read.shape[1]), np.float32)
-    for low in range(0, len(read), SPAN):
-        codes, target = read[low:low + SPAN], predicted[low:low + SPAN]
-        live = target[0] >= 0  # a lane that has ended stays so
-        if not live.all():
-            read, predicted, owner = read[:, live], predicted[:, live], owner[:, live]
-            codes, target, state = codes[:, live], target[:, live], state[:, live]
-        found = forward(net, codes, state)
-        state = found[-1]
-        at, lane = np.nonzero(target >= 0)
-        values = outputs(net, np.ascontiguousarray(found[at, :, lane].T), target[at, lane])
-        sums += np.bincount(owner[low:low + SPAN][at, lane], values, len(docs))
+    ends = (predicted >= 0).sum(axis=0)  # falling: the lanes that have not ended come first
+    low = 0
+    while low < len(read):
+        live = int(np.searchsorted(-ends, -low))
+        # Few lanes take more steps together.
+        high = low + SPAN * max(1, LANES // (2 * live))
+        part = slice(low, high), slice(0, live)
+        found = forward(net, read[part], state[:, :live])
+        state, low = found[-1], high
+        target = predicted[part]
+        at = np.flatnonzero(target >= 0)
+        values = outputs(net, states_at(found, at), target.ravel()[at])
+        sums += np.bincount(owner[part].ravel()[at], values, len(docs))
     return sums
 
 
@@ -383,13 +441,15 @@ class Model:
         return np.log10((count + 0.5) / (self.other_tokens + 0.5 * (self.other_distinct + 1)))
 
 
-def symbols(vocab: Vocabulary, words: list[bytes]) -> np.ndarray:
-    """Numbers of the words (-1 for those not among the frequent), then the end."""
-    get = vocab.ids.get
-    found = np.empty(len(words) + 1, np.int32)
-    found[:-1] = [get(w, -1) for w in words]
-    found[-1] = END
-    return found
+def symbols(ids: dict[bytes, int], words: list[bytes], other: int = -1) -> np.ndarray:
+    """Numbers of the words by ``ids`` (``other`` for those not in it), then the end."""
+    numbers = chain(map(ids.get, words, repeat(other)), (END,))
+    return np.fromiter(numbers, np.int32, len(words) + 1)
+
+
+def network_ids(vocab: Vocabulary) -> dict[bytes, int]:
+    """The numbers of the words that the network knows."""
+    return {w: i for w, i in vocab.ids.items() if i < vocab.size}
 
 
 def for_network(vocab: Vocabulary, numbers: np.ndarray) -> np.ndarray:
@@ -398,16 +458,16 @@ def for_network(vocab: Vocabulary, numbers: np.ndarray) -> np.ndarray:
 
 def averaged(docs: DataFrame, net: Network, vocab: Vocabulary, rate: float) -> Network:
     """The mean, by tokens, of the networks that the tasks make of ``net`` from all of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, vocab))
+    shared = docs.sparkSession.sparkContext.broadcast((net, network_ids(vocab)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, vocab = shared.value
+        start, ids = shared.value
         trainer = Trainer(start.like(start.vector()), rate)
         block: list[np.ndarray] = []
         tokens = 0
         for batch in batches:
             for text in texts(batch.column(0)):
-                doc = for_network(vocab, symbols(vocab, words_of(text)))
+                doc = symbols(ids, words_of(text), OTHER)
                 tokens += len(doc)
                 block += pieces(doc)
                 while len(block) >= 2 * BLOCK:
@@ -457,9 +517,10 @@ def learn(docs: DataFrame, counts: DataFrame, size: int = 2048, frequent: int =
     spread = let(words, lambda w: F.when(F.size(w) <= 8 * PIECE, F.array(w)).otherwise(F.array(
         *[F.slice(w, F.floor((F.size(w) - PIECE) * j / 7).cast("int") + 1, PIECE) for j in range(8)])))
     first: list[np.ndarray] = []
+    ids = network_ids(vocab)
     for row in sorted(sample.select("doc_id", spread.alias("words")).collect()):
         for j, part in enumerate(row["words"]):
-            doc = for_network(vocab, symbols(vocab, words_of(" ".join(part).encode())))
+            doc = symbols(ids, words_of(" ".join(part).encode()), OTHER)
             if j + 1 < len(row["words"]):
                 doc = doc[:-1]  # no end here
             if j > 0:
@@ -485,15 +546,20 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         other = model.other(vocab.counts)
         other[:vocab.size] = 0.0
         for batch in batches:
-            docs, sums, rare = [], [], []
+            docs, sums = [], []
+            rare: list[bytes] = []
+            times: list[int] = []
+            cuts = [0]
             for text in texts(batch.column(2)):
                 words = words_of(text)
-                numbers = symbols(vocab, words)
+                numbers = symbols(vocab.ids, words)
                 known = numbers[numbers >= 0]
                 sums.append((len(numbers), int((vocab.counts[known] > 0).sum()),
                              base[known].sum(), other[known].sum()))
                 unseen = Counter(words[i] for i in np.flatnonzero(numbers < 0).tolist())
-                rare.append([{"word": w.decode(), "n": n} for w, n in unseen.items()])
+                rare += unseen
+                times += unseen.values()
+                cuts.append(len(rare))
                 docs.append(for_network(vocab, numbers))
             logs = log_probability(model.net, docs) / math.log(10)
             tokens, known, bases, others = (np.array(c) for c in zip(*sums)) if sums else [
@@ -502,7 +568,9 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(tokens.astype(np.int64)),
                  pa.array(known.astype(np.int64)), pa.array(bases.astype(np.float64)),
                  pa.array(logs + others),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
+                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(
+                     [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())],
+                     names=["word", "n"]))],
                 names=["doc_id", "row_hash", "n_tokens", "known", "base", "model", "rare"])
 
     first = written(
