@@ -281,7 +281,7 @@ def outputs(net: Network, seen: np.ndarray, target: np.ndarray, grads: list | No
 def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The documents laid one after another in lanes of about equal length, the longest lane first:
     the symbols read, the symbols to predict (-1 behind a lane's end), and the document of each,
-    (steps, lanes)."""
+    (steps, lanes). A document's first symbol may be inverted: it is read and not predicted."""
     lanes = max(1, min(lanes, len(docs)))
     heap = [(0, k) for k in range(lanes)]
     rows: list[list[int]] = [[] for _ in range(lanes)]
@@ -295,11 +295,14 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
     for k, own in enumerate(rows):
         at = 0
         for i in own:
-            end = at + len(docs[i])
-            context = docs[i] < 0
-            predicted[k, at:end] = np.where(context, -1, docs[i])
-            read[k, at + 1:end] = np.where(context, ~docs[i], docs[i])[:-1]
+            doc = docs[i]
+            end = at + len(doc)
+            predicted[k, at:end] = doc
+            read[k, at + 1:end] = doc[:-1]
             owner[k, at:end] = i
+            if len(doc) and doc[0] < 0:  # context: read, not predicted
+                predicted[k, at] = -1
+                read[k, at + 1:at + 2] = ~doc[0]
             at = end
     return read.T.copy(), predicted.T.copy(), owner.T.copy()
 
@@ -353,22 +356,25 @@ class Trainer:
                 slope = 1 - np.abs(candidate)
                 d_in = np.empty_like(x)
                 d_candidate = np.multiply(flow * update, slope * slope, out=d_in[2 * h:])
-                slope = 1 - np.abs(2 * gates - 1)
+                slope = np.minimum(gates, 1 - gates)
                 d_gates = d_in[:2 * h]
                 np.multiply(flow, candidate - before, out=d_gates[:h])
                 np.multiply(d_candidate, inward, out=d_gates[h:])
-                d_gates *= slope * slope
-                d_gates *= 0.5
+                slope *= slope
+                slope *= 2
+                d_gates *= slope
                 inputs[t] = d_in.T
-                grads[2] += d_in.sum(axis=1, keepdims=True)
                 d_in[2 * h:] *= reset
                 grads[1] += d_in @ before.T
-                flow = flow * (1 - update) + net.state_in.T @ d_in
-                flow[:, start] = 0
+                flow *= 1 - update
+                flow += net.state_in.T @ d_in
+                if start.any():
+                    flow[:, start] = 0
             order, groups = by_number(codes.ravel(), net.symbols_in.shape[1])
             used, cut, _ = zip(*groups)
             grads[0][:, used] = np.add.reduceat(
                 np.take(inputs.reshape(-1, 3 * h), order, axis=0), cut, axis=0).T
+            grads[2] += grads[0].sum(axis=1, keepdims=True)
             self.update(grads)
 
     def update(self, grads: list[np.ndarray]) -> None:
@@ -541,10 +547,13 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        vocab = model.vocab
-        base = model.base(vocab.counts)
-        other = model.other(vocab.counts)
-        other[:vocab.size] = 0.0
+        # By a word's number, and in the last place for words without one.
+        numbered = len(model.vocab.counts)
+        ids, base = model.vocab.ids, np.append(model.base(model.vocab.counts), 0.0)
+        other = np.append(model.other(model.vocab.counts), 0.0)
+        other[:model.vocab.size] = 0.0
+        seen = np.append(model.vocab.counts > 0, False)
+        inside = for_network(model.vocab, np.append(np.arange(numbered, dtype=np.int32), np.int32(-1)))
         for batch in batches:
             docs, sums = [], []
             rare: list[bytes] = []
@@ -552,15 +561,14 @@ def scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             cuts = [0]
             for text in texts(batch.column(2)):
                 words = words_of(text)
-                numbers = symbols(vocab.ids, words)
-                known = numbers[numbers >= 0]
-                sums.append((len(numbers), int((vocab.counts[known] > 0).sum()),
-                             base[known].sum(), other[known].sum()))
+                numbers = symbols(ids, words)
+                sums.append((len(numbers), np.count_nonzero(seen[numbers]), base[numbers].sum(),
+                             other[numbers].sum()))
                 unseen = Counter(words[i] for i in np.flatnonzero(numbers < 0).tolist())
                 rare += unseen
                 times += unseen.values()
                 cuts.append(len(rare))
-                docs.append(for_network(vocab, numbers))
+                docs.append(inside[numbers])
             logs = log_probability(model.net, docs) / math.log(10)
             tokens, known, bases, others = (np.array(c) for c in zip(*sums)) if sums else [
                 np.zeros(0)] * 4
