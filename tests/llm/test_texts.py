@@ -1,5 +1,6 @@
 import llm_brute as brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import LONG, ODD, rows
 from pyspark.sql import functions as F
@@ -361,3 +362,70 @@ def test_training_lowers_the_loss():
     net = gru_lm.initial(vocab, 25)
     before = gru_lm.log_probability(net, docs).sum()
     assert gru_lm.log_probability(gru_lm.train(net, docs, epochs=30), docs).sum() > 0.5 * before
+
+
+SPACED = [None, "", " \t\n", "x", " a\x0bB  cÄ \x0c\r", " a b \x1fc A a", "a  rare\trare b", "b" * 90]
+
+
+def test_columns_are_numbered_like_single_words(monkeypatch):
+    """Tasks split and look up whole columns, a part at a time; each word as it is alone."""
+    ids = {b"a": 3, b"b": 4, "cÄ".encode(): 5}
+    for size in (1, 12, 1 << 20):
+        monkeypatch.setattr(gru_lm, "TEXT_BYTES", size)
+        for column in (pa.array(SPACED), pa.array(["cut off", *SPACED, None]).slice(1, len(SPACED))):
+            found = [doc.tolist() for words, cuts in gru_lm.parts_of(column)
+                     for doc in gru_lm.with_ends(gru_lm.Numbers(ids, -1).of(words), cuts)]
+            assert found == [gru_lm.symbols(ids, gru_lm.words_of(t and t.encode())).tolist() for t in SPACED]
+    assert not list(gru_lm.parts_of(pa.array([], pa.string())))
+    assert gru_lm.Numbers({}, 2).of(pa.array(["a"])).tolist() == [2]
+
+
+def test_rare_words_are_counted_by_text():
+    words = pa.array(["u", "v", "u", "w", "v", "u"])
+    found, times, different = gru_lm.counted_by_text(words, np.array([1, 1, 1, 3, 3, 3]), 5)
+    assert different.tolist() == [0, 2, 0, 3, 0]
+    rows = list(zip(found.to_pylist(), times.tolist()))
+    assert sorted(rows[:2]) == [("u", 2), ("v", 1)] and sorted(rows[2:]) == [("u", 1), ("v", 1), ("w", 1)]
+
+
+def test_word_counts_of_odd_texts(spark):
+    rows = [(t,) for t in SPACED for _ in range(2)]
+    found = {r["word"]: r["n"] for r in gru_lm.word_counts(spark.createDataFrame(rows, "text string")).collect()}
+    want = {}
+    for t, in rows:
+        for w in gru_lm.words_of((t or "").encode()):
+            want[w.decode()] = want.get(w.decode(), 0) + 1
+    assert found == want
+
+
+def test_recurrent_gradients(monkeypatch):
+    """Those of the symbols, the states and the bias too, documents that start inside a lane included."""
+    vocab = gru_lm.Vocabulary({}, np.array([0, 10, 0, 50, 40, 30, 20]), 7)
+    net = gru_lm.initial(vocab, 25)
+    rng = np.random.default_rng(2)
+    docs = [np.append(rng.integers(2, 7, n), gru_lm.END).astype(np.int32) for n in (6, 4, 5, 7)]
+    found = []
+    monkeypatch.setattr(gru_lm.Trainer, "update", lambda self, grads: found.append(grads))
+    gru_lm.Trainer(net).learn(docs, 2)
+    assert len(found) == 1
+    n = sum(map(len, docs))
+    check_gradients(net.parts, found[0], lambda: -gru_lm.log_probability(net, docs).sum() / n)
+
+
+def test_softmax_takes_bounded_columns(monkeypatch):
+    """Wide softmaxes are cut, so that they stay in a core's cache, and nothing is lost by it."""
+    vocab = gru_lm.Vocabulary({}, np.array([0, 10, 0, 50, 40, 30, 20]), 7)
+    net = gru_lm.initial(vocab, 25)
+    rng = np.random.default_rng(4)
+    seen = rng.uniform(-1, 1, (gru_lm.HIDDEN, 1000)).astype(np.float32)
+    target = rng.integers(1, 7, 1000)
+
+    def run():
+        grads = [np.zeros_like(a) for a in net.parts]
+        return *gru_lm.outputs(net, seen, target, grads), *grads[3:]
+
+    whole, sizes, softmax_at = run(), [], gru_lm.softmax_at
+    monkeypatch.setattr(gru_lm, "COLUMNS", 64)
+    monkeypatch.setattr(gru_lm, "softmax_at", lambda *a: sizes.append(len(a[2])) or softmax_at(*a))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, run()))
+    assert max(sizes) <= 64 and sum(sizes) == 2000

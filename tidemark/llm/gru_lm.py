@@ -19,24 +19,24 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, let, texts, written
+from tidemark.llm.common import held, let, written
 
 HIDDEN = 16
 STEPS = 16  # of a training window
 SPAN = 32  # steps whose outputs are computed together
 LONGEST = 64
-# Distinct words that a task counts before it passes the counts on.
-HELD_WORDS = 400_000
+# Bytes of text that a task splits into words at a time.
+TEXT_BYTES = 8 << 20
 LANES = 512
 # Symbols of a piece in training: a text is cut into such pieces, so that it fills several lanes.
 PIECE = 250
@@ -49,25 +49,36 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def parts_of(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words of a column of texts as ``words_of`` has them, all in one array, and where each
+    text's begin and the last one's end; at most ``TEXT_BYTES`` of text (or one text) at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(), dtype=np.int64)
+    low = 0
+    while low < len(column):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right")))
+        part = pc.fill_null(pc.cast(column[low:high], pa.string()), "")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        words, cuts = split.flatten(), split.offsets.to_numpy()
+        filled = pc.binary_length(words).to_numpy() > 0  # not before the first space or after the last
+        if not filled.all():
+            words = words.filter(pa.array(filled))
+            cuts = np.concatenate([[0], np.cumsum(filled)])[cuts]
+        yield words, cuts
+        low = high
+        # What follows, in numpy, could not use the memory that Arrow holds back.
+        del part, split, words, cuts, filled
+        pa.default_memory_pool().release_unused()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts of ``docs``; partial counts leave a task in parts of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()).cast(pa.string()),
-                 pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
         for batch in batches:
-            for text in texts(batch.column(0)):
-                counts.update(words_of(text))
-                if len(counts) > HELD_WORDS:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+            for words, _ in parts_of(batch.column(0)):
+                word, n = words.value_counts().flatten()
+                yield pa.RecordBatch.from_arrays([word, n], names=["word", "n"])
 
     parts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
@@ -116,9 +127,9 @@ def vocabulary(counts: DataFrame, ends: int, size: int, frequent: int) -> Vocabu
 @dataclass
 class Network:
     """Input weights by symbol, state weights, and the two output layers (classes; symbols)."""
-    symbols_in: np.ndarray  # (3H, size)
-    state_in: np.ndarray  # (3H, H)
-    bias_in: np.ndarray  # (3H, 1)
+    symbols_in: np.ndarray  # (3, size, H): update, reset and candidate
+    state_in: np.ndarray  # (3, H, H), to be multiplied from the left
+    bias_in: np.ndarray  # (3, 1, H)
     class_out: np.ndarray  # (classes, H)
     class_bias: np.ndarray  # (classes)
     word_out: np.ndarray  # (classes, width, H)
@@ -150,10 +161,15 @@ def initial(vocab: Vocabulary, others: int, seed: int = 5) -> Network:
     share = share.reshape(classes, width)
     word = np.log(share / share.sum(axis=1, keepdims=True))
     word[np.arange(classes * width).reshape(classes, width) >= size] = -60.0
+
+    def drawn(columns: int, scale: float) -> np.ndarray:
+        values = (rng.standard_normal((3 * h, columns)) * scale).astype(np.float32)
+        return np.ascontiguousarray(values.reshape(3, h, columns).transpose(0, 2, 1))
+
     return Network(
-        (rng.standard_normal((3 * h, size)) * 0.4).astype(np.float32),
-        (rng.standard_normal((3 * h, h)) * 0.3).astype(np.float32),
-        np.zeros((3 * h, 1), np.float32),
+        drawn(size, 0.4),
+        drawn(h, 0.3),
+        np.zeros((3, 1, h), np.float32),
         (rng.standard_normal((classes, h)) * 0.1).astype(np.float32),
         np.log(share.sum(axis=1) / share.sum()).astype(np.float32),
         (rng.standard_normal((classes, width, h)) * 0.1).astype(np.float32),
@@ -168,49 +184,57 @@ def squash(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
 
 
 def forward(net: Network, codes: np.ndarray, state: np.ndarray, keep: bool = False):
-    """States (steps, H, lanes) after reading ``codes`` (steps, lanes); a document's start (symbol
+    """States (steps, lanes, H) after reading ``codes`` (steps, lanes); a document's start (symbol
     0) clears the state first. With ``keep`` also what backpropagation needs."""
     h = HIDDEN
     steps, lanes = codes.shape
-    found = np.empty((steps, h, lanes), np.float32)
-    xs, ys = (np.empty((steps if keep else 1, 3 * h, lanes), np.float32) for _ in range(2))
-    room = np.empty((3 * h, lanes), np.float32)
+    found = np.empty((steps, lanes, h), np.float32)
+    xs = np.empty((steps if keep else 1, 3, lanes, h), np.float32)
+    inwards = np.empty((steps if keep else 1, lanes, h), np.float32)
+    room = np.empty((2, lanes, h), np.float32)
     symbols_in = net.symbols_in + net.bias_in
+    starts = (codes == 0).any(axis=1).tolist()
     kept = []
     for t in range(steps):
-        x, y = xs[t if keep else 0], ys[t if keep else 0]
-        start = codes[t] == 0
-        if start.any():
-            state = np.where(start, np.float32(0), state)
-        np.take(symbols_in, codes[t], axis=1, out=x, mode="clip")
-        np.matmul(net.state_in, state, out=y)
-        gates = np.add(x[:2 * h], y[:2 * h], out=x[:2 * h])
-        squash(gates, room[:2 * h])
+        x, inward = xs[t if keep else 0], inwards[t if keep else 0]
+        start = codes[t] == 0 if starts[t] else None
+        if start is not None:
+            state = np.where(start[:, None], np.float32(0), state)
+        for weights, own in zip(symbols_in, x):
+            np.take(weights, codes[t], axis=0, out=own, mode="clip")
+        gates, candidate = x[:2], x[2]
+        gates += np.matmul(state, net.state_in[:2], out=room)
+        squash(gates, room)
         gates += 1
         gates *= 0.5
-        candidate = x[2 * h:]
-        candidate += np.multiply(gates[h:], y[2 * h:], out=room[:h])
-        squash(candidate, room[2 * h:])
+        np.matmul(state, net.state_in[2], out=inward)
+        candidate += np.multiply(gates[1], inward, out=room[0])
+        squash(candidate, room[0])
         if keep:
-            kept.append((t, state, start, x, y[2 * h:]))
-        change = np.subtract(candidate, state, out=room[:h])
-        change *= gates[:h]
+            kept.append((t, state, start, x, inward))
+        change = np.subtract(candidate, state, out=room[0])
+        change *= gates[0]
         state = np.add(state, change, out=found[t])
     return (found, kept) if keep else found
 
 
-def by_number(numbers: np.ndarray, most: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The stable order of ``numbers`` (0 to ``most``), and (number, start, end) of each in it."""
+def by_number(numbers: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The stable order of ``numbers`` (0 to ``most``), those that occur, and where each starts and
+    ends in it."""
     # Narrow integers are sorted by their digits.
     numbers = numbers.astype(np.min_scalar_type(most))
     order = np.argsort(numbers, kind="stable")
     ends = np.cumsum(np.bincount(numbers, minlength=1))
     starts = np.concatenate([[0], ends[:-1]])
-    return order, [(int(k), int(starts[k]), int(ends[k])) for k in np.flatnonzero(ends > starts)]
+    found = np.flatnonzero(ends > starts)
+    return order, found, starts[found], ends[found]
 
 
-# Up to here exponentials and their sums over a class stay inside single precision.
-REACH = 80
+# Up to here exponentials, their sums over a class and products with weights stay inside single
+# precision.
+REACH = 60
+# Columns of a softmax that are taken together, so that they stay in a core's cache.
+COLUMNS = 1024
 
 
 def with_bias(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -221,60 +245,70 @@ def with_bias(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, bool]:
     return both, bool(np.abs(weights).sum(axis=-1).max() > REACH)
 
 
-def log_softmax_at(x: np.ndarray, places: tuple, far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The log-softmax over the first axis at ``places``, the exponentials (in the place of ``x``),
-    and their sums. ``far``: subtract the largest term first."""
+def softmax_at(weights: np.ndarray, far: bool, rows: np.ndarray, target: np.ndarray,
+               grad: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The log-softmax of ``weights`` times each of ``rows`` at the row's target. ``far``: subtract
+    the largest term first. With ``grad`` the gradient by the weights of minus the sum over ``n``
+    is added there, and that by the rows, less the last column, returned."""
+    x = weights @ rows.T
     if far:
         x -= x.max(axis=0)
-    found = x[places]
-    e = np.exp(x, out=x)
-    total = e.sum(axis=0)
+    at = target * len(rows) + np.arange(len(rows))
+    found = x.take(at)
+    d = np.exp(x, out=x)
+    total = d.sum(axis=0)
     found -= np.log(total)
-    return found, e, total
+    if grad is None:
+        return found, None
+    d.ravel()[at] -= total
+    # Dividing the rows takes fewer steps than dividing all terms.
+    scale = (1 / (total * n))[:, None]
+    grad += d @ (rows * scale)
+    back = d.T @ weights[:, :-1]
+    back *= scale
+    return found, back
 
 
 def outputs(net: Network, seen: np.ndarray, target: np.ndarray, grads: list | None = None):
     """The natural log-probability of each target given the states ``seen`` (H, n). With
     ``grads`` the gradients of minus their mean are added there, and that of ``seen`` returned."""
-    width = net.word_bias.shape[1]
+    classes, width = net.word_bias.shape
     h, n = seen.shape
     # The symbols of a class side by side.
-    order, groups = by_number(target // width, len(net.class_bias))
+    order, *groups = by_number(target // width, classes)
     target = target[order]
     kind = target // width
     place = target - kind * width
     rows = np.ones((n, h + 1), seen.dtype)  # the last column meets the bias
     rows[:, :h] = np.take(seen.T, order, axis=0)
-    seen = rows.T
-    weights, far = with_bias(net.class_out, net.class_bias)
-    at = kind, np.arange(n)
-    found, d, total = log_softmax_at(weights @ seen, at, far)
-    back = None
+    found = np.zeros(n, seen.dtype)
+    class_grad = word_grad = back = None
     if grads is not None:
-        d *= 1 / (total * n)
-        d[at] -= 1 / n
-        both = d @ rows
-        grads[3] += both[:, :h]
-        grads[4] += both[:, h]
-        back = net.class_out.T @ d
+        class_grad, word_grad = (np.zeros((*a.shape, h + 1), a.dtype) for a in (net.class_bias, net.word_bias))
+        back = np.zeros((n, h), seen.dtype)
+
+    def add(weights: np.ndarray, far: bool, low: int, high: int, numbers: np.ndarray, grad) -> None:
+        for start in range(low, high, COLUMNS):
+            part = slice(start, min(start + COLUMNS, high))
+            values, ahead = softmax_at(weights, far, rows[part], numbers[part], grad, n)
+            found[part] += values
+            if back is not None:
+                back[part] += ahead
+
+    weights, far = with_bias(net.class_out, net.class_bias)
+    add(weights, far, 0, n, kind, class_grad)
     weights, far = with_bias(net.word_out, net.word_bias)
-    for k, low, high in groups:
-        at = place[low:high], np.arange(high - low)
-        values, d, total = log_softmax_at(weights[k] @ seen[:, low:high], at, far)
-        found[low:high] += values
-        if grads is not None:
-            d *= 1 / (total * n)
-            d[at] -= 1 / n
-            both = d @ rows[low:high]
-            grads[5][k] += both[:, :h]
-            grads[6][k] += both[:, h]
-            back[:, low:high] += net.word_out[k].T @ d
+    for k, low, high in zip(*(g.tolist() for g in groups)):
+        add(weights[k], far, low, high, place, None if grads is None else word_grad[k])
     values = np.empty_like(found)
     values[order] = found
     if grads is None:
         return values
-    ahead = np.empty((n, h), back.dtype)
-    ahead[order] = back.T
+    for i, grad in ((3, class_grad), (5, word_grad)):
+        grads[i] += grad[..., :h]
+        grads[i + 1] += grad[..., h]
+    ahead = np.empty_like(back)
+    ahead[order] = back
     return values, ahead.T
 
 
@@ -304,7 +338,10 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray
                 predicted[k, at] = -1
                 read[k, at + 1:at + 2] = ~doc[0]
             at = end
-    return read.T.copy(), predicted.T.copy(), owner.T.copy()
+    # One by one, so that no more than one of them is held twice.
+    read = read.T.copy()
+    predicted = predicted.T.copy()
+    return read, predicted, owner.T.copy()
 
 
 def pieces(doc: np.ndarray) -> list[np.ndarray]:
@@ -315,10 +352,10 @@ def pieces(doc: np.ndarray) -> list[np.ndarray]:
 
 
 def states_at(found: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the states (steps, H, lanes) those at flat places of (steps, lanes), (H, n); each state
+    """Of the states (steps, lanes, H) those at flat places of (steps, lanes), (H, n); each state
     lies in one piece, since they are taken one by one."""
-    rows = np.ascontiguousarray(found.transpose(0, 2, 1)).reshape(-1, found.shape[1])
-    return np.take(rows, at, axis=0).T
+    rows = found.reshape(-1, found.shape[2])
+    return (rows if len(at) == len(rows) else np.take(rows, at, axis=0)).T
 
 
 class Trainer:
@@ -334,7 +371,7 @@ class Trainer:
         """One pass over ``docs``."""
         h, net = HIDDEN, self.net
         read, predicted, _ = lanes_of(docs, lanes)
-        state = np.zeros((h, read.shape[1]), np.float32)
+        state = np.zeros((read.shape[1], h), np.float32)
         for low in range(0, len(read), STEPS):
             codes, target = read[low:low + STEPS], predicted[low:low + STEPS]
             found, kept = forward(net, codes, state, keep=True)
@@ -344,36 +381,44 @@ class Trainer:
                 continue
             grads = [np.zeros_like(a) for a in net.parts]
             _, back = outputs(net, states_at(found, at), target.ravel()[at], grads)
-            ahead = np.zeros((target.size, h), np.float32)
-            ahead[at] = back.T
+            ahead = back.T
+            if len(at) < target.size:
+                ahead = np.zeros((target.size, h), np.float32)
+                ahead[at] = back.T
             ahead = ahead.reshape(*target.shape, h)
-            flow = np.zeros_like(state)
-            inputs = np.empty((*codes.shape, 3 * h), np.float32)
+            flow, rest, room = (np.zeros_like(state) for _ in range(3))
+            slope, through = (np.empty((k, *state.shape), np.float32) for k in (2, 3))
+            onward = net.state_in.transpose(0, 2, 1)
+            # By the update, the reset, and the candidate's part of the state and of the symbol.
+            inputs = np.empty((4, *codes.shape, h), np.float32)
             for t, before, start, x, inward in reversed(kept):
-                flow = flow + ahead[t].T
-                gates, candidate = x[:2 * h], x[2 * h:]
-                update, reset = gates[:h], gates[h:]
-                slope = 1 - np.abs(candidate)
-                d_in = np.empty_like(x)
-                d_candidate = np.multiply(flow * update, slope * slope, out=d_in[2 * h:])
-                slope = np.minimum(gates, 1 - gates)
-                d_gates = d_in[:2 * h]
-                np.multiply(flow, candidate - before, out=d_gates[:h])
-                np.multiply(d_candidate, inward, out=d_gates[h:])
+                flow += ahead[t]
+                gates, candidate, d_in = x[:2], x[2], inputs[:, t]
+                d_update, d_reset, d_state, d_symbol = d_in
+                np.multiply(flow, gates[0], out=d_symbol)
+                np.subtract(flow, d_symbol, out=rest)
+                np.subtract(1, np.abs(candidate, out=room), out=room)
+                room *= room
+                d_symbol *= room
+                np.subtract(candidate, before, out=d_update)
+                d_update *= flow
+                np.multiply(d_symbol, inward, out=d_reset)
+                np.minimum(gates, np.subtract(1, gates, out=slope), out=slope)
                 slope *= slope
                 slope *= 2
-                d_gates *= slope
-                inputs[t] = d_in.T
-                d_in[2 * h:] *= reset
-                grads[1] += d_in @ before.T
-                flow *= 1 - update
-                flow += net.state_in.T @ d_in
-                if start.any():
-                    flow[:, start] = 0
-            order, groups = by_number(codes.ravel(), net.symbols_in.shape[1])
-            used, cut, _ = zip(*groups)
-            grads[0][:, used] = np.add.reduceat(
-                np.take(inputs.reshape(-1, 3 * h), order, axis=0), cut, axis=0).T
+                d_in[:2] *= slope
+                np.multiply(d_symbol, gates[1], out=d_state)
+                grads[1] += np.matmul(before.T, d_in[:3])
+                for part in np.matmul(d_in[:3], onward, out=through):
+                    rest += part
+                if start is not None:
+                    rest[start] = 0
+                flow, rest = rest, flow
+            order, used, cut, _ = by_number(codes.ravel(), net.symbols_in.shape[1])
+            for own, d_in in zip(grads[0], (inputs[0], inputs[1], inputs[3])):
+                # Two numbers side by side are added up as one complex number.
+                rows = np.take(d_in.reshape(-1, h), order, axis=0).view(np.complex64)
+                own[used] = np.add.reduceat(rows, cut, axis=0).view(np.float32)
             grads[2] += grads[0].sum(axis=1, keepdims=True)
             self.update(grads)
 
@@ -411,7 +456,7 @@ def log_probability(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     if not docs:
         return sums
     read, predicted, owner = lanes_of(docs, LANES)
-    state = np.zeros((HIDDEN, read.shape[1]), np.float32)
+    state = np.zeros((read.shape[1], HIDDEN), np.float32)
     ends = (predicted >= 0).sum(axis=0)  # falling: the lanes that have not ended come first
     low = 0
     while low < len(read):
@@ -419,7 +464,7 @@ def log_probability(net: Network, docs: list[np.ndarray]) -> np.ndarray:
         # Few lanes take more steps together.
         high = low + SPAN * max(1, LANES // (2 * live))
         part = slice(low, high), slice(0, live)
-        found = forward(net, read[part], state[:, :live])
+        found = forward(net, read[part], state[:live])
         state, low = found[-1], high
         target = predicted[part]
         at = np.flatnonzero(target >= 0)
@@ -453,6 +498,37 @@ def symbols(ids: dict[bytes, int], words: list[bytes], other: int = -1) -> np.nd
     return np.fromiter(numbers, np.int32, len(words) + 1)
 
 
+class Numbers:
+    """The same for whole columns, inside a task; much smaller than ``ids``."""
+
+    def __init__(self, ids: dict[bytes, int], other: int = -1) -> None:
+        self.words = pa.array(list(ids), pa.binary()).cast(pa.string())
+        # In the last place that of the words which are not in ``ids``.
+        self.ids = np.array([*ids.values(), other], np.int32)
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        return self.ids[pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()]
+
+
+def with_ends(numbers: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """The numbers of each text (between two of ``cuts``), then the end."""
+    bounds = cuts + np.arange(len(cuts))
+    every = np.full(bounds[-1], END, np.int32)
+    word = np.ones(len(every), bool)
+    word[bounds[1:] - 1] = False
+    every[word] = numbers
+    return [every[low:high] for low, high in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def counted_by_text(words: pa.Array, owner: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of each of ``n`` texts, how often each occurs in it, and how many each
+    text has; ``owner`` is each word's text."""
+    coded = words.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    found, times = np.unique(owner * size + coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary.take(pa.array(found % size)), times, np.bincount(found // size, minlength=n)
+
+
 def network_ids(vocab: Vocabulary) -> dict[bytes, int]:
     """The numbers of the words that the network knows."""
     return {w: i for w, i in vocab.ids.items() if i < vocab.size}
@@ -464,21 +540,21 @@ def for_network(vocab: Vocabulary, numbers: np.ndarray) -> np.ndarray:
 
 def averaged(docs: DataFrame, net: Network, vocab: Vocabulary, rate: float) -> Network:
     """The mean, by tokens, of the networks that the tasks make of ``net`` from all of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, network_ids(vocab)))
+    shared = docs.sparkSession.sparkContext.broadcast((net, Numbers(network_ids(vocab), OTHER)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, ids = shared.value
+        start, numbers = shared.value
         trainer = Trainer(start.like(start.vector()), rate)
         block: list[np.ndarray] = []
         tokens = 0
         for batch in batches:
-            for text in texts(batch.column(0)):
-                doc = symbols(ids, words_of(text), OTHER)
-                tokens += len(doc)
-                block += pieces(doc)
-                while len(block) >= 2 * BLOCK:
-                    trainer.learn(block[:BLOCK], BLOCK)
-                    del block[:BLOCK]
+            for words, cuts in parts_of(batch.column(0)):
+                for doc in with_ends(numbers.of(words), cuts):
+                    tokens += len(doc)
+                    block += pieces(doc)
+                    while len(block) >= 2 * BLOCK:
+                        trainer.learn(block[:BLOCK], BLOCK)
+                        del block[:BLOCK]
         if block:
             # Fewer lanes make more steps of the rest, which is all that a small input has.
             trainer.learn(block, max(64, len(block) // 4))
@@ -543,42 +619,43 @@ def learn(docs: DataFrame, counts: DataFrame, size: int = 2048, frequent: int =
 def scored(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    slim = replace(model, vocab=replace(model.vocab, ids={}))
+    shared = spark.sparkContext.broadcast((slim, Numbers(model.vocab.ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, numbers = shared.value
         # By a word's number, and in the last place for words without one.
         numbered = len(model.vocab.counts)
-        ids, base = model.vocab.ids, np.append(model.base(model.vocab.counts), 0.0)
+        base = np.append(model.base(model.vocab.counts), 0.0)
         other = np.append(model.other(model.vocab.counts), 0.0)
         other[:model.vocab.size] = 0.0
         seen = np.append(model.vocab.counts > 0, False)
         inside = for_network(model.vocab, np.append(np.arange(numbered, dtype=np.int32), np.int32(-1)))
         for batch in batches:
             docs, sums = [], []
-            rare: list[bytes] = []
-            times: list[int] = []
-            cuts = [0]
-            for text in texts(batch.column(2)):
-                words = words_of(text)
-                numbers = symbols(ids, words)
-                sums.append((len(numbers), np.count_nonzero(seen[numbers]), base[numbers].sum(),
-                             other[numbers].sum()))
-                unseen = Counter(words[i] for i in np.flatnonzero(numbers < 0).tolist())
-                rare += unseen
-                times += unseen.values()
-                cuts.append(len(rare))
-                docs.append(inside[numbers])
+            rare: list[pa.Array] = []
+            times, different = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+            for words, cuts in parts_of(batch.column(2)):
+                found = numbers.of(words)
+                for doc in with_ends(found, cuts):
+                    sums.append((len(doc), np.count_nonzero(seen[doc]), base[doc].sum(), other[doc].sum()))
+                    docs.append(inside[doc])
+                unseen = np.flatnonzero(found < 0)
+                counted = counted_by_text(words.take(pa.array(unseen)), np.searchsorted(
+                    cuts, unseen, side="right") - 1, len(cuts) - 1)
+                for own, part in zip((rare, times, different), counted):
+                    own.append(part)
             logs = log_probability(model.net, docs) / math.log(10)
             tokens, known, bases, others = (np.array(c) for c in zip(*sums)) if sums else [
                 np.zeros(0)] * 4
+            cuts = np.cumsum(np.concatenate(different))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(tokens.astype(np.int64)),
                  pa.array(known.astype(np.int64)), pa.array(bases.astype(np.float64)),
                  pa.array(logs + others),
                  pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(
-                     [pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())],
-                     names=["word", "n"]))],
+                     [pa.concat_arrays([pa.array([], pa.string()), *rare]),
+                      pa.array(np.concatenate(times))], names=["word", "n"]))],
                 names=["doc_id", "row_hash", "n_tokens", "known", "base", "model", "rare"])
 
     first = written(
